@@ -6,7 +6,7 @@ parity-check code of that length: all words whose symbols add up to 0. Its cover
 is 1, since replacing any one symbol gives a code word, so each block lies within radius 1
 of exactly ``span`` anchors, and it is sent to all of them. Two blocks that differ in at
 most one symbol are within the covering radius of a common anchor and meet there; records
-that meet in any block are compared on a 64-bit sketch, and survivors exactly.
+that meet in any block are compared on a 64-bit sketch there, survivors on a wider one and then exactly.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siltstone.functions.text import words
 from siltstone.runtime import settle
 
-SKETCH_SYMBOLS = 32  # two bits each: 64 bits
-_PAIRS = 0x5555555555555555
+SYMBOLS = 32
+#: One in each two bits, and in each eight.
+_PAIRS, _BYTES = 0x5555555555555555, 0x0101010101010101
 
 
 def _shingles(offsets: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +46,8 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(width: int, symbols: int, seed: int):
-    """Arrow batches with ``_words`` (word hashes) to batches with ``_sketch``, ``_symbols``."""
+    """Arrow batches with ``_words`` (word hashes) to batches with ``_symbols`` (32 bits each),
+    ``_sketch`` (two bits of each in one long) and ``_wide`` (eight bits of each in four)."""
     draw = np.random.default_rng(seed).integers(1, 2**63, (2, symbols), dtype=np.int64).view(np.uint64)
     factors, shifts = draw[0] | np.uint64(1), draw[1]
 
@@ -59,15 +61,14 @@ def _signatures(width: int, symbols: int, seed: int):
                 with np.errstate(over="ignore"):
                     for k in range(symbols):
                         out[:, k] = np.minimum.reduceat((mixed * factors[k] + shifts[k]) >> np.uint64(32), bounds[:-1][some])
+            mixed_bits = out * np.uint32(0x85EBCA6B)  # so that the bits do not follow from the minimum's size
             sketch = np.zeros(len(some), np.uint64)
-            for k in range(SKETCH_SYMBOLS):
-                # the bits must not follow from the minimum's size, so they are mixed first
-                bits = (out[:, k] * np.uint32(0x85EBCA6B)) >> np.uint32(30)
-                sketch |= bits.astype(np.uint64) << np.uint64(2 * k)
+            for k in range(symbols):
+                sketch |= (mixed_bits[:, k] >> np.uint32(30)).astype(np.uint64) << np.uint64(2 * k)
+            wide = np.ascontiguousarray((mixed_bits >> np.uint32(20)).astype(np.uint8)).view(np.int64)
             kept = batch.take(pa.array(some)).drop_columns(["_words"])
-            flat = pa.array(out.view(np.int32).ravel())
-            each = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * symbols), flat)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sketch.view(np.int64)), each], names=[*kept.schema.names, "_sketch", "_symbols"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (wide, out.view(np.int32))]
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sketch.view(np.int64)), *lists], names=[*kept.schema.names, "_sketch", "_wide", "_symbols"])
 
     return run
 
@@ -110,7 +111,26 @@ def _anchors(symbols: Column, blocks: int, span: int) -> Column:
 def agreement(a: Column, b: Column) -> Column:
     """Of the 32 two-bit symbols of two sketches, how many are equal."""
     differs = a.bitwiseXOR(b)
-    return F.lit(SKETCH_SYMBOLS) - F.bit_count(differs.bitwiseOR(F.shiftrightunsigned(differs, 1)).bitwiseAND(F.lit(_PAIRS)))
+    return F.lit(SYMBOLS) - F.bit_count(differs.bitwiseOR(F.shiftrightunsigned(differs, 1)).bitwiseAND(F.lit(_PAIRS)))
+
+
+def wide_agreement(a: Column, b: Column) -> Column:
+    """Of the 32 eight-bit symbols in two arrays of four longs, how many are equal."""
+    out = F.lit(SYMBOLS)
+    for i in range(SYMBOLS // 8):
+        differs = a[i].bitwiseXOR(b[i])
+        for step in (4, 2, 1):
+            differs = differs.bitwiseOR(F.shiftrightunsigned(differs, step))
+        out = out - F.bit_count(differs.bitwiseAND(F.lit(_BYTES)))
+    return out
+
+
+def enough(threshold: float, bits: int, span: int, deviations: float) -> int:
+    """Symbols of ``bits`` bits that must agree: some standard deviations below the expectation
+    for a pair at the threshold that met at an anchor, of which ``span - 1`` agree anyway."""
+    p = threshold + (1 - threshold) / 2**bits
+    free = SYMBOLS - span + 1
+    return int(np.floor(span - 1 + free * p - deviations * np.sqrt(free * p * (1 - p))))
 
 
 def near_duplicates(
@@ -121,7 +141,7 @@ def near_duplicates(
     keep: list[str] | None = None,
     width: int = 5,
     threshold: float = 0.8,
-    blocks: int = 6,
+    blocks: int = 7,
     span: int = 4,
     seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
@@ -132,9 +152,9 @@ def near_duplicates(
     once. ``links``: class_a < class_b with their exact ``similarity``; no pair within a class
     is put out (it is 1). Copies are never expanded into pairs here.
 
-    A pair at the threshold of 0.6 meets at an anchor with probability 0.979 with 6 blocks of
-    4 and passes the sketch with 0.99 (0.65: 0.993 and 0.998; 0.7: over 0.997); both grow with
-    the similarity. ``blocks`` and ``span`` trade that against the replication,
+    A pair at the threshold of 0.6 meets at an anchor with probability 0.989 with 7 blocks of
+    4 (0.65: 0.997; 0.7: over 0.999) and passes the sketches with 0.995 (0.999; 1); both grow
+    with the similarity. ``blocks`` and ``span`` trade that against the replication,
     blocks x span anchors a record. No bucket is capped and no partner is dropped.
 
     Null texts and texts of fewer than ``width`` words have no fingerprint and take no part.
@@ -142,32 +162,33 @@ def near_duplicates(
     results, and very long texts are read whole. Input columns other than the named ones are
     not touched, whatever their names.
     """
-    if blocks * span > SKETCH_SYMBOLS:
-        raise ValueError(f"at most {SKETCH_SYMBOLS} symbols")
+    if blocks * span > SYMBOLS:
+        raise ValueError(f"at most {SYMBOLS} symbols")
     keep = keep or []
     base = records.where(F.col(text_col).isNotNull()).select(F.col(id_col), *keep, F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_row"))
     hashed = base.withColumn("_words", _word_hashes(F.col("_text"))).withColumn("class_id", F.xxhash64("_words"))
     narrow = hashed.select(id_col, *keep, "_row", "class_id", "_words")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    signed = settle(narrow.mapInArrow(_signatures(width, SKETCH_SYMBOLS, seed), f"{kinds}, _sketch long, _symbols array<int>"), "fingerprints")
-    members = signed.select(id_col, *keep, "class_id", "_sketch", "_row")
+    signed = settle(narrow.mapInArrow(_signatures(width, SYMBOLS, seed), f"{kinds}, _sketch long, _wide array<long>, _symbols array<int>"), "fingerprints")
+    members = signed.select(id_col, *keep, "class_id", "_sketch", "_wide", "_row")
 
     # fingerprints, not records, are replicated: equal ones merge before they travel
     sent = signed.select("_sketch", F.explode(_anchors(F.col("_symbols"), blocks, span)).alias("_anchor"))
     sent = sent.repartition("_anchor").distinct()
     left, right = sent.alias("l"), sent.alias("r")
-    enough = _enough(threshold)
+    coarse, fine = enough(threshold, 2, span, 2.7), enough(threshold, 8, span, 3.0)
     met = (
-        left.join(right, (F.col("l._anchor") == F.col("r._anchor")) & (F.col("l._sketch") < F.col("r._sketch")) & (agreement(F.col("l._sketch"), F.col("r._sketch")) >= enough))
+        left.join(right, (F.col("l._anchor") == F.col("r._anchor")) & (F.col("l._sketch") < F.col("r._sketch")) & (agreement(F.col("l._sketch"), F.col("r._sketch")) >= coarse))
         .select(F.col("l._sketch").alias("_sa"), F.col("r._sketch").alias("_sb"))
         .distinct()
     )
     # classes behind the fingerprints; those with the same fingerprint meet without an anchor
-    classes = members.groupBy("class_id").agg(F.first("_sketch").alias("_sketch"), F.min(F.struct(F.col(id_col), F.col("_row"))).alias("_id"))
+    classes = members.groupBy("class_id").agg(F.first("_sketch").alias("_sketch"), F.first("_wide").alias("_wide"), F.min(F.struct(F.col(id_col), F.col("_row"))).alias("_id"))
     same = classes.alias("a").join(classes.alias("b"), (F.col("a._sketch") == F.col("b._sketch")) & (F.col("a.class_id") < F.col("b.class_id")))
     pairs = same.select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")).unionByName(
-        met.join(classes.select(F.col("_sketch").alias("_sa"), F.col("class_id").alias("_ca")), "_sa")
-        .join(classes.select(F.col("_sketch").alias("_sb"), F.col("class_id").alias("_cb")), "_sb")
+        met.join(classes.select(F.col("_sketch").alias("_sa"), F.col("class_id").alias("_ca"), F.col("_wide").alias("_wa")), "_sa")
+        .join(classes.select(F.col("_sketch").alias("_sb"), F.col("class_id").alias("_cb"), F.col("_wide").alias("_wb")), "_sb")
+        .where(wide_agreement(F.col("_wa"), F.col("_wb")) >= fine)
         .select(F.least("_ca", "_cb").alias("class_a"), F.greatest("_ca", "_cb").alias("class_b"))
     )
     pairs = settle(pairs, "met")
@@ -180,14 +201,7 @@ def near_duplicates(
         .select("class_a", "class_b", _word_hashes(F.col("_text_a")).alias("_words_a"), _word_hashes(F.col("_text_b")).alias("_words_b"))
     )
     links = both.mapInArrow(_similarities(width), "class_a long, class_b long, similarity double").where(F.col("similarity") >= threshold)
-    return members.drop("_sketch", "_row"), links
-
-
-def _enough(threshold: float) -> int:
-    """Symbols that must agree: two standard deviations below a pair at the threshold, of whose symbols at least three agree."""
-    p = threshold + (1 - threshold) / 4
-    free = SKETCH_SYMBOLS - 3
-    return int(np.floor(3 + free * p - 2.2 * np.sqrt(free * p * (1 - p))))
+    return members.drop("_sketch", "_wide", "_row"), links
 
 
 def duplicate_pairs(members: DataFrame, links: DataFrame, *, id_col: str, apart: str) -> DataFrame:

@@ -157,14 +157,6 @@ ORACLES: dict[str, str] = {
     WHERE (n.type IN ('paragraph', 'code') AND length(n.text) > 1600)
        OR (n.type = 'list' AND len(list_filter(n.items, lambda x: length(x) > 1600)) > 0)
        OR (n.type = 'table' AND length(array_to_string(list_transform(n.rows, lambda r: array_to_string(list_transform(r, lambda x: coalesce(x, '')), ' | ')), chr(10))) > 1600)""",
-    "p6_found": rf"""
-    WITH cur AS (SELECT DISTINCT c.chunk_id, c.doc_id, {_WORDS.format("c.chunk_text")} AS w FROM rag_chunks c
-                 JOIN (SELECT DISTINCT doc_id, document_version FROM rag_documents) d USING (doc_id, document_version)),
-    sets AS (SELECT DISTINCT chunk_id, doc_id, hash(w[i], w[i + 1], w[i + 2]) AS s FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM cur)),
-    sizes AS (SELECT chunk_id, doc_id, count(*) AS n FROM sets GROUP BY ALL),
-    common AS (SELECT a.chunk_id AS a, b.chunk_id AS b, a.doc_id AS da, b.doc_id AS db, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.chunk_id < b.chunk_id AND a.doc_id <> b.doc_id GROUP BY ALL)
-    SELECT DISTINCT a AS chunk_id_a, b AS chunk_id_b FROM common JOIN sizes x ON a = x.chunk_id AND da = x.doc_id JOIN sizes y ON b = y.chunk_id AND db = y.doc_id
-    WHERE k / (x.n + y.n - k) >= 0.6""",
     "p7_found": rf"""
     WITH d AS (SELECT doc_id, {_WORDS.format("replace(replace(text, chr(8203), ''), chr(173), '')")} AS w FROM documents),
     e AS (SELECT item_id, {_WORDS.format("replace(replace(passage, chr(8203), ''), chr(173), '')")} AS w FROM eval_items),
