@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from siltstone.functions import identity as ids
+from siltstone.functions.vectors import norm, normalised
+from siltstone.operators import chunking, corpus, extract, history, search
 from siltstone.operators.snapshots import snapshot_changes
+from siltstone.plans.refresh import change_counts, plan_refresh
 from siltstone.runtime import table
+from siltstone.streaming.pages import latest_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +25,222 @@ def p2_found(spark: SparkSession, at: str) -> DataFrame:
     return p2_changes(spark, at).select("snapshot_no", "doc_id", "change")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_changes)}
+# The reference's own operators, over whole tables.
+
+
+def _chunks(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, at, "rag_chunks"), table(spark, at, "rag_documents")
+
+
+def fn_urls(spark: SparkSession, at: str) -> DataFrame:
+    url = ids.canonical_url(F.col("requested_url"))
+    rows = table(spark, at, "rag_documents").select("doc_id", url.alias("url")).distinct()
+    return rows.select("doc_id", "url", ids.doc_id(F.col("url")).alias("url_id"), ids.slug(F.col("url")).alias("slug"))
+
+
+def fn_chunk_ids(spark: SparkSession, at: str) -> DataFrame:
+    own = ids.chunk_id(F.col("doc_id"), F.col("document_version"), F.col("position"))
+    return table(spark, at, "rag_chunks").select("chunk_id", own.alias("computed_id")).distinct()
+
+
+def fn_titles(spark: SparkSession, at: str) -> DataFrame:
+    return table(spark, at, "documents").select("doc_id", ids.history_title(F.col("text")).alias("label"))
+
+
+def fn_query_keys(spark: SparkSession, at: str) -> DataFrame:
+    return table(spark, at, "documents").select("doc_id", F.sha2(ids.query_key(F.col("text")), 256).alias("key_hash"))
+
+
+def fn_terms(spark: SparkSession, at: str) -> DataFrame:
+    words = ids.terms(F.col("chunk_text"))
+    return table(spark, at, "rag_chunks").select("chunk_id", F.size(words).cast("long").alias("terms"), F.array_join(F.array_sort(words), " ").alias("term_list")).distinct()
+
+
+def fn_clean_text(spark: SparkSession, at: str) -> DataFrame:
+    return table(spark, at, "documents").select("doc_id", ids.clean_text(F.col("text")).alias("clean"))
+
+
+def fn_hash_embedding(spark: SparkSession, at: str) -> DataFrame:
+    vector = ids.hash_embedding(F.col("chunk_text"))
+    return table(spark, at, "rag_chunks").select("chunk_id", F.posexplode(vector).alias("i", "x")).select("chunk_id", F.col("i").cast("long").alias("i"), F.round("x", 9).alias("x")).distinct()
+
+
+def join_current_chunks(spark: SparkSession, at: str) -> DataFrame:
+    return corpus.current_chunks(*_chunks(spark, at)).select("chunk_id", "doc_id", "document_version", "position").distinct()
+
+
+def join_embedding_gaps(spark: SparkSession, at: str) -> DataFrame:
+    return corpus.embedding_gaps(corpus.current_chunks(*_chunks(spark, at)), table(spark, at, "rag_chunk_embeddings"))
+
+
+def join_chunk_vectors(spark: SparkSession, at: str) -> DataFrame:
+    chunks = corpus.current_chunks(*_chunks(spark, at)).select("chunk_id").distinct()
+    joined = corpus.chunk_vectors(chunks, table(spark, at, "rag_chunk_embeddings"), "tess-embed-small", "v1", 64)
+    return joined.select("chunk_id", "problem")
+
+
+def join_neighbours(spark: SparkSession, at: str) -> DataFrame:
+    chunks = table(spark, at, "rag_chunks").select("chunk_id", "doc_id", "document_version", "position").distinct()
+    return corpus.neighbours(chunks, chunks)
+
+
+def join_path_families(spark: SparkSession, at: str) -> DataFrame:
+    pages = table(spark, at, "rag_documents").select("doc_id", "canonical_url", "category").distinct()
+    path = ids.url_path(F.col("canonical_url"))
+    roots = pages.select(F.concat(F.lit("/aws/en/"), "category", F.lit("/")).alias("prefix"), F.col("category").alias("root_id")).distinct()
+    return corpus.in_path_family(pages.select("doc_id", "canonical_url"), roots, path).select("doc_id", "root_id")
+
+
+def set_first_seen(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "rag_documents").select(ids.canonical_url(F.col("requested_url")).alias("url"), "doc_id", "requested_url").distinct()
+    return corpus.first_seen(rows, ["url"], [F.col("doc_id"), F.col("requested_url")])
+
+
+def set_origins(spark: SparkSession, at: str) -> DataFrame:
+    kept = F.array_sort(F.filter("source_origins", lambda x: x != ""))
+    return table(spark, at, "rag_documents").select("doc_id", F.array_join(kept, "|").alias("scope")).distinct()
+
+
+def _incoming(spark: SparkSession, at: str) -> DataFrame:
+    last = table(spark, at, "rag_document_snapshots").where(F.col("doc_id").isNotNull())
+    newest = F.max(F.struct("snapshot_no", "retrieved_at", "title", "category", "status")).alias("_m")
+    return last.groupBy("doc_id").agg(newest).select("doc_id", "_m.title", "_m.category", "_m.status")
+
+
+def dml_upsert(spark: SparkSession, at: str) -> DataFrame:
+    target = table(spark, at, "rag_documents").select("doc_id", "title", "category", "status").distinct()
+    return corpus.upsert(target, _incoming(spark, at), ["doc_id"])
+
+
+def dml_prune_versions(spark: SparkSession, at: str) -> DataFrame:
+    chunks, documents = _chunks(spark, at)
+    return corpus.superseded(chunks.select("chunk_id", "doc_id", "document_version").distinct(), documents)[0]
+
+
+def dml_save_embeddings(spark: SparkSession, at: str) -> DataFrame:
+    """Vectors of a key written again replace the older row."""
+    vectors = table(spark, at, "rag_chunk_embeddings")
+    keys = ["chunk_id", "embedding_model", "embedding_revision"]
+    latest = vectors.groupBy(*keys).agg(F.max("created_at").alias("created_at"))
+    return latest.select(*keys, F.unix_micros("created_at").alias("created_us"))
+
+
+def dml_delete_category(spark: SparkSession, at: str) -> DataFrame:
+    return corpus.delete_category(*_chunks(spark, at))
+
+
+def dml_latest_pages(spark: SparkSession, at: str) -> DataFrame:
+    pages = table(spark, at, "fetch_results").select("doc_id", "fetched_at", "outcome", "http_status")
+    return latest_pages(pages).select("doc_id", F.unix_micros("fetched_at").alias("fetched_us"), "outcome", "http_status")
+
+
+def dml_turn_numbers(spark: SparkSession, at: str) -> DataFrame:
+    """Events as turns of their users: purchases are in the history already, the others go on from there."""
+    events = table(spark, at, "events").select("event_id", "user_id", "event_type", "ts")
+    old = events.where(F.col("event_type") == "purchase")
+    start = old.limit(0).withColumn("turn_number", F.lit(0))
+    done = history.numbered_turns(old, start, key="user_id", order=["ts", "event_id"])
+    more = history.numbered_turns(events.where(F.col("event_type") != "purchase"), done, key="user_id", order=["ts", "event_id"])
+    return done.unionByName(more).select("event_id", "user_id", "turn_number")
+
+
+def win_last_turns(spark: SparkSession, at: str) -> DataFrame:
+    turns = history.last_turns(table(spark, at, "events"), key="user_id", order=["ts", "event_id"], text="props")
+    return turns.select("user_id", F.array_join("turns", "\n").alias("turns"))
+
+
+def agg_fingerprint(spark: SparkSession, at: str) -> DataFrame:
+    return corpus.corpus_fingerprint(table(spark, at, "rag_documents"))
+
+
+def agg_categories(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "rag_documents").distinct()
+    return rows.groupBy("category").agg(
+        F.count("*").alias("documents"), F.count("indexed_content_hash").alias("indexed"), F.count_if(F.col("last_run_action") == "changed").alias("changed"),
+        F.count_if(F.col("http_status") != 200).alias("not_ok"), F.max("consecutive_404_count").alias("most_404"),
+    )
+
+
+def agg_errors(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "fetch_results").select("doc_id", "outcome", "error_message").distinct()
+    return rows.groupBy("outcome").agg(F.count("*").alias("pages"), F.count("error_message").alias("errors"), F.array_join(F.array_sort(F.collect_set("error_message")), "; ").alias("reasons"))
+
+
+def agg_vector_spaces(spark: SparkSession, at: str) -> DataFrame:
+    return corpus.validate_vectors(table(spark, at, "rag_chunk_embeddings"))
+
+
+def snp_normalise(spark: SparkSession, at: str) -> DataFrame:
+    unit = table(spark, at, "embeddings").select("vec_id", normalised(F.col("embedding")).alias("_u"))
+    return unit.select("vec_id", F.round(norm(F.col("_u")), 6).alias("length"), F.round(F.get("_u", F.lit(0)), 6).alias("first"))
+
+
+def ret_semantic(spark: SparkSession, at: str) -> DataFrame:
+    """The vectors whose id is divisible by 100, against all."""
+    rows = table(spark, at, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "vector")
+    return search.semantic_search(rows, asked, k=10).select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+def _searched(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    chunks = corpus.current_chunks(*_chunks(spark, at)).select("chunk_id", "source_title", "source_url", "chunk_text").distinct()
+    indexed = chunks.withColumn("vector", ids.hash_embedding(F.col("chunk_text")))
+    items = table(spark, at, "eval_items").select(F.col("item_id").alias("query_id"), "question", "expected_source_url")
+    asked = items.withColumn("vector", ids.hash_embedding(F.col("question")))
+    return search.hybrid_search(indexed, asked, k=10), items, chunks
+
+
+def ret_hybrid(spark: SparkSession, at: str) -> DataFrame:
+    found = _searched(spark, at)[0]
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+
+
+def evl_metrics(spark: SparkSession, at: str) -> DataFrame:
+    found, items, chunks = _searched(spark, at)
+    return search.retrieval_metrics(search.first_hits(found, items.select("query_id", "expected_source_url"), chunks))
+
+
+def _extracted(spark: SparkSession, at: str) -> DataFrame:
+    return extract.extract_pages(latest_pages(table(spark, at, "fetch_results").where(F.col("html").isNotNull()).select("doc_id", "fetched_at", "html")))
+
+
+def ext_pages(spark: SparkSession, at: str) -> DataFrame:
+    return _extracted(spark, at).select("doc_id", "title", "source_last_updated", F.size("nodes").alias("nodes"), "source_content_hash", "markdown_body", "error")
+
+
+def chk_split(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "documents").select("doc_id", F.posexplode(chunking.split_text(F.col("text"))).alias("piece_no", "piece"))
+    return rows.select("doc_id", F.col("piece_no").cast("long").alias("piece_no"), "piece")
+
+
+def chk_documents(spark: SparkSession, at: str) -> DataFrame:
+    rows = table(spark, at, "extracted_docs").select("doc_id", F.concat_ws(":", "source_content_hash", F.lit("v1")).alias("document_version"), "nodes").distinct()
+    return chunking.chunk_documents(rows)
+
+
+def _refresh(spark: SparkSession, at: str) -> DataFrame:
+    previous = table(spark, at, "rag_documents").where(F.col("doc_id").isNotNull())
+    fetched = table(spark, at, "extracted_docs").groupBy("doc_id").agg(F.max(F.struct("source_content_hash", "source_last_updated")).alias("_m")).select("doc_id", "_m.*")
+    return plan_refresh(previous, fetched, "v1")
+
+
+def ref_plan(spark: SparkSession, at: str) -> DataFrame:
+    return _refresh(spark, at)
+
+
+def ref_counts(spark: SparkSession, at: str) -> DataFrame:
+    return change_counts(_refresh(spark, at))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_changes, fn_urls, fn_chunk_ids, fn_titles, fn_query_keys, fn_terms, fn_clean_text, fn_hash_embedding, join_current_chunks, join_embedding_gaps,
+        join_chunk_vectors, join_neighbours, join_path_families, set_first_seen, set_origins, dml_upsert, dml_prune_versions, dml_save_embeddings, dml_delete_category,
+        dml_latest_pages, dml_turn_numbers, win_last_turns, agg_fingerprint, agg_categories, agg_errors, agg_vector_spaces, snp_normalise, ret_semantic, ret_hybrid,
+        evl_metrics, ext_pages, chk_split, chk_documents, ref_plan, ref_counts,
+    )
+}
 
 _SNAPSHOTS = r"""
 WITH folded AS (
@@ -34,10 +254,132 @@ new AS (SELECT one.*, nos.before FROM one JOIN nos USING (snapshot_no) WHERE nos
 old AS (SELECT one.*, n.snapshot_no AS next FROM one JOIN nos n ON n.before = one.snapshot_no)
 """
 
+_STOPS = "('a', 'an', 'and', 'are', 'as', 'at', 'be', 'difference', 'do', 'for', 'from', 'how', 'in', 'is', 'it', 'of', 'on', 'or', 'the', 'to', 'what', 'with')"
+
+
+def _bytes(text: str) -> str:
+    return f"list_transform(range(16), lambda i: (CAST(('0x' || substr(sha256(coalesce({text}, '')), CAST(2 * i + 1 AS BIGINT), 2)) AS INTEGER) - 127.5) / 127.5)"
+
+
+_SEARCH = f"""
+WITH c AS (SELECT DISTINCT chunk_id, source_title, source_url, chunk_text FROM rag_chunks k JOIN rag_documents d ON k.doc_id = d.doc_id AND k.document_version = d.document_version
+           WHERE d.status IN ('ok', 'pending_snapshot')),
+corpus AS (SELECT chunk_id, lower(coalesce(source_title, '') || ' ' || coalesce(chunk_text, '')) AS t, {_bytes("chunk_text")} AS v FROM c),
+q AS (SELECT item_id AS query_id, expected_source_url, {_bytes("question")} AS e, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM eval_items),
+asked AS (SELECT *, list_distinct(list_filter(w, lambda x: length(x) > 2 AND x NOT IN {_STOPS})) AS terms,
+                 list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS pairs FROM q),
+met AS (SELECT query_id, chunk_id, list_sum(list_transform(list_zip(v, e), lambda p: p[1] * p[2])) AS sem,
+               CASE WHEN len(terms) = 0 THEN 0.0 ELSE least(1.0, round(0.75 * len(list_filter(terms, lambda x: contains(t, x))) / len(terms)
+                 + 0.25 * len(list_filter(pairs, lambda x: contains(t, x))) / greatest(len(pairs), 1), 12)) END AS lex FROM corpus, asked),
+pooled AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sem DESC, chunk_id) <= 60 AS inside FROM met),
+scored AS (SELECT query_id, chunk_id, 0.65 * CASE WHEN inside THEN sem ELSE 0 END + 0.35 * lex AS score FROM pooled WHERE inside OR lex > 0),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10)
+"""
+
+_REFRESH = """
+WITH p AS (SELECT DISTINCT doc_id, document_version AS v, indexed_content_hash AS h, indexed_source_last_updated AS d, TRUE AS p FROM rag_documents WHERE doc_id IS NOT NULL),
+f AS (SELECT doc_id, source_content_hash AS nh, source_last_updated AS nd, TRUE AS f FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY source_content_hash DESC NULLS LAST, source_last_updated DESC NULLS LAST) AS r FROM extracted_docs) WHERE r = 1),
+j AS (SELECT coalesce(p.doc_id, f.doc_id) AS doc_id, v, h, d, p.p, nh, nd, f.f, concat_ws(':', nh, 'v1') AS nv FROM p FULL JOIN f ON p.doc_id = f.doc_id),
+plan AS (SELECT *, CASE WHEN f IS NULL THEN 'missing' WHEN nh IS NULL THEN 'failed' WHEN p IS NULL THEN 'added'
+           WHEN nh IS DISTINCT FROM h OR nv IS DISTINCT FROM v THEN 'changed' WHEN nd IS NOT NULL AND nd IS DISTINCT FROM d THEN 'dated' ELSE 'unchanged' END AS change FROM j)
+"""
+
 ORACLES: dict[str, str] = {
     "p2_found": _SNAPSHOTS
     + """SELECT coalesce(a.snapshot_no, b.next) AS snapshot_no, coalesce(a.doc_id, b.doc_id) AS doc_id,
          CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
   FROM new a FULL JOIN old b ON a.snapshot_no = b.next AND a.doc_id = b.doc_id
   WHERE b.doc_id IS NULL OR a.doc_id IS NULL OR a.s IS DISTINCT FROM b.s OR a.h IS DISTINCT FROM b.h OR a.u IS DISTINCT FROM b.u""",
+    "fn_urls": r"""
+    WITH parts AS (SELECT DISTINCT doc_id, trim(requested_url) AS u FROM rag_documents),
+    cut AS (SELECT doc_id, lower(regexp_extract(u, '^([^:/?#]+):', 1)) AS scheme, lower(regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1)) AS host,
+                   regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '\?([^#]*)', 1) AS query FROM parts),
+    kept AS (SELECT *, list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN
+               ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref', 'source'))) AS q FROM cut),
+    urls AS (SELECT DISTINCT doc_id, scheme || '://' || host || CASE WHEN length(path) > 1 THEN rtrim(path, '/') ELSE path END
+               || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_transform(q, lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') ELSE '' END AS url FROM kept),
+    named AS (SELECT *, trim(regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM urls)
+    SELECT doc_id, url, substr(sha256(url), 1, 16) AS url_id,
+           CASE WHEN t = '' THEN 'index' ELSE t END AS slug
+    FROM (SELECT *, CASE WHEN starts_with(s, 'aws-en-') THEN substr(s, 8) WHEN starts_with(s, 'gcp-en-') THEN substr(s, 8) WHEN starts_with(s, 'api-workspace-') THEN substr(s, 15) ELSE s END AS t FROM named)""",
+    "fn_chunk_ids": "SELECT DISTINCT chunk_id, substr(sha256(doc_id || ':' || document_version || ':' || position), 1, 24) AS computed_id FROM rag_chunks",
+    "fn_titles": r"""
+    WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS x FROM documents)
+    SELECT doc_id, CASE WHEN x = '' THEN 'New conversation' WHEN length(x) <= 88 THEN x
+           WHEN contains(substr(x, 1, 85), ' ') THEN regexp_extract(substr(x, 1, 85), '^(.*) ', 1) || '…' ELSE substr(x, 1, 85) || '…' END AS label FROM t""",
+    "fn_query_keys": "SELECT doc_id, sha256(array_to_string(list_sort(regexp_extract_all(lower(text), '[a-z0-9]+')), ' ')) AS key_hash FROM documents",
+    "fn_terms": r"""
+    WITH t AS (SELECT DISTINCT chunk_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(chunk_text), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN
+      ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'difference', 'do', 'for', 'from', 'how', 'in', 'is', 'it', 'of', 'on', 'or', 'the', 'to', 'what', 'with')))) AS w FROM rag_chunks)
+    SELECT DISTINCT chunk_id, CAST(len(w) AS BIGINT) AS terms, array_to_string(w, ' ') AS term_list FROM t""",
+    "fn_clean_text": r"""SELECT doc_id, regexp_replace(replace(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')), chr(8203), ''), '[\s\x{85}\p{Z}]+([:,.;!?])', '\1', 'g') AS clean FROM documents""",
+    "fn_hash_embedding": """
+    WITH t AS (SELECT DISTINCT chunk_id, sha256(coalesce(chunk_text, '')) AS h FROM rag_chunks), e AS (SELECT *, unnest(range(16)) AS i FROM t)
+    SELECT DISTINCT chunk_id, i, round((CAST(('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2)) AS INTEGER) - 127.5) / 127.5, 9) AS x FROM e""",
+    "join_current_chunks": """SELECT DISTINCT chunk_id, c.doc_id, c.document_version, position FROM rag_chunks c
+    JOIN rag_documents d ON c.doc_id = d.doc_id AND c.document_version = d.document_version WHERE d.status IN ('ok', 'pending_snapshot')""",
+    "join_embedding_gaps": """
+    WITH c AS (SELECT DISTINCT chunk_id FROM rag_chunks c JOIN rag_documents d ON c.doc_id = d.doc_id AND c.document_version = d.document_version WHERE d.status IN ('ok', 'pending_snapshot')),
+    s AS (SELECT DISTINCT embedding_model, embedding_revision FROM rag_chunk_embeddings)
+    SELECT embedding_model, embedding_revision, chunk_id FROM s, c
+    EXCEPT SELECT embedding_model, embedding_revision, chunk_id FROM rag_chunk_embeddings""",
+    "join_chunk_vectors": """
+    WITH c AS (SELECT DISTINCT chunk_id FROM rag_chunks c JOIN rag_documents d ON c.doc_id = d.doc_id AND c.document_version = d.document_version WHERE d.status IN ('ok', 'pending_snapshot')),
+    v AS (SELECT chunk_id, len(arg_max(vector, created_at)) AS n FROM rag_chunk_embeddings WHERE embedding_model = 'tess-embed-small' AND embedding_revision = 'v1' GROUP BY chunk_id)
+    SELECT c.chunk_id, CASE WHEN n IS NULL THEN 'missing' WHEN n <> 64 THEN 'dimension' END AS problem FROM c LEFT JOIN v USING (chunk_id)""",
+    "join_neighbours": """
+    WITH c AS (SELECT DISTINCT chunk_id, doc_id, document_version, position FROM rag_chunks)
+    SELECT a.chunk_id AS anchor_id, b.chunk_id, b.position FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.document_version = b.document_version AND b.position BETWEEN a.position - 1 AND a.position + 1""",
+    "join_path_families": r"""
+    WITH p AS (SELECT DISTINCT doc_id, regexp_extract(canonical_url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path FROM rag_documents),
+    r AS (SELECT DISTINCT '/aws/en/' || category || '/' AS prefix, category AS root_id FROM rag_documents)
+    SELECT DISTINCT doc_id, root_id FROM p JOIN r ON path = rtrim(prefix, '/') OR starts_with(path, prefix)""",
+    "set_origins": "SELECT DISTINCT doc_id, array_to_string(list_sort(list_filter(source_origins, lambda x: x <> '')), '|') AS scope FROM rag_documents",
+    "dml_upsert": """
+    WITH s AS (SELECT doc_id, title, category, status FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY snapshot_no DESC, retrieved_at DESC NULLS LAST, title DESC NULLS LAST, category DESC NULLS LAST, status DESC NULLS LAST) AS r
+               FROM rag_document_snapshots WHERE doc_id IS NOT NULL) WHERE r = 1)
+    SELECT * FROM s UNION ALL SELECT DISTINCT doc_id, title, category, status FROM rag_documents WHERE doc_id NOT IN (SELECT doc_id FROM s)""",
+    "dml_prune_versions": """
+    SELECT DISTINCT c.chunk_id, c.doc_id, c.document_version FROM rag_chunks c LEFT JOIN (SELECT DISTINCT doc_id, document_version FROM rag_documents) d ON c.doc_id = d.doc_id
+    WHERE d.document_version IS NULL OR d.document_version = c.document_version""",
+    "dml_save_embeddings": "SELECT chunk_id, embedding_model, embedding_revision, epoch_us(max(created_at)) AS created_us FROM rag_chunk_embeddings GROUP BY ALL",
+    "dml_delete_category": """
+    WITH d AS (SELECT DISTINCT doc_id, category FROM rag_documents), c AS (SELECT DISTINCT chunk_id, doc_id FROM rag_chunks),
+    n AS (SELECT category, count(*) AS documents FROM d GROUP BY ALL), m AS (SELECT category, count(*) AS chunks FROM c JOIN d USING (doc_id) GROUP BY ALL)
+    SELECT n.category, documents, coalesce(chunks, 0) AS chunks, (SELECT count(*) FROM d) - documents AS documents_left, (SELECT count(*) FROM c) - coalesce(chunks, 0) AS chunks_left
+    FROM n LEFT JOIN m ON n.category = m.category""",
+    "dml_latest_pages": """SELECT doc_id, epoch_us(fetched_at) AS fetched_us, outcome, http_status FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fetched_at DESC NULLS LAST, outcome DESC NULLS LAST, http_status DESC NULLS LAST) AS r FROM fetch_results) WHERE r = 1""",
+    "dml_turn_numbers": """
+    WITH o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase'),
+    m AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'purchase'),
+    l AS (SELECT user_id, max(n) AS last FROM o GROUP BY ALL)
+    SELECT event_id, user_id, CAST(n AS INTEGER) AS turn_number FROM o UNION ALL
+    SELECT event_id, m.user_id, CAST(n + coalesce(last, 0) AS INTEGER) FROM m LEFT JOIN l ON m.user_id = l.user_id""",
+    "win_last_turns": """SELECT user_id, string_agg(substr(props, 1, 900), chr(10) ORDER BY r DESC) AS turns FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 3 GROUP BY user_id""",
+    "agg_categories": """SELECT category, count(*) AS documents, count(indexed_content_hash) AS indexed, count(*) FILTER (last_run_action = 'changed') AS changed,
+      count(*) FILTER (http_status <> 200) AS not_ok, max(consecutive_404_count) AS most_404 FROM (SELECT DISTINCT * FROM rag_documents) GROUP BY category""",
+    "agg_errors": """SELECT outcome, count(*) AS pages, count(error_message) AS errors, coalesce(string_agg(DISTINCT error_message, '; ' ORDER BY error_message), '') AS reasons
+      FROM (SELECT DISTINCT doc_id, outcome, error_message FROM fetch_results) GROUP BY outcome""",
+    "agg_vector_spaces": """SELECT embedding_model, embedding_revision, count(*) AS rows, count(DISTINCT chunk_id) AS chunks, count(*) FILTER (len(vector) <> embedding_dimension) AS wrong_dimension,
+      count(*) = count(DISTINCT chunk_id) AND count(*) FILTER (len(vector) <> embedding_dimension) = 0 AS valid FROM rag_chunk_embeddings GROUP BY ALL""",
+    "snp_normalise": """
+    WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM embeddings),
+    u AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN l = 0 THEN 0.0 ELSE x::DOUBLE / l END) AS v FROM n)
+    SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS length, round(v[1], 6) AS first FROM u""",
+    "ret_semantic": """
+    WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+    s AS (SELECT query_id, vec_id AS id, list_sum(list_transform(list_zip(embedding, e), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS score FROM embeddings, q WHERE vec_id <> query_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+    SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 10""",
+    "ret_hybrid": _SEARCH + "SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM best",
+    "evl_metrics": _SEARCH
+    + """, hits AS (SELECT q.query_id, min(rank) FILTER (c.source_url = q.expected_source_url) AS hit FROM q LEFT JOIN best b ON q.query_id = b.query_id LEFT JOIN c ON b.chunk_id = c.chunk_id GROUP BY ALL)
+    SELECT count(*) AS cases, count(hit) AS hits, count(hit) / count(*) AS recall, avg(coalesce(1 / hit, 0)) AS mean_reciprocal_rank FROM hits""",
+    "ref_plan": _REFRESH + "SELECT doc_id, change, change IN ('added', 'changed') AS needs_chunks, CASE WHEN change IN ('missing', 'failed') THEN v ELSE nv END AS document_version FROM plan",
+    "ref_counts": _REFRESH
+    + """SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'dated') AS dated,
+      count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change = 'failed') AS failed, count(*) FILTER (change = 'missing') AS missing FROM plan""",
 }

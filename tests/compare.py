@@ -1,6 +1,7 @@
 """Run queries and their SQL side by side: python -m tests.compare [sf_dir] [name...]"""
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -51,7 +52,7 @@ def compare(spark, at, name):
 
 if __name__ == "__main__":
     at = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = session()
+    spark = session(os.environ.get("CORES", "8"))
     for name in sys.argv[2:] or entry.queries():
         t = time.time()
         try:
