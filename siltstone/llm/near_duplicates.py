@@ -21,8 +21,9 @@ from siltstone.functions.text import words
 from siltstone.runtime import settle
 
 SYMBOLS = 32
-#: One in each two bits, and in each eight.
-_PAIRS, _BYTES = 0x5555555555555555, 0x0101010101010101
+MIX = 0x85EBCA6B  # odd; a sketch's bits must not follow from the size of a minimum
+#: One in each eight bits.
+_BYTES = 0x0101010101010101
 
 
 def _shingles(offsets: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +47,8 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(width: int, symbols: int, seed: int):
-    """Arrow batches with ``_words`` (word hashes) to batches with ``_symbols`` (32 bits each),
-    ``_sketch`` (two bits of each in one long) and ``_wide`` (eight bits of each in four)."""
+    """Arrow batches with ``_words`` (word hashes) to batches with ``_symbols`` (32 bits each) and
+    ``_sketch``, ``_more``: three bits of each symbol, two planes in a long and one in an int."""
     draw = np.random.default_rng(seed).integers(1, 2**63, (2, symbols), dtype=np.int64).view(np.uint64)
     factors, shifts = draw[0] | np.uint64(1), draw[1]
 
@@ -61,14 +62,13 @@ def _signatures(width: int, symbols: int, seed: int):
                 with np.errstate(over="ignore"):
                     for k in range(symbols):
                         out[:, k] = np.minimum.reduceat((mixed * factors[k] + shifts[k]) >> np.uint64(32), bounds[:-1][some])
-            mixed_bits = out * np.uint32(0x85EBCA6B)  # so that the bits do not follow from the minimum's size
-            sketch = np.zeros(len(some), np.uint64)
-            for k in range(symbols):
-                sketch |= (mixed_bits[:, k] >> np.uint32(30)).astype(np.uint64) << np.uint64(2 * k)
-            wide = np.ascontiguousarray((mixed_bits >> np.uint32(20)).astype(np.uint8)).view(np.int64)
+            planes = [np.packbits((out * np.uint32(MIX) >> np.uint32(31 - i)).astype(np.uint8) & 1, axis=1).view(np.uint32).ravel() for i in range(3)]
+            sketch = planes[0].astype(np.uint64) << np.uint64(32) | planes[1]
             kept = batch.take(pa.array(some)).drop_columns(["_words"])
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (wide, out.view(np.int32))]
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sketch.view(np.int64)), *lists], names=[*kept.schema.names, "_sketch", "_wide", "_symbols"])
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * symbols), pa.array(out.view(np.int32).ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(sketch.view(np.int64)), pa.array(planes[2].view(np.int32)), each], names=[*kept.schema.names, "_sketch", "_more", "_symbols"]
+            )
 
     return run
 
@@ -108,14 +108,27 @@ def _anchors(symbols: Column, blocks: int, span: int) -> Column:
     return F.array(*out)
 
 
-def agreement(a: Column, b: Column) -> Column:
-    """Of the 32 two-bit symbols of two sketches, how many are equal."""
-    differs = a.bitwiseXOR(b)
-    return F.lit(SYMBOLS) - F.bit_count(differs.bitwiseOR(F.shiftrightunsigned(differs, 1)).bitwiseAND(F.lit(_PAIRS)))
+def agreement(a: Column, more_a: Column, b: Column, more_b: Column) -> Column:
+    """Of the 32 three-bit symbols of two sketches, how many are equal."""
+    two = a.bitwiseXOR(b)
+    differs = two.bitwiseOR(F.shiftrightunsigned(two, 32)).bitwiseOR(more_a.bitwiseXOR(more_b).cast("long"))
+    return F.lit(SYMBOLS) - F.bit_count(differs.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def wide_sketch(symbols: Column) -> Column:
+    """Eight bits of each of the 32 symbols, in four longs."""
+    bits = [F.shiftrightunsigned(symbols[i].cast("long") * MIX, 16).bitwiseAND(F.lit(0xFF)) for i in range(SYMBOLS)]
+    longs = []
+    for i in range(0, SYMBOLS, 8):
+        packed = bits[i]
+        for j in range(1, 8):
+            packed = packed.bitwiseOR(F.shiftleft(bits[i + j], 8 * j))
+        longs.append(packed)
+    return F.array(*longs)
 
 
 def wide_agreement(a: Column, b: Column) -> Column:
-    """Of the 32 eight-bit symbols in two arrays of four longs, how many are equal."""
+    """Of the 32 eight-bit symbols of two wide sketches, how many are equal."""
     out = F.lit(SYMBOLS)
     for i in range(SYMBOLS // 8):
         differs = a[i].bitwiseXOR(b[i])
@@ -164,44 +177,42 @@ def near_duplicates(
     """
     if blocks * span > SYMBOLS:
         raise ValueError(f"at most {SYMBOLS} symbols")
+    coarse, fine = enough(threshold, 3, span, 3.0), enough(threshold, 8, span, 3.0)
     keep = keep or []
     base = records.where(F.col(text_col).isNotNull()).select(F.col(id_col), *keep, F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_row"))
     hashed = base.withColumn("_words", _word_hashes(F.col("_text"))).withColumn("class_id", F.xxhash64("_words"))
     narrow = hashed.select(id_col, *keep, "_row", "class_id", "_words")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    signed = settle(narrow.mapInArrow(_signatures(width, SYMBOLS, seed), f"{kinds}, _sketch long, _wide array<long>, _symbols array<int>"), "fingerprints")
-    members = signed.select(id_col, *keep, "class_id", "_sketch", "_wide", "_row")
-
-    # fingerprints, not records, are replicated: equal ones merge before they travel
-    sent = signed.select("_sketch", F.explode(_anchors(F.col("_symbols"), blocks, span)).alias("_anchor"))
-    sent = sent.repartition("_anchor").distinct()
-    left, right = sent.alias("l"), sent.alias("r")
-    coarse, fine = enough(threshold, 2, span, 2.7), enough(threshold, 8, span, 3.0)
-    met = (
-        left.join(right, (F.col("l._anchor") == F.col("r._anchor")) & (F.col("l._sketch") < F.col("r._sketch")) & (agreement(F.col("l._sketch"), F.col("r._sketch")) >= coarse))
-        .select(F.col("l._sketch").alias("_sa"), F.col("r._sketch").alias("_sb"))
-        .distinct()
-    )
-    # classes behind the fingerprints; those with the same fingerprint meet without an anchor
-    classes = members.groupBy("class_id").agg(F.first("_sketch").alias("_sketch"), F.first("_wide").alias("_wide"), F.min(F.struct(F.col(id_col), F.col("_row"))).alias("_id"))
-    same = classes.alias("a").join(classes.alias("b"), (F.col("a._sketch") == F.col("b._sketch")) & (F.col("a.class_id") < F.col("b.class_id")))
-    pairs = same.select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")).unionByName(
-        met.join(classes.select(F.col("_sketch").alias("_sa"), F.col("class_id").alias("_ca"), F.col("_wide").alias("_wa")), "_sa")
-        .join(classes.select(F.col("_sketch").alias("_sb"), F.col("class_id").alias("_cb"), F.col("_wide").alias("_wb")), "_sb")
-        .where(wide_agreement(F.col("_wa"), F.col("_wb")) >= fine)
-        .select(F.least("_ca", "_cb").alias("class_a"), F.greatest("_ca", "_cb").alias("class_b"))
-    )
-    pairs = settle(pairs, "met")
+    signed = settle(narrow.mapInArrow(_signatures(width, SYMBOLS, seed), f"{kinds}, _sketch long, _more int, _symbols array<int>"), "fingerprints")
+    members = signed.select(id_col, *keep, "class_id")
+
+    # fingerprints, not records, are replicated: equal ones merge where they meet
+    sent = signed.select("_sketch", "_more", F.explode(_anchors(F.col("_symbols"), blocks, span)).alias("_anchor")).repartition("_anchor").distinct()
+    a, b = sent.alias("a"), sent.alias("b")
+    alike = agreement(F.col("a._sketch"), F.col("a._more"), F.col("b._sketch"), F.col("b._more")) >= coarse
+    met = a.join(b, (F.col("a._anchor") == F.col("b._anchor")) & (F.col("a._sketch") < F.col("b._sketch")) & alike)
+    met = met.select(F.col("a._sketch").alias("_sa"), F.col("b._sketch").alias("_sb")).repartition("_sa").distinct()
+    # classes behind the fingerprints; those with the same first planes meet without an anchor
+    one = F.min_by(F.struct("_sketch", "_row", F.col(id_col).alias("_id"), "_symbols"), F.struct(id_col, "_row"))
+    classes = signed.groupBy("class_id").agg(one.alias("_c")).select("class_id", "_c._sketch", "_c._row", "_c._id", wide_sketch(F.col("_c._symbols")).alias("_wide"))
+    classes = settle(classes, "classes")
+    at_a = classes.select(F.col("_sketch").alias("_sa"), F.col("class_id").alias("_ca"), F.col("_wide").alias("_wa"))
+    at_b = classes.select(F.col("_sketch").alias("_sb"), F.col("class_id").alias("_cb"), F.col("_wide").alias("_wb"))
+    close = wide_agreement(F.col("_wa"), F.col("_wb")) >= fine
+    same = at_a.join(at_b, (F.col("_sa") == F.col("_sb")) & (F.col("_ca") < F.col("_cb")) & close).select("_ca", "_cb")
+    pairs = met.join(at_a, "_sa").join(at_b, "_sb").where(close).select("_ca", "_cb").unionByName(same)
+    pairs = settle(pairs.select(F.least("_ca", "_cb").alias("class_a"), F.greatest("_ca", "_cb").alias("class_b")), "met")
     involved = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
-    chosen = classes.join(involved, "class_id").select("class_id", F.col("_id")[id_col].alias(id_col), F.col("_id._row").alias("_row"))
-    texts = chosen.join(base.select(id_col, "_row", "_text"), [id_col, "_row"]).groupBy("class_id").agg(F.min("_text").alias("_text"))
+    chosen = classes.select("class_id", "_id", "_row").join(involved, "class_id", "left_semi")
+    written = base.select(F.col(id_col).alias("_id"), "_row", "_text")
+    texts = chosen.join(written, ["_id", "_row"]).select("class_id", "_text").dropDuplicates(["class_id"])
     both = (
         pairs.join(texts.select(F.col("class_id").alias("class_a"), F.col("_text").alias("_text_a")), "class_a")
         .join(texts.select(F.col("class_id").alias("class_b"), F.col("_text").alias("_text_b")), "class_b")
         .select("class_a", "class_b", _word_hashes(F.col("_text_a")).alias("_words_a"), _word_hashes(F.col("_text_b")).alias("_words_b"))
     )
     links = both.mapInArrow(_similarities(width), "class_a long, class_b long, similarity double").where(F.col("similarity") >= threshold)
-    return members.drop("_sketch", "_wide", "_row"), links
+    return members, links
 
 
 def duplicate_pairs(members: DataFrame, links: DataFrame, *, id_col: str, apart: str) -> DataFrame:
