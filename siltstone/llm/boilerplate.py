@@ -309,7 +309,7 @@ def main_bodies(extracted: DataFrame, fetched: DataFrame) -> DataFrame:
     lines = F.split("_markdown", "\n")
     left = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_lines", i), x)), lambda x: x.isNotNull())
     body = F.regexp_replace(F.array_join(left, "\n"), r"\n{3,}", "\n\n")
-    return _joined(extracted, fetched).select(F.col("_doc").alias("doc_id"), F.trim(F.lit("\n"), body).alias("main_body"), F.size("_lines").alias("removed_lines"))
+    return _joined(extracted, fetched).select(F.col("_doc").alias("doc_id"), F.trim(body, F.lit("\n")).alias("main_body"), F.size("_lines").alias("removed_lines"))
 
 
 def page_texts(fetched: DataFrame) -> DataFrame:
