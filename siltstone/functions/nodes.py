@@ -55,4 +55,4 @@ def markdown(nodes: Column) -> Column:
         )
 
     shown = F.filter(F.transform(nodes, block), lambda x: x.isNotNull())
-    return F.concat(F.trim(F.lit(" \n\t\r"), F.array_join(shown, "\n\n")), F.lit("\n"))
+    return F.concat(F.trim(F.array_join(shown, "\n\n"), F.lit(" \n\t\r")), F.lit("\n"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions.identity import phrases, terms
 from siltstone.functions.vectors import dot
@@ -41,7 +42,7 @@ class _Questions:
         return np.minimum(hits @ self.weights, 1.0).round(12)
 
 
-def _best(shared, most: int):
+def _best(shared, most: int, id_type: pa.DataType):
     """Of each partition and question, the ``most`` rows by semantic and by lexical score: a partial top k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +76,7 @@ def _best(shared, most: int):
                 use = np.ones(ids.shape[2], bool) if kind == 0 else kept[j, 1, :, 1] > 0
                 m = int(use.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([query] * m), pa.array(ids[j, kind, use], pa.string()), pa.array(kept[j, kind, use, 0]), pa.array(kept[j, kind, use, 1]), pa.array([kind] * m, pa.int32())],
+                    [pa.array([query] * m, id_type), pa.array(ids[j, kind, use], pa.string()), pa.array(kept[j, kind, use, 0]), pa.array(kept[j, kind, use, 1]), pa.array([kind] * m, pa.int32())],
                     names=["query_id", "chunk_id", "semantic", "lexical", "_kind"],
                 )
 
@@ -106,7 +107,7 @@ def hybrid_search(corpus: DataFrame, questions: DataFrame, *, k: int = 10, most_
     pool, most = pool_size(k), pool_size(k) + k
     shared = questions.sparkSession.sparkContext.broadcast(_Questions(rows))
     text = F.lower(F.concat_ws(" ", F.coalesce("source_title", F.lit("")), F.coalesce("chunk_text", F.lit(""))))
-    best = corpus.select("chunk_id", text.alias("_text"), "vector").mapInArrow(_best(shared, most), f"query_id {kind}, chunk_id string, semantic double, lexical double, _kind int")
+    best = corpus.select("chunk_id", text.alias("_text"), "vector").mapInArrow(_best(shared, most, to_arrow_type(questions.schema["query_id"].dataType)), f"query_id {kind}, chunk_id string, semantic double, lexical double, _kind int")
     by_meaning = W.partitionBy("query_id", "_kind").orderBy(F.when(F.col("_kind") == 0, -F.col("semantic")).otherwise(-F.col("lexical")), "chunk_id")
     ranked = best.withColumn("_r", F.row_number().over(by_meaning)).where(F.col("_r") <= F.when(F.col("_kind") == 0, pool).otherwise(most))
     # a chunk that is in both lists is in the pool

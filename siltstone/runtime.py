@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,8 @@ def session(cores: str = "8", app: str = "siltstone") -> SparkSession:
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    # tasks import this package; where it is not installed there, from the same folder
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
