@@ -179,7 +179,7 @@ def near_duplicates(
         raise ValueError(f"at most {SYMBOLS} symbols")
     coarse, fine = enough(threshold, 3, span, 3.0), enough(threshold, 8, span, 3.0)
     keep = keep or []
-    base = records.where(F.col(text_col).isNotNull()).select(F.col(id_col), *keep, F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_row"))
+    base = records.where(F.col(text_col).isNotNull()).select(F.col(id_col), *keep, F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_row"))
     hashed = base.withColumn("_words", _word_hashes(F.col("_text"))).withColumn("class_id", F.xxhash64("_words"))
     narrow = hashed.select(id_col, *keep, "_row", "class_id", "_words")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
@@ -193,8 +193,8 @@ def near_duplicates(
     met = a.join(b, (F.col("a._anchor") == F.col("b._anchor")) & (F.col("a._sketch") < F.col("b._sketch")) & alike)
     met = met.select(F.col("a._sketch").alias("_sa"), F.col("b._sketch").alias("_sb")).repartition("_sa").distinct()
     # classes behind the fingerprints; those with the same first planes meet without an anchor
-    one = F.min_by(F.struct("_sketch", "_row", F.col(id_col).alias("_id"), "_symbols"), F.struct(id_col, "_row"))
-    classes = signed.groupBy("class_id").agg(one.alias("_c")).select("class_id", "_c._sketch", "_c._row", "_c._id", wide_sketch(F.col("_c._symbols")).alias("_wide"))
+    one = F.min_by(F.struct("_sketch", "_row", "_symbols"), "_row")
+    classes = signed.groupBy("class_id").agg(one.alias("_c")).select("class_id", "_c._sketch", "_c._row", wide_sketch(F.col("_c._symbols")).alias("_wide"))
     classes = settle(classes, "classes")
     at_a = classes.select(F.col("_sketch").alias("_sa"), F.col("class_id").alias("_ca"), F.col("_wide").alias("_wa"))
     at_b = classes.select(F.col("_sketch").alias("_sb"), F.col("class_id").alias("_cb"), F.col("_wide").alias("_wb"))
@@ -203,9 +203,8 @@ def near_duplicates(
     pairs = met.join(at_a, "_sa").join(at_b, "_sb").where(close).select("_ca", "_cb").unionByName(same)
     pairs = settle(pairs.select(F.least("_ca", "_cb").alias("class_a"), F.greatest("_ca", "_cb").alias("class_b")), "met")
     involved = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
-    chosen = classes.select("class_id", "_id", "_row").join(involved, "class_id", "left_semi")
-    written = base.select(F.col(id_col).alias("_id"), "_row", "_text")
-    texts = chosen.join(written, ["_id", "_row"]).select("class_id", "_text").dropDuplicates(["class_id"])
+    chosen = classes.select("class_id", "_row").join(involved, "class_id", "left_semi")
+    texts = chosen.join(base.select("_row", "_text"), "_row").select("class_id", "_text").dropDuplicates(["class_id"])
     both = (
         pairs.join(texts.select(F.col("class_id").alias("class_a"), F.col("_text").alias("_text_a")), "class_a")
         .join(texts.select(F.col("class_id").alias("class_b"), F.col("_text").alias("_text_b")), "class_b")
