@@ -93,4 +93,6 @@ def clean_text(text: Column) -> Column:
 def hash_embedding(text: Column) -> Column:
     """Sixteen numbers in -1 to 1 from the first bytes of the text's digest; for tests and dry runs."""
     digest = F.sha2(F.coalesce(text, F.lit("")), 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5) / 127.5)
+    # bound in an array of one, so that it is worked out once a text
+    numbers = F.transform(F.array(digest), lambda d: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5) / 127.5))
+    return F.get(numbers, F.lit(0))

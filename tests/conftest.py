@@ -11,6 +11,7 @@ from siltstone.runtime import session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = session("4", "tests")
-    s.conf.set("spark.sql.shuffle.partitions", "4")
+    s.conf.set("spark.sql.shuffle.partitions", "2")
+    s.conf.set("spark.sql.codegen.wholeStage", "false")  # tiny inputs: compiling would take most of the time
     yield s
     s.stop()
