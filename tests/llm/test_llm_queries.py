@@ -14,7 +14,7 @@ SMALL, NEXT = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\W_]+")
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.endswith("_found") or n in ORACLES])
 def test_query(spark, name):
     rows, wanted, equal = compare(spark, SMALL, name)
     assert rows > 0
@@ -33,7 +33,8 @@ COLUMNS = {
 def test_result_columns_and_distinct_rows(spark, name):
     found = QUERIES[name](spark, SMALL)
     assert dict(found.dtypes) == COLUMNS[name]
-    assert found.count() == found.distinct().count()
+    rows = found.collect()
+    assert rows and len(rows) == len(set(rows))
 
 
 def test_similar_chunks_against_all_pairs(spark):

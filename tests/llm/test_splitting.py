@@ -17,7 +17,7 @@ def check(text, got, limit, overlap):
         assert text[p.start : p.start + len(p.piece)] == p.piece
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="ab c.,\n\té😀 。", max_size=200), min_size=1, max_size=30))
 def test_pieces_are_the_text(spark, texts):
     for text, got in zip(texts, pieces(spark, texts)):
