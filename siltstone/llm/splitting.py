@@ -43,13 +43,15 @@ def split_pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Co
         raise ValueError("the overlap must be less than half the limit")
     core = F.regexp_extract_all(text, F.lit(piece_pattern(limit - overlap)), F.lit(0))
     parts = F.when(F.length(text) <= limit, F.filter(F.array(text), lambda t: F.length(t) > 0)).otherwise(core)
-    begun = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
-    )["starts"]
 
-    def piece(p: Column, i: Column) -> Column:
+    def starts(parts: Column) -> Column:
+        return F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+            lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
+        )["starts"]
+
+    def piece(parts: Column, begun: Column, p: Column, i: Column) -> Column:
         before = F.get(parts, i - 1)
         tail = F.substring(before, F.greatest(F.length(before) - overlap + 1, F.lit(1)), F.lit(overlap))
         # from the first word that begins in the lookback on
@@ -58,7 +60,9 @@ def split_pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Co
             i.alias("piece_no"), (F.get(begun, i) - F.length(shared)).alias("start"), F.length(shared).alias("overlap"), F.concat(shared, p).alias("piece")
         )
 
-    return F.transform(parts, piece)
+    # arrays of one, so that the parts and their offsets are bound once a text and not worked out again for each piece
+    bound = F.transform(F.array(parts), lambda x: F.struct(x.alias("parts"), starts(x).alias("begun")))
+    return F.get(F.transform(bound, lambda b: F.transform(b["parts"], lambda p, i: piece(b["parts"], b["begun"], p, i))), F.lit(0))
 
 
 def oversized_units(chunks: DataFrame, extracted: DataFrame, limit: int = LIMIT) -> DataFrame:
