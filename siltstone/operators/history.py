@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from siltstone.runtime import settle
+
+
+def numbered(rows: DataFrame, *, key: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``_n``, their number within the key by ``order``, from 1.
+
+    Rows are range-partitioned by key and order, so that a key with a third of all rows spans
+    many tasks: each part is numbered by itself and begins after the parts before it. Null
+    keys are a key; rows equal in all of ``order`` are numbered in any order.
+    """
+    spread = settle(rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = spread.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_at")).agg(F.count("*").alias("_size"))
+    before = W.partitionBy("_key").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))  # a row for each key and part
+    own = F.row_number().over(W.partitionBy(key, "_part").orderBy(*order))
+    met = spread.withColumn("_own", own).join(sizes, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
+    return met.withColumn("_n", F.col("_own") + F.col("_before")).drop("_part", "_own", "_key", "_at", "_size", "_before")
+
 
 def numbered_turns(new: DataFrame, existing: DataFrame, *, key: str, order: list[str]) -> DataFrame:
     """``new`` with ``turn_number``, going on from the highest number that ``existing`` has for the key."""
     last = existing.groupBy(key).agg(F.max("turn_number").alias("_last"))
-    w = W.partitionBy(key).orderBy(*order)
-    return new.join(last, key, "left").withColumn("turn_number", (F.coalesce("_last", F.lit(0)) + F.row_number().over(w)).cast("int")).drop("_last")
+    return numbered(new, key=key, order=order).join(last, key, "left").withColumn("turn_number", (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("int")).drop("_last", "_n")
 
 
 def last_turns(turns: DataFrame, *, key: str, order: list[str], text: str, limit: int = 3, most: int = 900) -> DataFrame:

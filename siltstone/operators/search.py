@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions.identity import phrases, terms
-from siltstone.functions.vectors import dot
 
 SEMANTIC, LEXICAL = 0.65, 0.35
+DECIMALS = 12
 
 
 def pool_size(k: int) -> int:
@@ -118,17 +118,64 @@ def hybrid_search(corpus: DataFrame, questions: DataFrame, *, k: int = 10, most_
     return scored.select("query_id", "rank", "chunk_id", "score", "semantic", "lexical")
 
 
-def semantic_search(corpus: DataFrame, queries: DataFrame, *, k: int = 10, most_queries: int = 100000) -> DataFrame:
+def _nearest(shared, most: int, id_type: pa.DataType, query_type: pa.DataType):
+    """Of each partition and query, the ``most`` rows with the largest inner product: a partial top k."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = shared.value
+        floor = np.full(len(names), -np.inf)  # what a row must reach to be among a query's best so far
+        query, ids, score = np.empty(0, int), None, np.empty(0)
+        step = max(16, 250_000 // len(names))
+        for batch in batches:
+            rows = np.array(batch.column("vector").to_pylist(), float).reshape(batch.num_rows, -1)
+            own = batch.column("id").to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, step):
+                met = (rows[at : at + step] @ asked.T).round(DECIMALS)
+                row, q = np.nonzero(met >= floor)
+                ids = own[at + row] if ids is None else np.concatenate([ids, own[at + row]])
+                query, score = np.concatenate([query, q]), np.concatenate([score, met[row, q]])
+                order = np.lexsort((ids, -score, query))
+                query, ids, score = query[order], ids[order], score[order]
+                place = np.arange(len(query)) - np.searchsorted(query, query)
+                floor[query[place == most - 1]] = score[place == most - 1]
+                query, ids, score = (x[place < most] for x in (query, ids, score))
+        if ids is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in query], query_type), pa.array(ids, id_type), pa.array(score)], names=["query_id", "id", "score"])
+
+    return run
+
+
+def semantic_search(corpus: DataFrame, queries: DataFrame, *, k: int = 10, block: int = 4096) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` largest inner products of each query, ties to the smaller id.
 
     ``corpus`` has id, vector and ``queries`` query_id, vector; a row is not its own result.
+    Scores are double precision, rounded to 12 decimals. Vectors are compared with those of
+    their length; null ids and vectors, and vectors that hold nulls, take no part.
+
+    The queries are taken in blocks of about ``block``, each broadcast (its size is bounded by
+    ``block`` vectors) and met by one scan of the corpus. A partition keeps its best ``k`` + 1
+    rows for each query, so what is shuffled grows with queries and partitions, not with pairs.
     """
-    if queries.count() > most_queries:
-        raise ValueError(f"search at most {most_queries} queries at a time")
-    met = corpus.select("id", "vector").crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("_q"))))
-    scored = met.where(F.col("id") != F.col("query_id")).select("query_id", "id", dot(F.col("vector"), F.col("_q")).alias("score"))
+    spark = corpus.sparkSession
+    kinds = [queries.schema["query_id"].dataType, corpus.schema["id"].dataType]
+    schema = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, score double"
+
+    def whole(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(name, "vector").where(F.col(name).isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull()))
+
+    asked, rows = whole(queries, "query_id").distinct(), whole(corpus, "id")
+    found = spark.createDataFrame([], schema)
+    for width, n in [tuple(r) for r in asked.groupBy(F.size("vector")).count().collect() if r[0] > 0]:
+        blocks = -(-n // block)
+        for b in range(blocks):
+            some = asked.where((F.size("vector") == width) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toPandas()
+            if len(some):
+                shared = spark.sparkContext.broadcast((some["query_id"].tolist(), np.array(some["vector"].tolist(), float)))
+                best = _nearest(shared, k + 1, to_arrow_type(kinds[1]), to_arrow_type(kinds[0]))
+                found = found.unionByName(rows.where(F.size("vector") == width).select("id", "vector").mapInArrow(best, schema))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    found = found.where(F.col("id") != F.col("query_id")).distinct()
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def search_within(corpus: DataFrame, url: str, question: DataFrame, *, k: int = 10) -> DataFrame:

@@ -32,6 +32,12 @@ def _chunks(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, at, "rag_chunks"), table(spark, at, "rag_documents")
 
 
+def _current(spark: SparkSession, at: str, *columns: str) -> DataFrame:
+    """Current chunks with only these columns and their version, so that no others are shuffled."""
+    chunks, documents = _chunks(spark, at)
+    return corpus.current_chunks(chunks.select("doc_id", "document_version", *columns), documents)
+
+
 def fn_urls(spark: SparkSession, at: str) -> DataFrame:
     url = ids.canonical_url(F.col("requested_url"))
     rows = table(spark, at, "rag_documents").select("doc_id", url.alias("url")).distinct()
@@ -66,15 +72,15 @@ def fn_hash_embedding(spark: SparkSession, at: str) -> DataFrame:
 
 
 def join_current_chunks(spark: SparkSession, at: str) -> DataFrame:
-    return corpus.current_chunks(*_chunks(spark, at)).select("chunk_id", "doc_id", "document_version", "position").distinct()
+    return _current(spark, at, "chunk_id", "position").select("chunk_id", "doc_id", "document_version", "position")
 
 
 def join_embedding_gaps(spark: SparkSession, at: str) -> DataFrame:
-    return corpus.embedding_gaps(corpus.current_chunks(*_chunks(spark, at)), table(spark, at, "rag_chunk_embeddings"))
+    return corpus.embedding_gaps(_current(spark, at, "chunk_id"), table(spark, at, "rag_chunk_embeddings"))
 
 
 def join_chunk_vectors(spark: SparkSession, at: str) -> DataFrame:
-    chunks = corpus.current_chunks(*_chunks(spark, at)).select("chunk_id").distinct()
+    chunks = _current(spark, at, "chunk_id").select("chunk_id").distinct()
     joined = corpus.chunk_vectors(chunks, table(spark, at, "rag_chunk_embeddings"), "tess-embed-small", "v1", 64)
     return joined.select("chunk_id", "problem")
 
@@ -183,7 +189,7 @@ def ret_semantic(spark: SparkSession, at: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = corpus.current_chunks(*_chunks(spark, at)).select("chunk_id", "source_title", "source_url", "chunk_text").distinct()
+    chunks = _current(spark, at, "chunk_id", "source_title", "source_url", "chunk_text").select("chunk_id", "source_title", "source_url", "chunk_text")
     indexed = chunks.withColumn("vector", ids.hash_embedding(F.col("chunk_text")))
     items = table(spark, at, "eval_items").select(F.col("item_id").alias("query_id"), "question", "expected_source_url")
     asked = items.withColumn("vector", ids.hash_embedding(F.col("question")))

@@ -153,6 +153,36 @@ def test_turns(spark):
     assert last["u"] == ["b"] and len(last["w"][0]) == 900
 
 
+def test_numbering_of_a_hot_key(spark):
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}", (i * 37) % 500, i) for i in range(500)]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = {r.i: r._n for r in history.numbered(spark.createDataFrame(rows, "key string, at int, i int").repartition(5), key="key", order=["at"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    for key in {r[0] for r in rows}:
+        mine = sorted((r[1], r[2]) for r in rows if r[0] == key)
+        assert [got[i] for _, i in mine] == list(range(1, len(mine) + 1))
+    assert history.numbered(spark.createDataFrame([], "key string, at int"), key="key", order=["at"]).count() == 0
+
+
+def test_semantic_search_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"v{i:03}", rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)]  # many ties
+    odd = [("short", [1.0]), ("null", None), ("part", [1.0, None, 0.0, 0.0]), (None, [1.0, 1.0, 1.0, 1.0]), rows[0]]
+    corpus_rows = spark.createDataFrame(rows + odd, "id string, vector array<double>").repartition(5)
+    asked = [r for r in rows if r[0].endswith("0")]
+    queries = spark.createDataFrame([*asked, ("short", [2.0]), ("none", None), asked[0]], "query_id string, vector array<double>")
+    got = [tuple(r) for r in search.semantic_search(corpus_rows, queries, k=7, block=9).collect()]
+    want = []
+    for q, v in asked:
+        best = sorted((-float(np.dot(v, w)), i) for i, w in rows if i != q)[:7]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want)
+    empty = queries.limit(0)
+    assert search.semantic_search(corpus_rows, empty).count() == 0 and search.semantic_search(corpus_rows.limit(0), queries).count() == 0
+
+
 def test_hybrid_search_pool_and_ties(spark):
     rng = np.random.default_rng(0)
     rows = [(f"c{i:03}", "T", "apple pie" if i == 150 else "filler", rng.normal(size=4).tolist()) for i in range(200)]
