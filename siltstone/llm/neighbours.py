@@ -131,6 +131,15 @@ def _sizes(column: pa.Array) -> np.ndarray:
     return np.diff(column.offsets.to_numpy())
 
 
+def _first_copies(rows: np.ndarray, most: int) -> np.ndarray:
+    """Indices, in order, of the rows that are among the first ``most`` with the same values."""
+    same = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)[1]
+    order = np.argsort(same, kind="stable")
+    place = np.empty(len(rows), int)
+    place[order] = np.arange(len(rows)) - np.searchsorted(same[order], same[order])
+    return np.flatnonzero(place < most)
+
+
 def _search(books: dict, k: int, depth: int, least: float):
     """One inverted list (or a shard of it): score by distance tables, rerank the best exactly."""
 
@@ -144,6 +153,8 @@ def _search(books: dict, k: int, depth: int, least: float):
         order = np.argsort(ids)  # the smaller id first, so that ties fall to it
         raw, ids, roles = raw[order], ids[order], roles[order]
         base, asks = np.flatnonzero(roles & 1), np.flatnonzero(roles & 2)
+        if len(base):  # of a vector's copies only the k + 1 smallest ids can be among anyone's first k
+            base = base[_first_copies(raw[base], k + 1)]
         centre = book.coarse[first["_list"]]
         unit = _unit(raw.astype(np.float64))
         small = unit.astype(np.float32)
@@ -235,7 +246,8 @@ def nearest_neighbours(
     distance tables over product-quantised residuals and the best ``depth`` are reranked
     exactly. Lists expected to hold over ``shard_rows`` vectors are searched in shards by
     separate tasks whose results are merged, so no task holds more than a shard of members
-    and one of queries.
+    and one of queries. Of a vector's copies in a list only the ``k + 1`` smallest ids are
+    scored, so that copies cannot fill the ``depth`` candidates.
 
     A vector with more copies than a thousandth of all rows is indexed by the ``k + 1``
     smallest ids of its copies, which are all that can be among anyone's first ``k``; the other

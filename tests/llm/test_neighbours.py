@@ -47,6 +47,17 @@ def test_hot_copies_and_ties(spark):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_more_copies_than_candidates(spark):
+    """Groups of copies too small to count as hot, but larger than the candidates that are reranked."""
+    ids, x = vectors(400)
+    for i in range(0, 400, 20):
+        x[i : i + 20] = x[i]
+    df = frame(spark, [("m", "r", i, 24, v.tolist(), T1) for i, v in zip(ids, x)])
+    df = df.unionByName(frame(spark, [("n", "r", f"w{i}", 24, np.random.default_rng(i).normal(size=24).tolist(), T1) for i in range(8)]))
+    got = {(r.chunk_id, r.neighbour_id) for r in nearest_neighbours(df, k=5, depth=8).collect() if r.chunk_id[0] == "v"}
+    assert got == exact(ids, x, 5)
+
+
 def test_unusable_and_old_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
