@@ -62,6 +62,25 @@ def read_in_order(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     return asked.join(chunks, "chunk_id")
 
 
+def documents_scan(documents: DataFrame) -> DataFrame:
+    """The columns a refresh works on, one row a document: origins joined by ``|``, no count is 0."""
+    named = [
+        "doc_id", "requested_url", "canonical_url", "title", "category", "source_last_updated", "source_content_hash", "document_version", "status",
+        "indexed_content_hash", "indexed_source_last_updated", "chunked_content_hash", "chunked_source_last_updated", "chunked_document_version", "error_message",
+    ]
+    misses = F.coalesce("consecutive_404_count", F.lit(0)).alias("consecutive_404_count")
+    return documents.select(*named, misses, F.array_join("source_origins", "|").alias("origins")).distinct()
+
+
+CHECKPOINTS = ("indexed_content_hash", "indexed_source_last_updated", "chunked_content_hash", "chunked_source_last_updated")
+
+
+def clear_checkpoints(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cleared, counted): all rows with null checkpoints, so that the next refresh takes every
+    page for changed; and one row with how many rows had one (``cleared``)."""
+    return documents.withColumns({c: F.lit(None).cast("string") for c in CHECKPOINTS}), documents.agg(F.count("indexed_content_hash").alias("cleared"))
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``source``, and those of ``target`` whose key is not among them."""
     return source.unionByName(target.join(source.select(*keys), keys, "left_anti"), allowMissingColumns=True)

@@ -13,11 +13,12 @@ from siltstone.operators import corpus
 
 
 class VersionedTable:
-    """A table of immutable versions under one folder; ``current.json`` names the one in use.
+    """A table of immutable parts under one folder; ``current.json`` names those in use.
 
-    Every change writes a new version beside the old one and then swaps the pointer by rename,
+    Every change writes a new part beside the old ones and then swaps the pointer by rename,
     so a reader sees either all or nothing of it, and no plan reads the files it overwrites.
-    There is one writer at a time.
+    An append writes its own rows alone; other changes write the table anew. There is one
+    writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -31,20 +32,26 @@ class VersionedTable:
         now = self.manifest()
         if now is None:
             raise LookupError(f"no version in {self.root}")
-        return self.spark.read.parquet(str(self.root / now["version"]))
+        parts = [str(self.root / p) for p in now["parts"]]
+        return self.spark.read.option("mergeSchema", len(parts) > 1).parquet(*parts)
 
     def publish(self, df: DataFrame, partition_by: list[str] | None = None, **facts) -> str:
         """Write a version and make it current; ``facts`` go into the pointer file."""
+        return self._write(df, [], partition_by, **facts)
+
+    def _write(self, df: DataFrame, kept: list[str], partition_by: list[str] | None = None, **facts) -> str:
         version = f"v-{uuid.uuid4().hex[:16]}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(str(self.root / version))
         beside = self.root / f"{version}.json"
-        beside.write_text(json.dumps({"version": version} | facts, sort_keys=True))
+        beside.write_text(json.dumps({"version": version, "parts": [*kept, version]} | facts, sort_keys=True))
         os.replace(beside, self.root / "current.json")
         return version
 
     def append(self, rows: DataFrame) -> str:
-        return self.publish(self.read().unionByName(rows, allowMissingColumns=True) if self.manifest() else rows)
+        """Add rows; columns that they or the table lack are null."""
+        now = self.manifest()
+        return self._write(rows, now["parts"] if now else [])
 
     def upsert(self, rows: DataFrame, keys: list[str]) -> str:
         """Rows replace those of the same key, others are kept; the source must have a key once."""

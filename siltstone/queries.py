@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltstone.functions import identity as ids
 from siltstone.functions.vectors import norm, normalised
-from siltstone.operators import chunking, corpus, extract, history, search
+from siltstone.operators import chunking, corpus, embedding, evidence, extract, history, search
 from siltstone.operators.snapshots import snapshot_changes
 from siltstone.plans.refresh import change_counts, plan_refresh
 from siltstone.runtime import table
@@ -206,6 +206,41 @@ def evl_metrics(spark: SparkSession, at: str) -> DataFrame:
     return search.retrieval_metrics(search.first_hits(found, items.select("query_id", "expected_source_url"), chunks))
 
 
+def prj_cards(spark: SparkSession, at: str) -> DataFrame:
+    found = _searched(spark, at)[0]
+    return evidence.evidence_cards(found, table(spark, at, "rag_chunks")).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _sessions(spark: SparkSession, at: str) -> DataFrame:
+    """The questions about one page as the searches of one session."""
+    found, items, _ = _searched(spark, at)
+    asked = items.select("query_id", F.col("expected_source_url").alias("session_id"))
+    return found.join(asked, "query_id").select("session_id", F.col("query_id").alias("search_no"), "rank", "chunk_id")
+
+
+def win_labels(spark: SparkSession, at: str) -> DataFrame:
+    return evidence.source_labels(_sessions(spark, at))
+
+
+def set_novelty(spark: SparkSession, at: str) -> DataFrame:
+    return evidence.novelty(_sessions(spark, at))
+
+
+def emb_missing(spark: SparkSession, at: str) -> DataFrame:
+    """Vectors of the current chunks that a space lacks, by the provider for dry runs."""
+    lacking = corpus.missing_embeddings(_current(spark, at, "chunk_id", "chunk_text"), table(spark, at, "rag_chunk_embeddings"), "tess-embed-small", "v1")
+    made = embedding.embedded(lacking, embedding.digest_vectors, model="tess-embed-small", revision="v1")
+    return made.select("chunk_id", "embedding_dimension", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"), F.round(F.get("vector", F.lit(15)).cast("double"), 6).alias("last"))
+
+
+def src_documents(spark: SparkSession, at: str) -> DataFrame:
+    return corpus.documents_scan(table(spark, at, "rag_documents"))
+
+
+def dml_clear_checkpoints(spark: SparkSession, at: str) -> DataFrame:
+    return corpus.clear_checkpoints(table(spark, at, "rag_documents").distinct())[1]
+
+
 def _extracted(spark: SparkSession, at: str) -> DataFrame:
     return extract.extract_pages(latest_pages(table(spark, at, "fetch_results").where(F.col("html").isNotNull()).select("doc_id", "fetched_at", "html")))
 
@@ -244,7 +279,7 @@ QUERIES: dict[str, Query] = {
         p2_found, p2_changes, fn_urls, fn_chunk_ids, fn_titles, fn_query_keys, fn_terms, fn_clean_text, fn_hash_embedding, join_current_chunks, join_embedding_gaps,
         join_chunk_vectors, join_neighbours, join_path_families, set_first_seen, set_origins, dml_upsert, dml_prune_versions, dml_save_embeddings, dml_delete_category,
         dml_latest_pages, dml_turn_numbers, win_last_turns, agg_fingerprint, agg_categories, agg_errors, agg_vector_spaces, snp_normalise, ret_semantic, ret_hybrid,
-        evl_metrics, ext_pages, chk_split, chk_documents, ref_plan, ref_counts,
+        evl_metrics, prj_cards, win_labels, set_novelty, emb_missing, src_documents, dml_clear_checkpoints, ext_pages, chk_split, chk_documents, ref_plan, ref_counts,
     )
 }
 
@@ -282,6 +317,16 @@ scored AS (SELECT query_id, chunk_id, 0.65 * CASE WHEN inside THEN sem ELSE 0 EN
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10)
 """
 
+_URLS = r"""
+    WITH parts AS (SELECT DISTINCT doc_id, requested_url, trim(requested_url) AS u FROM rag_documents),
+    cut AS (SELECT doc_id, requested_url, lower(regexp_extract(u, '^([^:/?#]+):', 1)) AS scheme, lower(regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1)) AS host,
+                   regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '\?([^#]*)', 1) AS query FROM parts),
+    kept AS (SELECT *, list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN
+               ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref', 'source'))) AS q FROM cut),
+    urls AS (SELECT DISTINCT doc_id, requested_url, scheme || '://' || host || CASE WHEN length(path) > 1 THEN rtrim(path, '/') ELSE path END
+               || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_transform(q, lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') ELSE '' END AS url FROM kept)
+"""
+
 _REFRESH = """
 WITH p AS (SELECT DISTINCT doc_id, document_version AS v, indexed_content_hash AS h, indexed_source_last_updated AS d, TRUE AS p FROM rag_documents WHERE doc_id IS NOT NULL),
 f AS (SELECT doc_id, source_content_hash AS nh, source_last_updated AS nd, TRUE AS f FROM (
@@ -297,18 +342,14 @@ ORACLES: dict[str, str] = {
          CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
   FROM new a FULL JOIN old b ON a.snapshot_no = b.next AND a.doc_id = b.doc_id
   WHERE b.doc_id IS NULL OR a.doc_id IS NULL OR a.s IS DISTINCT FROM b.s OR a.h IS DISTINCT FROM b.h OR a.u IS DISTINCT FROM b.u""",
-    "fn_urls": r"""
-    WITH parts AS (SELECT DISTINCT doc_id, trim(requested_url) AS u FROM rag_documents),
-    cut AS (SELECT doc_id, lower(regexp_extract(u, '^([^:/?#]+):', 1)) AS scheme, lower(regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1)) AS host,
-                   regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '\?([^#]*)', 1) AS query FROM parts),
-    kept AS (SELECT *, list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN
-               ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'ref', 'source'))) AS q FROM cut),
-    urls AS (SELECT DISTINCT doc_id, scheme || '://' || host || CASE WHEN length(path) > 1 THEN rtrim(path, '/') ELSE path END
-               || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_transform(q, lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') ELSE '' END AS url FROM kept),
-    named AS (SELECT *, trim(regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM urls)
+    "fn_urls": _URLS
+    + r""",
+    named AS (SELECT *, trim(regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM (SELECT DISTINCT doc_id, url FROM urls))
     SELECT doc_id, url, substr(sha256(url), 1, 16) AS url_id,
            CASE WHEN t = '' THEN 'index' ELSE t END AS slug
     FROM (SELECT *, CASE WHEN starts_with(s, 'aws-en-') THEN substr(s, 8) WHEN starts_with(s, 'gcp-en-') THEN substr(s, 8) WHEN starts_with(s, 'api-workspace-') THEN substr(s, 15) ELSE s END AS t FROM named)""",
+    "set_first_seen": _URLS
+    + "SELECT url, doc_id, requested_url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY doc_id NULLS FIRST, requested_url NULLS FIRST) AS r FROM urls) WHERE r = 1",
     "fn_chunk_ids": "SELECT DISTINCT chunk_id, substr(sha256(doc_id || ':' || document_version || ':' || position), 1, 24) AS computed_id FROM rag_chunks",
     "fn_titles": r"""
     WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS x FROM documents)
@@ -384,6 +425,30 @@ ORACLES: dict[str, str] = {
     "evl_metrics": _SEARCH
     + """, hits AS (SELECT q.query_id, min(rank) FILTER (c.source_url = q.expected_source_url) AS hit FROM q LEFT JOIN best b ON q.query_id = b.query_id LEFT JOIN c ON b.chunk_id = c.chunk_id GROUP BY ALL)
     SELECT count(*) AS cases, count(hit) AS hits, count(hit) / count(*) AS recall, avg(coalesce(1 / hit, 0)) AS mean_reciprocal_rank FROM hits""",
+    "prj_cards": _SEARCH
+    + """, shown AS (SELECT DISTINCT chunk_id, source_title AS title, source_url AS url, coalesce(array_to_string(heading_path, ' > '), '') AS heading, substr(chunk_text, 1, 520) AS text FROM rag_chunks)
+    SELECT query_id, 'S' || rank AS label, rank, chunk_id, round(score, 4) AS score, title, url, heading, text FROM best JOIN shown USING (chunk_id)""",
+    "win_labels": _SEARCH
+    + """, f AS (SELECT expected_source_url AS session_id, chunk_id, min(query_id * 100 + rank) AS place FROM best JOIN q USING (query_id) GROUP BY ALL)
+    SELECT session_id, chunk_id, 'S' || row_number() OVER (PARTITION BY session_id ORDER BY place) AS label FROM f""",
+    "set_novelty": _SEARCH
+    + """, s AS (SELECT expected_source_url AS session_id, query_id AS search_no, chunk_id FROM best JOIN q USING (query_id)),
+    n AS (SELECT *, search_no = min(search_no) OVER (PARTITION BY session_id, chunk_id) AS fresh, min(search_no) OVER (PARTITION BY session_id) AS begun FROM s),
+    g AS (SELECT session_id, search_no, begun, count(*) AS found, count(*) FILTER (fresh) AS new FROM n GROUP BY ALL)
+    SELECT session_id, search_no, found, new, CASE WHEN new = 0 THEN 'none' WHEN search_no > begun AND new < 2 THEN 'low' ELSE 'ok' END AS novelty FROM g""",
+    "emb_missing": f"""
+    WITH c AS (SELECT DISTINCT chunk_id, chunk_text FROM rag_chunks c JOIN rag_documents d ON c.doc_id = d.doc_id AND c.document_version = d.document_version WHERE d.status IN ('ok', 'pending_snapshot')),
+    m AS (SELECT chunk_id, {_bytes("chunk_text")} AS v FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM rag_chunk_embeddings WHERE embedding_model = 'tess-embed-small' AND embedding_revision = 'v1'))
+    SELECT chunk_id, CAST(16 AS INTEGER) AS embedding_dimension, round(CAST(CAST(v[1] AS FLOAT) AS DOUBLE), 6) AS first, round(CAST(CAST(v[16] AS FLOAT) AS DOUBLE), 6) AS last FROM m""",
+    "src_documents": """SELECT DISTINCT doc_id, requested_url, canonical_url, title, category, source_last_updated, source_content_hash, document_version, status, indexed_content_hash,
+      indexed_source_last_updated, chunked_content_hash, chunked_source_last_updated, chunked_document_version, error_message, coalesce(consecutive_404_count, 0) AS consecutive_404_count,
+      array_to_string(source_origins, '|') AS origins FROM rag_documents""",
+    "dml_clear_checkpoints": "SELECT count(indexed_content_hash) AS cleared FROM (SELECT DISTINCT * FROM rag_documents)",
+    "agg_fingerprint": """
+    WITH d AS (SELECT DISTINCT doc_id, document_version, source_last_updated FROM rag_documents WHERE status IN ('ok', 'pending_snapshot') AND document_version IS NOT NULL),
+    h AS (SELECT sha256(CAST(to_json({'doc_id': doc_id, 'document_version': document_version, 'source_last_updated': source_last_updated}) AS VARCHAR)) AS h FROM d),
+    w AS (SELECT count(*) AS documents, sum(CAST(('0x' || substr(h, 1, 8)) AS BIGINT)) AS w0, sum(CAST(('0x' || substr(h, 9, 8)) AS BIGINT)) AS w1, sum(CAST(('0x' || substr(h, 17, 8)) AS BIGINT)) AS w2, sum(CAST(('0x' || substr(h, 25, 8)) AS BIGINT)) AS w3, sum(CAST(('0x' || substr(h, 33, 8)) AS BIGINT)) AS w4, sum(CAST(('0x' || substr(h, 41, 8)) AS BIGINT)) AS w5, sum(CAST(('0x' || substr(h, 49, 8)) AS BIGINT)) AS w6, sum(CAST(('0x' || substr(h, 57, 8)) AS BIGINT)) AS w7 FROM h)
+    SELECT documents, format('{:08x}', CAST(coalesce(w0, 0) % 4294967296 AS BIGINT)) || format('{:08x}', CAST(coalesce(w1, 0) % 4294967296 AS BIGINT)) || format('{:08x}', CAST(coalesce(w2, 0) % 4294967296 AS BIGINT)) || format('{:08x}', CAST(coalesce(w3, 0) % 4294967296 AS BIGINT)) || format('{:08x}', CAST(coalesce(w4, 0) % 4294967296 AS BIGINT)) || format('{:08x}', CAST(coalesce(w5, 0) % 4294967296 AS BIGINT)) || format('{:08x}', CAST(coalesce(w6, 0) % 4294967296 AS BIGINT)) || format('{:08x}', CAST(coalesce(w7, 0) % 4294967296 AS BIGINT)) AS fingerprint FROM w""",
     "ref_plan": _REFRESH + "SELECT doc_id, change, change IN ('added', 'changed') AS needs_chunks, CASE WHEN change IN ('missing', 'failed') THEN v ELSE nv END AS document_version FROM plan",
     "ref_counts": _REFRESH
     + """SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'dated') AS dated,
