@@ -226,10 +226,10 @@ def nearest_neighbours(
     list_rows: int = 256,
     most_lists: int = 4096,
     sample_rows: int = 65536,
-    spread: int = 3,
-    slack: float = 0.2,
-    depth: int = 128,
-    parts: int = 16,
+    spread: int = 4,
+    slack: float = 0.3,
+    depth: int = 96,
+    parts: int = 32,
     shard_rows: int = 8192,
     seed: int = 11,
 ) -> DataFrame:
