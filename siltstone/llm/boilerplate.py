@@ -6,13 +6,15 @@ decides blocks by these figures alone: long text rich in stop words is content,
 lists and legal marks are furniture, what is short stays open. The second pass lets open
 blocks, and blocks that only looked like content, inherit the label of the nearest decided
 block, where near means within the same place: a block alone in a place of its own has no
-content near it.
+content near it. A list of usual openings of site lines is one weak vote on open blocks: it
+tells only where a block has furniture on one side and content on the other.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -32,13 +34,12 @@ _TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^>]*)>", re.S)
 _HIDDEN = re.compile(r"<(script|style|head|noscript|template)\b.*?</\1\s*>", re.S | re.I)
 _PLACES = frozenset("div section article main nav header footer aside td th body form dialog".split())
 _SITE_PLACES = frozenset("nav header footer aside form dialog".split())
-_SITE_NAMES = re.compile(r"\b(?:cookie|consent|gdpr|breadcrumb|sidebar|footer|foot|navbar|topmenu|menu|social|share|rail|promo|banner|related|toc|pager|feedback)", re.I)
 _BLOCKS = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote dt dd figcaption caption".split())
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?…:;][\"”’')\]]*$")
 
 
-#: Fixed value: openings of short blocks that serve a site, whatever its subject.
+#: Fixed value: openings of short blocks that often serve a site; a weak vote on blocks the figures leave open.
 _FURNITURE = re.compile(
     r"^(?:skip (?:to|navigation)|jump to|accept (?:all )?cookies|(?:was|is) this (?:page|article) helpful|on this page|in this (?:article|section)|table of contents|"
     r"related (?:articles|topics|links|pages|content)|more from|popular (?:topics|articles)|see also|read more|previous:|next:|last (?:updated|modified|edited)|"
@@ -50,7 +51,7 @@ _FURNITURE = re.compile(
 class Block:
     """A piece of page text: its kind, where it stands, and the figures the rules use."""
 
-    __slots__ = ("kind", "text", "key", "place", "site", "linked", "words", "stops", "label")
+    __slots__ = ("kind", "text", "key", "place", "site", "linked", "words", "stops", "label", "vote")
 
     def __init__(self, kind: str, text: str, place: int, site: bool, linked: int):
         self.kind, self.text, self.place, self.site = kind, text, place, site
@@ -58,7 +59,7 @@ class Block:
         self.words, self.stops = len(found), sum(map(STOP_WORDS.__contains__, found))
         self.key = "".join(found)
         self.linked = linked / max(1, len(text))
-        self.label = ""
+        self.label, self.vote = "", False
 
 
 def page_blocks(html: str) -> list[Block]:
@@ -115,7 +116,7 @@ def page_blocks(html: str) -> list[Block]:
                         del stack[i:]
                         break
             elif name != "body":
-                site = stack[-1][2] or name in _SITE_PLACES or bool(_SITE_NAMES.search(tag[3]))
+                site = stack[-1][2] or name in _SITE_PLACES
                 stack.append((name, places, site))
                 places += 1
         elif name in _BLOCKS:
@@ -134,7 +135,7 @@ def decide(blocks: list[Block], *, long_words: int = 12, short_words: int = 4, s
     runs = _item_runs(blocks)
     for i, b in enumerate(blocks):
         density = b.stops / max(1, b.words)
-        if b.site or b.linked > link_density or "©" in b.text[:20] or i in runs or b.words <= 2 * long_words and _FURNITURE.search(b.text):
+        if b.site or b.linked > link_density or "©" in b.text[:20] or i in runs:
             b.label = "bad"
         elif b.kind in ("pre", "cell"):
             b.label = "near"
@@ -146,6 +147,7 @@ def decide(blocks: list[Block], *, long_words: int = 12, short_words: int = 4, s
             b.label = "near"
         else:
             b.label = "open"
+        b.vote = b.label == "open" and b.words <= 2 * long_words and bool(_FURNITURE.search(b.text))
 
 
 def _item_runs(blocks: list[Block]) -> set[int]:
@@ -194,7 +196,10 @@ def inherit(blocks: list[Block]) -> None:
                 b.label = "bad"
             elif b.label == "open" and b.kind not in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 near = min(decided, key=lambda d: (abs(d - i), blocks[d].label == "bad"), default=i)
-                b.label = "bad" if blocks[near].label == "bad" else "good"
+                at = bisect(decided, i)
+                beside = decided[max(0, at - 1) : at + 1]  # content on both sides overrules the vote
+                voted = b.vote and any(blocks[d].label == "bad" for d in beside)
+                b.label = "bad" if voted or blocks[near].label == "bad" else "good"
             else:
                 b.label = "good"
 

@@ -36,6 +36,18 @@ def test_links_are_furniture():
     assert [b.label for b in main_blocks(page)] == ["good", "good", "bad"]
 
 
+def test_words_do_not_decide():
+    """Neither the name of a wrapper nor the opening of a paragraph makes content furniture."""
+    told = "Sign in to the workspace and open the tables that you want to read in it."
+    page = f'<div class="has-sidebar menu-layout"><h1>T</h1><p>{BODY}</p><p>{told}</p><p>Next: the tables</p><p>{BODY}</p></div>'
+    assert [b.text for b in main_blocks(page) if b.label == "good"] == ["T", BODY, told, "Next: the tables", BODY]
+
+
+def test_vote_between_content_and_furniture():
+    page = "<div><h1>T</h1><p>{0}</p><p>{1}</p><p>© x</p></div>"
+    assert [main_blocks(page.format(BODY, x))[2].label for x in ("Share: this table", "Default: this table")] == ["bad", "good"]
+
+
 def test_tables(spark):
     e = spark.createDataFrame([("a", MARKDOWN, 1), ("a", MARKDOWN, 1), ("b", None, 1), ("c", "", 1), ("d", "# Only\n\n" + BODY, 1), (None, MARKDOWN, 1)], "doc_id string, markdown_body string, _lines int")
     f = spark.createDataFrame([("a", "<p>old</p>", 1), ("a", HTML, 2), ("a", HTML, 2), ("b", HTML, 1), ("d", None, 1)], "doc_id string, html string, fetched_at int")
