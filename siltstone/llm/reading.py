@@ -28,17 +28,20 @@ _EDGES = ".,;:!?…()[]\"“”‘’'"
 def prose_sentences(text: str, english: float = 0.1) -> list[tuple[int, list[str]]]:
     """(tokens, plain words) of each English sentence of running text.
 
-    Fenced code, table rows, headings, list items and quotes are no prose, nor is a line
-    that does not end like a sentence. A sentence whose share of English function words is
-    under ``english`` is a foreign passage. Names with digits or joining signs are tokens of
-    the sentence, but no words of it.
+    Fenced code, table rows, headings, list items and quotes are no prose, nor is what follows
+    the last sentence end of a line: a title, a cut sentence. The finished sentences before it
+    count. A sentence whose share of English function words is under ``english`` is a foreign
+    passage. Names with digits or joining signs are tokens of the sentence, but no words of it.
     """
     out = []
     for line in _FENCE.sub("\n", text).split("\n"):
         line = line.strip()
-        if not line or _MARKED.match(line) or line.count("|") > 1 or not _ENDED.search(line):
+        if not line or _MARKED.match(line) or line.count("|") > 1:
             continue
-        for sentence in _BOUNDARY.split(line):
+        sentences = _BOUNDARY.split(line)
+        if not _ENDED.search(line):
+            sentences.pop()
+        for sentence in sentences:
             tokens = sentence.split()
             plain = [w.lower() for w in (t.strip(_EDGES) for t in tokens) if _PLAIN.fullmatch(w)]
             if len(plain) > 2 and sum(w in FUNCTION_WORDS for w in plain) >= english * len(plain):

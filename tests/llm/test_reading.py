@@ -10,6 +10,12 @@ def test_prose_only(spark):
     assert prose_sentences("") == [] and prose_sentences("```\nnever closed, it is code.") == []
 
 
+def test_finished_sentences_of_a_cut_paragraph():
+    got = prose_sentences("The cat is on the mat. It is at home (as the dog was.) And then it went to the")
+    assert [n for n, _ in got] == [6, 8]
+    assert prose_sentences("This is the title of a page") == [] and len(prose_sentences("The cat is here! " * 40 + "Read more about the cat")) == 40
+
+
 def test_features_and_familiar_words(spark):
     docs = [(i, "The cat is on the mat. It is the cat.") for i in range(20)] + [(99, "The ontological mat is in the epistemological cat."), (100, None), (101, ""), (102, "```x```"), (103, "Das ist ein Satz von mir."), (99, "The ontological mat is in the epistemological cat.")]
     df = spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS)
