@@ -46,14 +46,17 @@ def _closest(rows: np.ndarray, centres: np.ndarray, spherical: bool) -> np.ndarr
 
 
 class Codebook:
-    """Coarse centroids and residual sub-quantisers of one vector space, fitted on a sample."""
+    """Coarse centroids and residual sub-quantisers of one vector space, fitted on a sample of
+    distinct vectors. ``copies`` of each and ``total`` are numbers of rows that are filed."""
 
-    def __init__(self, sample: np.ndarray, total: int, lists: int, parts: int, shard_rows: int, seed: int, rounds: int = 8):
+    def __init__(self, sample: np.ndarray, copies: np.ndarray, total: int, lists: int, parts: int, shard_rows: int, seed: int, rounds: int = 8):
         rng = np.random.default_rng(seed)
         sample = _unit(sample.astype(np.float32)).astype(np.float32)
         self.coarse = _kmeans(sample, min(lists, len(sample)), rounds, rng, True)
         filed = np.concatenate([_closest(x, self.coarse, True) for x in np.array_split(sample, len(sample) // 4096 + 1)])
-        expected = np.bincount(filed, minlength=len(self.coarse)) * (total / len(sample))
+        # the rows of the sample's vectors are known, the others are like its vectors
+        known = np.bincount(filed, copies, minlength=len(self.coarse))
+        expected = known + np.bincount(filed, minlength=len(self.coarse)) * (max(0, total - known.sum()) / len(sample))
         self.shards = np.maximum(1, np.ceil(expected / shard_rows)).astype(np.int64)
         width = sample.shape[1]
         self.edges = np.linspace(0, width, min(parts, width) + 1).astype(int)
@@ -196,25 +199,45 @@ def _space() -> Column:
     return F.concat_ws("\x1f", F.coalesce("embedding_model", F.lit("")), F.coalesce("embedding_revision", F.lit("")))
 
 
-def fit_codebooks(vectors: DataFrame, *, list_rows: int, most_lists: int, sample_rows: int, parts: int, shard_rows: int, seed: int) -> dict:
-    """A codebook for each (model, revision, dimension), fitted on a hash sample of about
-    ``sample_rows`` vectors in all (a small space at least 4,096). The sample is bounded whatever
-    the table's size; a book is at most ``most_lists`` centroids of it, so it may be broadcast."""
-    sized = vectors.select(_space().alias("_space"), F.size("vector").alias("_width"), "vector")
-    counts = {(r["_space"], r["_width"]): r["n"] for r in sized.groupBy("_space", "_width").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    if not total:
-        return {}
-    rate = {key: min(1.0, max(sample_rows * n / total, 4096) / n) for key, n in counts.items()}
+def space_sizes(vectors: DataFrame) -> dict:
+    """(rows, distinct vectors, the latter within a few per cent) of each (space, dimension)."""
+    distinct = F.approx_count_distinct(F.xxhash64("vector"), 0.01)
+    rows = vectors.groupBy(_space().alias("_space"), F.size("vector").alias("_width")).agg(F.count("*").alias("n"), distinct.alias("d"))
+    return {(r["_space"], r["_width"]): (r["n"], max(1, r["d"])) for r in rows.collect()}
+
+
+def sample_vectors(vectors: DataFrame, sizes: dict, sample_rows: int, seed: int) -> tuple[DataFrame, dict]:
+    """(_space, _width, vector, n, _place) and how many of them a space gets: distinct vectors drawn by hash, with their numbers of rows.
+
+    A space gets its share of ``sample_rows`` by distinct vectors, but at least 4,096 or, with
+    many spaces, an equal share (64 if that is less); so there are at most about
+    ``2 * sample_rows``, or 64 a space, whatever the number of rows and copies. A tenth more are drawn than a space gets, since the
+    numbers of distinct vectors are estimates; the smallest ``_place`` are to be taken.
+    """
+    every = sum(d for _, d in sizes.values())
+    least = max(64, min(4096, sample_rows // len(sizes)))
+    wanted = {key: max(sample_rows * d // every, least) for key, (_, d) in sizes.items()}
+    rate = F.coalesce(*[F.when((F.col("_space") == s) & (F.col("_width") == w), F.lit(min(1.0, 1.1 * n / sizes[s, w][1]))) for (s, w), n in wanted.items()])
     draw = F.pmod(F.xxhash64(F.lit(seed), "vector"), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.coalesce(*[F.when((F.col("_space") == s) & (F.col("_width") == w), F.lit(x)) for (s, w), x in rate.items()])
-    sample = sized.where(draw < wanted).toPandas()
+    drawn = vectors.select(_space().alias("_space"), F.size("vector").alias("_width"), "vector").withColumn("_place", draw / rate).where(F.col("_place") < 1)
+    one = drawn.groupBy("_space", "_width", "vector", "_place").agg(F.count("*").alias("n"))
+    return one.orderBy("_place").limit(sum(n + n // 8 + 64 for n in wanted.values())), wanted
+
+
+def fit_codebooks(vectors: DataFrame, sizes: dict, filed: dict, *, most_copies: int, kept_copies: int, list_rows: int, most_lists: int, sample_rows: int, parts: int, shard_rows: int, seed: int) -> dict:
+    """A codebook for each (model, revision, dimension), fitted on ``sample_vectors``. A book is at
+    most ``most_lists`` centroids, so it may be broadcast. ``filed`` rows of each are to be filed:
+    of a vector with over ``most_copies`` rows only ``kept_copies``."""
+    drawn, wanted = sample_vectors(vectors, sizes, sample_rows, seed)
     books = {}
-    for (name, width), rows in sample.groupby(["_space", "_width"]):
+    for (name, width), rows in drawn.toPandas().groupby(["_space", "_width"]):
+        rows = rows.sort_values("_place", kind="stable").head(wanted[name, width])
+        copies = rows["n"].where(rows["n"] <= most_copies, kept_copies).to_numpy()
         rows = np.array(rows["vector"].tolist(), np.float32)
-        rows = rows[np.lexsort(rows.T[::-1])]  # the same fit whatever order the rows came in
-        lists = int(np.clip(counts[name, width] // list_rows, 1, min(most_lists, max(1, len(rows) // 16))))
-        books[name, int(width)] = Codebook(rows, counts[name, width], lists, parts, shard_rows, seed)
+        order = np.lexsort(rows.T[::-1])  # the same fit whatever order the rows came in
+        rows, copies = rows[order], copies[order]
+        lists = int(np.clip(filed[name, width] // list_rows, 1, min(most_lists, max(1, len(rows) // 16))))
+        books[name, int(width)] = Codebook(rows, copies, filed[name, width], lists, parts, shard_rows, seed)
     return books
 
 
@@ -264,16 +287,22 @@ def nearest_neighbours(
         *[F.coalesce(c, F.lit("")).alias(c) for c in keys[:2]], "chunk_id", "embedding_dimension", "created_at", F.col("vector").cast("array<float>").alias("vector")
     )
     fitted = named.where(usable(F.col("vector"), F.col("embedding_dimension")))
-    books = fit_codebooks(fitted, list_rows=list_rows, most_lists=most_lists, sample_rows=sample_rows, parts=parts, shard_rows=shard_rows, seed=seed)
     answer = "embedding_model string, embedding_revision string, chunk_id string, neighbour_id string, similarity double"
-    if not books:
+    sizes = space_sizes(fitted)
+    if not sizes:
         return spark.createDataFrame([], answer)
-    shared = spark.sparkContext.broadcast(books)
     one = latest_vectors(named)
     look = F.xxhash64(*keys[:2], "vector")
-    counted = fitted.groupBy(look.alias("_look")).agg(F.count("*").alias("n"))
-    total = fitted.agg(F.count("*")).first()[0]
-    hot = [r["_look"] for r in counted.where(F.col("n") > max(k + 1, total // 1000)).collect()]
+    most_copies = max(k + 1, sum(n for n, _ in sizes.values()) // 1000)
+    counted = fitted.groupBy(look.alias("_look"), _space().alias("_space"), F.size("vector").alias("_width")).agg(F.count("*").alias("n"))
+    many = counted.where(F.col("n") > most_copies).collect()
+    hot, filing = [r["_look"] for r in many], {key: n for key, (n, _) in sizes.items()}
+    for r in many:
+        filing[r["_space"], r["_width"]] -= r["n"] - (k + 1)
+    books = fit_codebooks(
+        fitted, sizes, filing, most_copies=most_copies, kept_copies=k + 1, list_rows=list_rows, most_lists=most_lists, sample_rows=sample_rows, parts=parts, shard_rows=shard_rows, seed=seed
+    )
+    shared = spark.sparkContext.broadcast(books)
     given, others = one, None
     if hot:
         copies = one.withColumn("_look", look).where(F.col("_look").isin(hot))

@@ -2,6 +2,7 @@ from datetime import datetime
 
 import numpy as np
 
+from siltstone.llm import neighbours
 from siltstone.llm.neighbours import latest_vectors, nearest_neighbours, neighbour_pairs
 
 SCHEMA = "embedding_model string, embedding_revision string, chunk_id string, embedding_dimension int, vector array<float>, created_at timestamp, _list string, _role string"
@@ -47,6 +48,31 @@ def test_hot_copies_and_ties(spark):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_sample_of_a_hot_vector(spark, monkeypatch):
+    """A third of all rows equal and inside the sample: it holds the vector once, and stays within its limit."""
+    ids, x = vectors(6000)
+    x[:2000] = x[0]
+    rows = [("m", "r", i, 24, v.tolist(), T1) for i, v in zip(ids, x)]
+    df = frame(spark, rows + [(f"n{j}", "r", i, 24, v.tolist(), T1) for j in range(3) for i, v in zip(ids[:400], vectors(400, seed=j + 2)[1])])
+    seen = []
+
+    fit = neighbours.Codebook.__init__
+
+    def noted(self, sample, *more):
+        fit(self, sample, *more)
+        seen.append((sample, self.coarse, self.shards))
+
+    monkeypatch.setattr(neighbours.Codebook, "__init__", noted)
+    got = {(r.chunk_id, r.neighbour_id) for r in nearest_neighbours(df, k=5, sample_rows=8192, shard_rows=1000).where("embedding_model = 'm'").collect()}
+    want = exact(ids, x, 5)
+    assert len(got & want) >= 0.95 * len(want)
+    assert all(len(np.unique(s, axis=0)) == len(s) and len(np.unique(c, axis=0)) == len(c) for s, c, _ in seen)
+    assert all((s == 1).all() for _, _, s in seen)  # 4,001 distinct vectors in 15 lists: none comes near 1,000 rows
+    seen.clear()
+    nearest_neighbours(df, k=5, sample_rows=600)
+    assert len(seen) == 4 and sum(len(s) for s, _, _ in seen) <= 1200
+
+
 def test_more_copies_than_candidates(spark):
     """Groups of copies too small to count as hot, but larger than the candidates that are reranked."""
     ids, x = vectors(400)
