@@ -93,21 +93,27 @@ def hybrid_search(corpus: DataFrame, questions: DataFrame, *, k: int = 10, most_
     share of the question's terms and one quarter the share of its adjacent word pairs that
     occur in title and text; 0 without terms. Ties go to the smaller chunk_id.
 
-    The corpus streams past the stated questions once, at most ``most_questions`` of them (an
-    error beyond: call it in blocks). All their words are found in one pass over a text. Each
-    partition keeps its best rows for each question, and only these ids and scores are
-    shuffled, never texts.
+    The corpus streams past the questions in blocks of about ``most_questions``, by a hash of
+    their id. All words of a block are found in one pass over a text. Each partition keeps its
+    best rows for each question, and only these ids and scores are shuffled, never texts.
     """
-    rows = questions.select("query_id", terms("question").alias("_terms"), phrases("question").alias("_pairs"), "vector").limit(most_questions + 1).collect()
-    if len(rows) > most_questions:
-        raise ValueError(f"search at most {most_questions} questions at a time")
+    spark = questions.sparkSession
+    asked = questions.select("query_id", terms("question").alias("_terms"), phrases("question").alias("_pairs"), "vector")
     kind = questions.schema["query_id"].dataType.simpleString()
-    if not rows:
-        return questions.sparkSession.createDataFrame([], f"query_id {kind}, rank int, chunk_id string, score double, semantic double, lexical double")
+    first = asked.limit(most_questions + 1).collect()
+    blocks = 1 if len(first) <= most_questions else -(-asked.count() // most_questions)
     pool, most = pool_size(k), pool_size(k) + k
-    shared = questions.sparkSession.sparkContext.broadcast(_Questions(rows))
     text = F.lower(F.concat_ws(" ", F.coalesce("source_title", F.lit("")), F.coalesce("chunk_text", F.lit(""))))
-    best = corpus.select("chunk_id", text.alias("_text"), "vector").mapInArrow(_best(shared, most, to_arrow_type(questions.schema["query_id"].dataType)), f"query_id {kind}, chunk_id string, semantic double, lexical double, _kind int")
+    texts = corpus.select("chunk_id", text.alias("_text"), "vector")
+    best = None
+    for b in range(blocks):
+        rows = first if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if rows:
+            run = _best(spark.sparkContext.broadcast(_Questions(rows)), most, to_arrow_type(questions.schema["query_id"].dataType))
+            some = texts.mapInArrow(run, f"query_id {kind}, chunk_id string, semantic double, lexical double, _kind int")
+            best = some if best is None else best.unionByName(some)
+    if best is None:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, chunk_id string, score double, semantic double, lexical double")
     by_meaning = W.partitionBy("query_id", "_kind").orderBy(F.when(F.col("_kind") == 0, -F.col("semantic")).otherwise(-F.col("lexical")), "chunk_id")
     ranked = best.withColumn("_r", F.row_number().over(by_meaning)).where(F.col("_r") <= F.when(F.col("_kind") == 0, pool).otherwise(most))
     # a chunk that is in both lists is in the pool

@@ -183,6 +183,13 @@ def test_semantic_search_against_brute_force(spark):
     assert search.semantic_search(corpus_rows, empty).count() == 0 and search.semantic_search(corpus_rows.limit(0), queries).count() == 0
 
 
+def test_hybrid_search_in_blocks(spark):
+    corpus = spark.createDataFrame([(f"c{i}", "t", f"apple pie {i}", [float(i % 5), 1.0]) for i in range(30)], "chunk_id string, source_title string, chunk_text string, vector array<double>")
+    asked = spark.createDataFrame([(i, f"apple pie {i}", [1.0, float(i)]) for i in range(7)], "query_id int, question string, vector array<double>")
+    whole, blocks = (sorted(tuple(r) for r in search.hybrid_search(corpus, asked, k=3, most_questions=n).collect()) for n in (2000, 2))
+    assert blocks == whole and len(whole) == 21
+
+
 def test_hybrid_search_pool_and_ties(spark):
     rng = np.random.default_rng(0)
     rows = [(f"c{i:03}", "T", "apple pie" if i == 150 else "filler", rng.normal(size=4).tolist()) for i in range(200)]
