@@ -23,12 +23,12 @@ def _pages(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p1_found(spark: SparkSession, at: str) -> DataFrame:
-    return repeated_lines.repeated_lines(*_chunks(spark, at))
+    return repeated_lines.repeated_lines(*_chunks(spark, at), wildcards=False)
 
 
 def p1_clean_chunks(spark: SparkSession, at: str) -> DataFrame:
     chunks, documents = _chunks(spark, at)
-    found = repeated_lines.repeated_lines(chunks, documents)
+    found = repeated_lines.repeated_lines(chunks, documents, wildcards=False)
     cleaned = repeated_lines.without_lines(chunks.select("chunk_id", "doc_id", "document_version", "chunk_text").distinct(), found)
     return cleaned.select("chunk_id", "doc_id", "document_version", "clean_text", "removed_lines")
 
@@ -138,6 +138,26 @@ found AS (SELECT DISTINCT f.chunk_id, CAST(f.line_no AS INTEGER) AS line_no
           JOIN sizes s ON f.category IS NOT DISTINCT FROM s.category WHERE c.docs >= 4 AND c.docs >= 0.08 * s.all_docs)
 """
 
+_TEMPLATES = (
+    _LINES
+    + r""", tok AS (SELECT coalesce('=' || f.category, '') AS source, doc_id, chunk_id, line_no, string_split(form, ' ') AS t, len(string_split(form, ' ')) AS n, s.least
+            FROM fit f JOIN (SELECT category, greatest(4, ceil(round(0.08 * all_docs, 6))) AS least FROM sizes) s ON f.category IS NOT DISTINCT FROM s.category),
+levels AS (SELECT source, n, list(k) AS kept FROM (
+             SELECT source, n, k FROM (SELECT source, n, least, doc_id, unnest(list_transform(range(1, least(n, 4) + 1), lambda i: i || ' ' || t[i])) AS k FROM tok)
+             GROUP BY source, n, k, least HAVING count(DISTINCT doc_id) >= least) GROUP BY ALL),
+pathed AS (SELECT *, list_filter(path, lambda x: x <> '<*>') AS named FROM (
+             SELECT tok.*, list_transform(range(1, least(n, 4) + 1), lambda i: CASE WHEN list_contains(kept, i || ' ' || t[i]) THEN t[i] ELSE '<*>' END) AS path FROM tok JOIN levels USING (source, n))),
+inside AS (SELECT * FROM pathed WHERE 2 * len(named) >= len(path)),
+leaves AS (SELECT source, n, path, list(k) AS kept FROM (
+             SELECT source, n, path, k FROM (SELECT source, n, path, least, doc_id, unnest(list_transform(range(5, n + 1), lambda i: i || ' ' || t[i])) AS k FROM inside)
+             GROUP BY source, n, path, k, least HAVING count(DISTINCT doc_id) >= least) GROUP BY ALL),
+whole AS (SELECT i.*, path || list_transform(range(5, n + 1), lambda i: CASE WHEN list_contains(coalesce(kept, []), i || ' ' || t[i]) THEN t[i] ELSE '<*>' END) AS shape
+          FROM inside i LEFT JOIN leaves USING (source, n, path)),
+shaped AS (SELECT DISTINCT source, doc_id, chunk_id, line_no, least, array_to_string(shape, ' ') AS template, len(list_filter(shape, lambda x: x = '<*>')) AS slots FROM whole
+           WHERE 2 * len(list_filter(shape, lambda x: x = '<*>')) <= n)
+"""
+)
+
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
 ORACLES: dict[str, str] = {
@@ -149,6 +169,9 @@ ORACLES: dict[str, str] = {
     SELECT chunk_id, doc_id, document_version, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '') AS clean_text,
            CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS removed_lines
     FROM kept GROUP BY chunk_id, doc_id, document_version, chunk_text""",
+    "p1_templates": _TEMPLATES
+    + """SELECT nullif(substr(source, 2), '') AS source, template, CAST(slots AS INTEGER) AS slots, count(*) AS lines, count(DISTINCT doc_id) AS docs
+    FROM shaped GROUP BY source, template, slots, least HAVING count(DISTINCT doc_id) >= least""",
     "p5_found": """
     SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS item_id, CAST(0 AS INTEGER) AS item_no FROM rag_chunks WHERE length(chunk_text) > 1600
     UNION

@@ -1,12 +1,14 @@
 """Lines repeated across the documents of one source (problem 1).
 
-Every line is parsed into a template: digit runs become the wildcard slot ``#``. Templates
-hang in a token tree of fixed depth: by source, by number of tokens, by the first
-``depth`` tokens, of which those with a slot are wildcards. The path to a leaf and the
-template in it are functions of the line alone, so the trees of all partitions merge by
-key: the partial aggregate of a partition is its tree, and the final one the merged tree
-with the documents that each template covers. (Grouping lines greedily by similarity within
-a leaf, as is usual, depends on their order and could not be merged.)
+Lines are parsed into templates through a token tree of fixed depth: by source, by number of
+tokens, then one level for each of the first ``depth`` tokens. A token that the lines of too
+few documents have at its position becomes a wildcard slot, so bylines that differ in a name
+share a path. The leaf at its end keeps, position by position, the tokens that enough
+documents share there; the others are slots too. What is left is the line's template.
+
+The tree of a partition is a set of counts of documents by (source, path, position, token),
+and the trees of all partitions merge by adding them up. So a template does not depend on the
+order of lines, as it would if they were grouped greedily within a leaf.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.functions.text import squeeze
+from siltstone.runtime import settle
 
 #: At least three runs of letters, in a line already in lower case.
 _THREE_RUNS = r"\p{L}\P{L}+\p{L}+\P{L}+\p{L}"
+#: Fixed value: white space of any script but the line end.
+_BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WILDCARD = "<*>"
 
 
@@ -25,22 +30,35 @@ def template(line: Column) -> Column:
     return F.regexp_replace(squeeze(F.lower(line)), "[0-9]+", "#")
 
 
-def leaf_path(form: Column, depth: int) -> Column:
-    """Number of tokens and the first ``depth`` tokens, those with a slot as wildcards."""
-    tokens = F.split(form, " ")
-    head = F.transform(F.slice(tokens, 1, depth), lambda t: F.when(t.contains("#"), F.lit(WILDCARD)).otherwise(t))
-    return F.struct(F.size(tokens).alias("tokens"), head.alias("head"))
+def line_forms(text: Column) -> Column:
+    """array<string>: the form of each line of a text, worked out in one pass over it."""
+    folded = F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), _BLANKS, " " * len(_BLANKS)), " {2,}", " "), "[0-9]+", "#")
+    return F.transform(F.split(folded, "\n"), lambda line: F.trim(line))
 
 
-def parsed_lines(chunks: DataFrame, keys: list[str], text_col: str, depth: int) -> DataFrame:
-    """(keys, _lines): each chunk's eligible lines as (line_no, leaf, line), both by hash."""
-    each = F.transform(F.split(text_col, "\n"), lambda line, i: F.struct(i.alias("line_no"), template(line).alias("form")))
-    eligible = F.filter(each, lambda x: x["form"].rlike(_THREE_RUNS))
-    hashed = F.transform(eligible, lambda x: F.struct(x["line_no"].alias("line_no"), F.xxhash64(leaf_path(x["form"], depth)).alias("leaf"), F.xxhash64(x["form"]).alias("line")))
-    return chunks.where(F.col(text_col).isNotNull()).select(*keys, hashed.alias("_lines")).where(F.size("_lines") > 0)
+def _shared_tokens(lines: DataFrame, place: list[str], tokens: Column, sizes: DataFrame) -> DataFrame:
+    """(place, _kept): for each position of ``tokens``, the tokens that enough documents of the source have there.
+
+    Documents are counted once a token, with partial sums; tokens are compared by hash. All
+    lines of a place have the same number of tokens, so ``_kept`` has an entry a position.
+    """
+    hashed = F.transform(tokens, lambda t, i: F.struct(i.alias("_i"), F.xxhash64(t).alias("_t")))
+    seen = lines.select(*place, "doc_id", F.inline(hashed)).distinct()
+    counts = seen.groupBy(*place, "_i", "_t").agg(F.count("*").alias("_docs")).join(sizes, "_source")
+    shared = counts.groupBy(*place, "_i").agg(F.collect_set(F.when(F.col("_docs") >= F.col("_least"), F.col("_t"))).alias("_ts"))
+    return shared.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("_i", "_ts")))["_ts"].alias("_kept"))
+
+
+def _with_slots(tokens: Column) -> Column:
+    """``tokens`` with those not kept at their position as slots."""
+    return F.transform(tokens, lambda t, i: F.when(F.array_contains(F.get("_kept", i), F.xxhash64(t)), t).otherwise(WILDCARD))
+
+
+def _constants(tokens: Column) -> Column:
+    return F.size(F.filter(tokens, lambda t: t != WILDCARD))
 
 
-def repeated_lines(
+def templates(
     chunks: DataFrame,
     documents: DataFrame,
     *,
@@ -49,35 +67,75 @@ def repeated_lines(
     source_col: str = "category",
     least_docs: int = 4,
     least_share: float = 0.08,
-    depth: int = 3,
+    enough_docs: int | None = None,
+    depth: int = 4,
+    least_constant: float = 0.5,
 ) -> DataFrame:
-    """(chunk_id, line_no) of lines whose template covers many documents of their source.
+    """(_id, doc_id, _source, line_no, template, slots): lines whose template covers many documents of their source.
 
     ``documents`` has doc_id, document_version and the source; chunks of other versions and
     unknown documents are not current and take no part, neither as lines nor as documents.
-    A line counts if its template has at least three runs of letters and occurs in at least
-    ``least_docs`` documents and ``least_share`` of the documents of the source that have
-    current chunks. Lines count from 0.
+    Lines with fewer than three runs of letters take no part. A template covers enough
+    documents with at least ``least_docs`` and ``least_share`` of the source's documents that
+    have current chunks (``enough_docs``, if given, are enough whatever the share). The same
+    number decides which tokens stay at each level of the tree, so a line that is repeated
+    word by word in so many documents keeps all its tokens: its template is the line itself,
+    with 0 ``slots``, and the documents it covers are exactly those that have the line. At
+    least ``least_constant`` of a template's tokens, in the path and as a whole, must be no
+    slots, else unlike lines would share it.
+
+    Each level prunes the next: of lines whose path is mostly slots no tokens are counted.
+    ``_source`` is "=" and the source, or empty for null, which is a source of its own.
+    """
+    source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    keys = documents.select("doc_id", "document_version", source.alias("_source")).distinct()
+    current = chunks.select("doc_id", "document_version").distinct().join(keys, ["doc_id", "document_version"])
+    share = F.ceil(F.round(F.lit(least_share) * F.count_distinct("doc_id"), 6))
+    least = F.greatest(F.lit(least_docs), share if enough_docs is None else F.least(share, F.lit(enough_docs)))
+    sizes = current.groupBy("_source").agg(least.alias("_least"))
+
+    each = F.transform(line_forms(F.col(text_col)), lambda form, i: F.struct(i.alias("line_no"), form.alias("form")))
+    parsed = F.filter(each, lambda x: x["form"].rlike(_THREE_RUNS))
+    rows = chunks.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), "doc_id", "document_version", parsed.alias("_lines"))
+    lines = settle(rows.join(keys, ["doc_id", "document_version"]).select("_id", "doc_id", "_source", F.inline("_lines")), "lines")
+
+    tokens = F.split("form", " ")
+    lines = lines.select("_id", "doc_id", "_source", "line_no", tokens.alias("_tokens")).withColumn("_n", F.size("_tokens"))
+    head, rest = F.slice("_tokens", 1, depth), F.slice("_tokens", depth + 1, F.greatest(F.col("_n") - depth, F.lit(0)))
+    levels = _shared_tokens(lines, ["_source", "_n"], head, sizes)
+    # half of the first tokens are the least that a path must share
+    pathed = lines.join(levels, ["_source", "_n"]).withColumn("_path", _with_slots(head)).drop("_kept")
+    pathed = pathed.where(_constants(F.col("_path")) >= least_constant * F.size("_path")).withColumn("_leaf", F.xxhash64("_n", "_path"))
+    leaves = _shared_tokens(pathed.where(F.col("_n") > depth), ["_source", "_leaf"], rest, sizes)
+    whole = pathed.join(leaves, ["_source", "_leaf"], "left").select("_id", "doc_id", "_source", "line_no", "_n", F.concat("_path", _with_slots(rest)).alias("_template"))
+    whole = whole.withColumn("slots", F.col("_n") - _constants(F.col("_template"))).where(F.col("_n") - F.col("slots") >= least_constant * F.col("_n"))
+    parsed_lines = settle(whole.select("_id", "doc_id", "_source", "line_no", F.array_join("_template", " ").alias("template"), "slots"), "templates")
+
+    place = ["_source", "template", "slots"]
+    covered = parsed_lines.select(*place, "doc_id").distinct().groupBy(*place).agg(F.count("*").alias("_docs")).join(sizes, "_source").where(F.col("_docs") >= F.col("_least"))
+    return parsed_lines.join(covered, place, "left_semi")
+
+
+def repeated_lines(chunks: DataFrame, documents: DataFrame, *, id_col: str = "chunk_id", wildcards: bool = True, **options) -> DataFrame:
+    """(chunk_id, line_no) of lines whose template covers many documents of their source, see ``templates``.
+
+    Without ``wildcards`` only lines that are the same word by word (but for digits) in so many
+    documents: those of templates without slots. Lines count from 0.
 
     A null source is a source of its own. Null texts have no lines; empty texts one line, which
     is never a case. Repeated rows, and repeats of a line within a document, count once.
     Empty tables give no rows. Texts of any length are read whole. Other columns, whatever
     their names, are ignored.
 
-    Only hashes of lines are shuffled: to the source's rows, then (once a document and
-    template) to the tree. A line in a third of all chunks is reduced by partial aggregates
-    before either exchange of the tree, and its chunks are joined to the few templates found,
-    which Spark broadcasts or, if skewed, splits.
+    Every text is parsed once, and its lines are written down. A line in a third of all chunks
+    is reduced by partial aggregates before each exchange of counts, and lines meet the tree's
+    levels and the templates found in joins with small sides, which Spark broadcasts or, if
+    skewed, splits.
     """
-    source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))  # null is a value too
-    keys = documents.select("doc_id", "document_version", source.alias("_source")).distinct()
-    rows = parsed_lines(chunks, [F.col(id_col).alias("_id"), "doc_id", "document_version"], text_col, depth)
-    current = chunks.select("doc_id", "document_version").distinct().join(keys, ["doc_id", "document_version"])
-    sizes = current.groupBy("_source").agg(F.count_distinct("doc_id").alias("_docs"))
-    lines = rows.join(keys, ["doc_id", "document_version"]).select("_id", "doc_id", "_source", F.inline("_lines"))
-    tree = lines.groupBy("_source", "leaf", "line", "doc_id").agg(F.lit(1).alias("_one")).groupBy("_source", "leaf", "line").agg(F.count("*").alias("_covered"))
-    frequent = tree.where(F.col("_covered") >= least_docs).join(sizes, "_source").where(F.col("_covered") >= least_share * F.col("_docs"))
-    return lines.join(frequent, ["_source", "leaf", "line"], "left_semi").select(F.col("_id").alias(id_col), F.col("line_no").cast("int").alias("line_no")).distinct()
+    found = templates(chunks, documents, id_col=id_col, **options)
+    if not wildcards:
+        found = found.where(F.col("slots") == 0)
+    return found.select(F.col("_id").alias(id_col), F.col("line_no").cast("int").alias("line_no")).distinct()
 
 
 def without_lines(chunks: DataFrame, found: DataFrame, *, id_col: str = "chunk_id", text_col: str = "chunk_text") -> DataFrame:
@@ -97,24 +155,12 @@ def without_lines(chunks: DataFrame, found: DataFrame, *, id_col: str = "chunk_i
 
 
 def line_templates(chunks: DataFrame, documents: DataFrame, **options) -> DataFrame:
-    """(source, tokens, template, forms, lines, docs): the removed templates of each source.
+    """(source, template, slots, lines, docs): the templates found in each source, slots shown as ``<*>``.
 
-    Templates of the same leaf are shown as one, tokens in which they differ as wildcards.
+    ``lines`` counts chunk lines, repeated rows of a chunk once; ``docs`` the documents covered.
     """
-    depth = options.get("depth", 3)
-    source = options.get("source_col", "category")
-    id_col, text_col = options.get("id_col", "chunk_id"), options.get("text_col", "chunk_text")
-    found = repeated_lines(chunks, documents, **options)
-    keys = documents.select("doc_id", "document_version", F.col(source).alias("source")).distinct()
-    rows = chunks.join(keys, ["doc_id", "document_version"]).where(F.col(text_col).isNotNull())
-    lines = rows.select(F.col(id_col).alias("_id"), "doc_id", "source", F.posexplode(F.split(text_col, "\n")).alias("_no", "_line"))
-    lines = lines.join(found, (F.col("_id") == found[id_col]) & (F.col("_no") == found["line_no"]), "left_semi").withColumn("_form", template(F.col("_line")))
-    forms = lines.groupBy("source", "doc_id", leaf_path(F.col("_form"), depth).alias("_leaf"), "_form").agg(F.count("*").alias("_n"))
-    leaf = [F.col("source"), F.col("_leaf")]
-    sizes = forms.groupBy(*leaf).agg(F.sum("_n").alias("lines"), F.count_distinct("doc_id").alias("docs"), F.count_distinct("_form").alias("forms"))
-    tokens = forms.select(*leaf, "_form").distinct().select(*leaf, F.posexplode(F.split("_form", " ")).alias("_at", "_token"))
-    slots = tokens.groupBy(*leaf, "_at").agg(F.min("_token").alias("_first"), F.max("_token").alias("_last"))
-    slot = F.struct("_at", F.when(F.col("_first") == F.col("_last"), F.col("_first")).otherwise(F.lit(WILDCARD)).alias("_token"))
-    shown = slots.groupBy(*leaf).agg(F.array_join(F.array_sort(F.collect_list(slot))["_token"], " ").alias("template"))  # one entry a token
-    same = sizes["source"].eqNullSafe(shown["source"]) & (sizes["_leaf"] == shown["_leaf"])
-    return sizes.join(shown, same).select(sizes["source"], sizes["_leaf"]["tokens"].alias("tokens"), "template", "forms", "lines", "docs")
+    found = templates(chunks, documents, **options).distinct()
+    one = found.groupBy("_source", "template", "slots", "doc_id").agg(F.count("*").alias("_lines"))
+    shown = one.groupBy("_source", "template", "slots").agg(F.sum("_lines").alias("lines"), F.count("*").alias("docs"))
+    source = F.when(F.col("_source") != "", F.substring("_source", 2, 1 << 30)).alias("source")
+    return shown.select(source, "template", "slots", "lines", "docs")

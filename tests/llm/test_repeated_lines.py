@@ -7,8 +7,8 @@ def tables(spark, chunks, docs):
     return spark.createDataFrame([(*c, "x", "y") for c in chunks], CHUNKS), spark.createDataFrame([(*d, "z") for d in docs], DOCS)
 
 
-def found(spark, chunks, docs, **kw):
-    return {tuple(r) for r in repeated_lines(*tables(spark, chunks, docs), **kw).collect()}
+def found(spark, chunks, docs, wildcards=False, **kw):
+    return {tuple(r) for r in repeated_lines(*tables(spark, chunks, docs), wildcards=wildcards, **kw).collect()}
 
 
 def sample(n=5, text="Body of doc {i} here\nFiled  Under NOTICE {i}\nx 1"):
@@ -55,10 +55,39 @@ def test_removal_keeps_all_rows(spark):
     assert got == {f"c{i}": (f"own {i}\n\nend", 1) for i in range(4)} | {"x": (None, 0), "y": ("", 1)}
 
 
-def test_template_shows_slots(spark):
-    chunks, docs = tables(spark, [(f"c{i}{j}", f"d{i}", "v", f"page {i} by the {w} team") for i in range(4) for j, w in enumerate(("red", "blue"))], [(f"d{i}", "v", "c") for i in range(4)])
-    r = line_templates(chunks, docs).collect()
-    assert [(x.template, x.forms, x.lines, x.docs) for x in r] == [("page # by the <*> team", 2, 8, 4)]
+NAMES = ("Jane Doe", "John Roe", "Ada Poe", "Max Low", "Una Fay", "Ian May", "Eve Ray", "Leo Kay")
+
+
+def test_lines_that_differ_in_a_name_share_a_template(spark):
+    chunks = [(f"c{i}", f"d{i}", "v", f"{w} alone says {w}\nWritten by {w}\n{w} has {'abcdefgh'[i]} {w} own") for i, w in enumerate(NAMES)]
+    docs = [(f"d{i}", "v", "c") for i in range(8)]
+    assert found(spark, chunks, docs, wildcards=True, depth=2) == {(f"c{i}", 1) for i in range(8)}
+    assert found(spark, chunks, docs, wildcards=True) == {(f"c{i}", 1) for i in range(8)}
+    assert found(spark, chunks, docs) == set()
+    assert found(spark, chunks, docs, wildcards=True, least_constant=1.0) == set()  # a tree without slots finds none of them
+    (t,) = line_templates(*tables(spark, chunks, docs)).collect()
+    assert (t.source, t.template, t.slots, t.lines, t.docs) == ("c", "written by <*> <*>", 2, 8, 8)
+
+
+def test_templates_do_not_depend_on_order_or_partitions(spark):
+    chunks = [(f"c{i}", f"d{i}", "v", f"Page {i} of the {w} guide\nwritten by {w}\nno two lines {w * (i + 1)}") for i, w in enumerate(NAMES)]
+    docs = [(f"d{i}", "v", "c") for i in range(8)]
+    want = {tuple(r) for r in line_templates(*tables(spark, chunks, docs)).collect()}
+    got = {tuple(r) for r in line_templates(*(t.repartition(5) for t in tables(spark, chunks[::-1], docs))).collect()}
+    assert got == want == {("c", "page # of the <*> <*> guide", 2, 8, 8), ("c", "written by <*> <*>", 2, 8, 8)}
+
+
+def test_a_token_of_enough_documents_is_no_slot(spark):
+    chunks, docs = [(f"c{i}", f"d{i}", "v", f"page {i} by the {'red' if i < 4 else 'abcdefgh'[i]} team") for i in range(8)], [(f"d{i}", "v", "c") for i in range(8)]
+    r = line_templates(*tables(spark, chunks, docs)).collect()
+    assert {(x.template, x.docs) for x in r} == {("page # by the red team", 4), ("page # by the <*> team", 4)}
+
+
+def test_enough_documents_whatever_the_share(spark):
+    chunks = [(f"c{i}", f"d{i}", "v", "same old site line" if i < 4 else f"own text {'abcdefghij'[i % 10] * (i // 10 + 1)} number") for i in range(51)]
+    docs = [(f"d{i}", "v", "cat") for i in range(51)]
+    assert found(spark, chunks, docs) == set()
+    assert len(found(spark, chunks, docs, enough_docs=4)) == 4
 
 
 def test_hot_source_and_line(spark):
