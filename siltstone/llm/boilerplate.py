@@ -1,13 +1,13 @@
 """Main content of web pages, apart from site furniture, by two-pass block rules (problem 3).
 
-A page is cut into blocks of text, each with the place it stands in (the nearest layout
-element around it), its length, its share of stop words and its link density. The first pass
-decides blocks by these figures alone: long text rich in stop words is content, link
-lists and legal marks are furniture, what is short stays open. The second pass lets open
-blocks, and blocks that only looked like content, inherit the label of the nearest decided
-block, where near means within the same place: a block alone in a place of its own has no
-content near it. A list of usual openings of site lines is one weak vote on open blocks: it
-tells only where a block has furniture on one side and content on the other.
+A page is cut into blocks of text, each with the layout element it stands in (its place), its
+length, its share of stop words and its link density. The first pass decides blocks by these
+figures alone: link lists and legal marks are furniture, long text rich in stop words is
+content, what is short stays open. Length is measured twice, on the block and on its place: a
+place with little running text, set against the one that has most, is short as a whole, and
+its blocks stay open too. In the second pass every open block takes the label of the nearest
+decided block, where near means within the same place: a short place has no content in it, so
+what stands there is furniture. Headings belong to what follows them.
 """
 
 from __future__ import annotations
@@ -30,43 +30,33 @@ STOP_WORDS = frozenset(
     "au aux avec ce cette dans de des du elle en est et il la le les leur ne ou par pas pour qui que sa ses son sont sur un une vous "
     "al como con del el en es esta este la las los más no para pero por se sin son su sus un una y".split()
 )
-_TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^>]*)>", re.S)
-_HIDDEN = re.compile(r"<(script|style|head|noscript|template)\b.*?</\1\s*>", re.S | re.I)
+#: An unclosed comment ends with the page; a tag ends before the next one begins. Both keep the scan linear.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^<>]*)>", re.S)
+_HIDDEN = frozenset("script style head noscript template".split())
 _PLACES = frozenset("div section article main nav header footer aside td th body form dialog".split())
-_SITE_PLACES = frozenset("nav header footer aside form dialog".split())
 _BLOCKS = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote dt dd figcaption caption".split())
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?…:;][\"”’')\]]*$")
 
 
-#: Fixed value: openings of short blocks that often serve a site; a weak vote on blocks the figures leave open.
-_FURNITURE = re.compile(
-    r"^(?:skip (?:to|navigation)|jump to|accept (?:all )?cookies|(?:was|is) this (?:page|article) helpful|on this page|in this (?:article|section)|table of contents|"
-    r"related (?:articles|topics|links|pages|content)|more from|popular (?:topics|articles)|see also|read more|previous:|next:|last (?:updated|modified|edited)|"
-    r"author:|written by|share(?::| this)|follow us|subscribe|sign (?:in|up)|log in|register (?:for|now)|edit this page|back to top|all rights reserved|copyright)",
-    re.I,
-)
-
-
 class Block:
-    """A piece of page text: its kind, where it stands, and the figures the rules use."""
+    """A piece of page text: its kind, the place where it stands, and the figures the rules use."""
 
-    __slots__ = ("kind", "text", "key", "place", "site", "linked", "words", "stops", "label", "vote")
+    __slots__ = ("kind", "text", "key", "place", "linked", "words", "stops", "label")
 
-    def __init__(self, kind: str, text: str, place: int, site: bool, linked: int):
-        self.kind, self.text, self.place, self.site = kind, text, place, site
+    def __init__(self, kind: str, text: str, place: int, linked: int):
+        self.kind, self.text, self.place = kind, text, place
         found = _WORD.findall(text.lower())
         self.words, self.stops = len(found), sum(map(STOP_WORDS.__contains__, found))
         self.key = "".join(found)
         self.linked = linked / max(1, len(text))
-        self.label, self.vote = "", False
+        self.label = ""
 
 
 def page_blocks(html: str) -> list[Block]:
     """Blocks of a page in reading order; unclosed and crossed tags are mended on the way."""
-    html = _HIDDEN.sub(" ", html)
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = [("body", 0, False)]  # open places: tag, number, site furniture by mark-up
+    stack: list[tuple[str, int]] = [("body", 0)]  # open places: tag, number
     places, kind, buffer, linked, depth_a, at = 1, "", [], 0, 0, 0
 
     def flush() -> None:
@@ -75,8 +65,8 @@ def page_blocks(html: str) -> list[Block]:
         text = " ".join((entities.unescape(text) if "&" in text else text).split())
         if text:
             # a cell with nothing but text belongs to the place around its table
-            tag, number, site = stack[-2] if kind == "cell" and len(stack) > 1 else stack[-1]
-            out.append(Block(kind or "text", text, number, site, linked))
+            number = (stack[-2] if kind == "cell" and len(stack) > 1 else stack[-1])[1]
+            out.append(Block(kind or "text", text, number, linked))
         buffer, linked = [], 0
 
     def put(text: str) -> None:
@@ -86,13 +76,24 @@ def page_blocks(html: str) -> list[Block]:
             if depth_a:
                 linked += len(text.strip())
 
-    code = 0
+    code, hidden = 0, ""
+    ends: dict[str, int] = {}  # where the last end tag of each hidden element is
     for tag in _TAG.finditer(html):
+        name, closing = (tag[2] or "").lower(), bool(tag[1])
+        if hidden:  # nothing counts up to the end tag
+            if closing and name == hidden:
+                hidden, at = "", tag.end()
+            continue
         put(html[at : tag.start()])
         at = tag.end()
-        if not tag[2]:
+        if not name:
+            continue
+        if name in _HIDDEN and not closing:
+            if name not in ends:
+                ends[name] = max((m.start() for m in re.finditer(f"</{name}\\b", html, re.I)), default=-1)
+            if at <= ends[name]:
+                hidden = name
             continue
-        name, closing = tag[2].lower(), bool(tag[1])
         if name == "a":
             depth_a = 0 if closing else 1
         elif name == "br":
@@ -116,8 +117,7 @@ def page_blocks(html: str) -> list[Block]:
                         del stack[i:]
                         break
             elif name != "body":
-                site = stack[-1][2] or name in _SITE_PLACES
-                stack.append((name, places, site))
+                stack.append((name, places))
                 places += 1
         elif name in _BLOCKS:
             flush()
@@ -130,16 +130,26 @@ def page_blocks(html: str) -> list[Block]:
     return out
 
 
-def decide(blocks: list[Block], *, long_words: int = 12, short_words: int = 4, stops_low: float = 0.2, stops_high: float = 0.3, link_density: float = 0.33) -> None:
-    """First pass: good, bad, near (like content, but not long or dense enough) or open."""
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def decide(
+    blocks: list[Block], *, long_words: int = 12, short_words: int = 4, stops_low: float = 0.2, stops_high: float = 0.3, link_density: float = 0.33, place_share: float = 0.3
+) -> None:
+    """First pass: good, bad, near (like content, but not long or dense enough) or open, by figures.
+
+    Blocks of a place with under ``place_share`` of the running words of the place that has
+    most are not long enough, whatever their own length.
+    """
     runs = _item_runs(blocks)
+    running: Counter[int] = Counter()
     for i, b in enumerate(blocks):
         density = b.stops / max(1, b.words)
-        if b.site or b.linked > link_density or "©" in b.text[:20] or i in runs:
+        if b.linked > link_density or "©" in b.text[:20] or i in runs:
             b.label = "bad"
         elif b.kind in ("pre", "cell"):
             b.label = "near"
-        elif b.kind in ("h1", "h2", "h3", "h4", "h5", "h6") or b.words < short_words:
+        elif b.kind in _HEADINGS or b.words < short_words:
             b.label = "open"
         elif density >= stops_high and b.words > long_words:
             b.label = "good"
@@ -147,7 +157,11 @@ def decide(blocks: list[Block], *, long_words: int = 12, short_words: int = 4, s
             b.label = "near"
         else:
             b.label = "open"
-        b.vote = b.label == "open" and b.words <= 2 * long_words and bool(_FURNITURE.search(b.text))
+        running[b.place] += b.words if b.label == "good" else b.words / 2 if b.label == "near" else 0
+    most = max(running.values(), default=0)
+    for b in blocks:
+        if b.label in ("good", "near") and b.kind != "pre" and running[b.place] < place_share * most:
+            b.label = "open"
 
 
 def _item_runs(blocks: list[Block]) -> set[int]:
@@ -166,42 +180,35 @@ def _item_runs(blocks: list[Block]) -> set[int]:
 
 
 def inherit(blocks: list[Block]) -> None:
-    """Second pass: everything undecided takes the label of the nearest decided block of its place.
+    """Second pass: what is open takes the label of the nearest decided block of its place.
 
-    The place of the title with most of the page's content is the main one. A place counts as
-    content if it is that, or holds a considerable part of what that holds; in any other place
-    even a long sentence is furniture, and a short block there has only furniture near it.
+    Of two at the same distance the content counts. Where nothing is decided, nothing is
+    content. A heading takes the label of the next block of its place that is none, or of the
+    next block of the page after a place of headings alone.
     """
-    weight: Counter[int] = Counter()
-    titled = {b.place for b in blocks if b.kind == "h1" and not b.site}
-    headed: Counter[int] = Counter(b.place for b in blocks if b.kind in ("h2", "h3", "h4"))
-    for b in blocks:
-        if b.label == "good":
-            weight[b.place] += b.words
-        elif b.label == "near":
-            weight[b.place] += b.words / 2
-    most = max(weight.values(), default=0)
-    heaviest = {p for p, w in weight.items() if w == most} if not titled else set()
-    content = titled | heaviest | {p for p, w in weight.items() if headed[p] and w >= 0.2 * most}
     by_place: dict[int, list[int]] = defaultdict(list)
     for i, b in enumerate(blocks):
         by_place[b.place].append(i)
-    for place, members in by_place.items():
-        decided = [i for i in members if blocks[i].label in ("good", "near", "bad")]
-        for i in members:
-            b = blocks[i]
-            if b.kind == "pre" and not b.site:
-                b.label = "good"  # code stands in a box of its own
-            elif place not in content or b.label == "bad":
-                b.label = "bad"
-            elif b.label == "open" and b.kind not in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                near = min(decided, key=lambda d: (abs(d - i), blocks[d].label == "bad"), default=i)
-                at = bisect(decided, i)
-                beside = decided[max(0, at - 1) : at + 1]  # content on both sides overrules the vote
-                voted = b.vote and any(blocks[d].label == "bad" for d in beside)
-                b.label = "bad" if voted or blocks[near].label == "bad" else "good"
-            else:
-                b.label = "good"
+    decided = {place: [i for i in members if blocks[i].label != "open"] for place, members in by_place.items()}
+    labels = ["good" if b.label == "near" else b.label for b in blocks]
+    for i, b in enumerate(blocks):
+        if b.label == "open" and b.kind not in _HEADINGS:
+            at = bisect(decided[b.place], i)
+            beside = decided[b.place][max(0, at - 1) : at + 1]
+            near = min(beside, key=lambda d: (abs(d - i), blocks[d].label == "bad"), default=None)
+            labels[i] = "bad" if near is None else labels[near]
+    bare = {place for place, members in by_place.items() if all(blocks[i].kind in _HEADINGS for i in members)}
+    last = {place: max((i for i in members if blocks[i].kind not in _HEADINGS), default=-1) for place, members in by_place.items()}
+    below: dict[int, str] = {}  # the label of the next block of a place, reading backwards
+    following = "bad"
+    for i in range(len(blocks) - 1, -1, -1):
+        b = blocks[i]
+        if b.kind in _HEADINGS and b.label == "open":
+            labels[i] = following if b.place in bare else below.get(b.place) or labels[last[b.place]]
+        else:
+            below[b.place] = following = labels[i]
+    for b, label in zip(blocks, labels):
+        b.label = label
 
 
 def main_blocks(html: str) -> list[Block]:
@@ -273,7 +280,7 @@ def furniture_lines(markdown: str, html: str | None) -> list[int]:
         else:
             alone.append(n)
     if alone:
-        own = [(n, Block(kind, text, place, False, 0)) for n, (kind, text, place) in ((n, u) for n, u in enumerate(units) if u)]
+        own = [(n, Block(kind, text, place, 0)) for n, (kind, text, place) in ((n, u) for n, u in enumerate(units) if u)]
         decide([b for _, b in own])
         inherit([b for _, b in own])
         labels = {n: b.label for n, b in own} | labels

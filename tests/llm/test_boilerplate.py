@@ -1,6 +1,9 @@
+import time
+
+from siltstone.llm import boilerplate
 from siltstone.llm.boilerplate import furniture_lines, main_bodies, main_blocks, page_blocks, page_texts, site_lines
 
-BODY = "The quick administrators who want to keep the tables in order should read this text before they go on with it."
+BODY = " ".join(["The quick administrators who want to keep the tables in order should read this text before they go on with it."] * 3)
 HTML = f"""<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li>Home<li>Docs</ul></nav><div class=c1><p>By staying on this page you agree that we may
 keep identifiers on your browser as set out in the statement.</div><div class="x"><h1>A title</h1><p>{BODY}<p>Note</p><h2>Part</h2><div class=zz><p>Spotted a mistake? Tell the desk.</p></div>
 <ul><li>You can use the list to find a table.</li><li>To undo it, open the menu.</li></ul><table><tr><td>Key</td><td>Value</td></tr><tr><td>a</td><td>1</td></tr></table>
@@ -43,9 +46,29 @@ def test_words_do_not_decide():
     assert [b.text for b in main_blocks(page) if b.label == "good"] == ["T", BODY, told, "Next: the tables", BODY]
 
 
-def test_vote_between_content_and_furniture():
-    page = "<div><h1>T</h1><p>{0}</p><p>{1}</p><p>© x</p></div>"
-    assert [main_blocks(page.format(BODY, x))[2].label for x in ("Share: this table", "Default: this table")] == ["bad", "good"]
+def test_menu_and_title_in_one_element():
+    page = f"<body><div><ul><li>Home</li><li>Docs</li><li>Labels</li></ul><h1>T</h1><p>{BODY}</p><h2>Part</h2><p>{BODY}</p></div></body>"
+    assert [b.text for b in main_blocks(page) if b.label == "good"] == ["T", BODY, "Part", BODY]
+
+
+def test_body_in_sibling_elements_without_headings():
+    page = f"<body><div><p>Skip to content</p></div><div><h1>T</h1></div><div><p>{BODY}</p></div><div><p>{BODY}</p><p>Note</p></div><div><p>Was this helpful?</p></div></body>"
+    assert [b.text for b in main_blocks(page) if b.label == "good"] == ["T", BODY, BODY, "Note"]
+
+
+def test_figures_of_the_first_pass_decide(monkeypatch):
+    """Without them no block is decided, and all content is lost."""
+    whole = len([b for b in main_blocks(HTML) if b.label == "good"])
+    monkeypatch.setattr(boilerplate, "decide", lambda blocks: [setattr(b, "label", "open") for b in blocks])
+    assert whole > 8 and [b.text for b in main_blocks(HTML) if b.label == "good"] == []
+
+
+def test_unclosed_marks_take_linear_time():
+    for mark in ("<script>", "<!-- ", "<a ", "<script></script"):
+        began = time.time()
+        main_blocks(mark * 100_000)
+        assert time.time() - began < 3, mark
+    assert [b.text for b in page_blocks("<p>a<script>if (1 < 2) {}</script>b<!-- x --><style>q</style>c")] == ["abc"]
 
 
 def test_tables(spark):
