@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Setting that names the shared folder for a session; ``spark.checkpoint.dir`` where it is not set.
+SHARED = "spark.siltstone.shared.dir"
+_shipped: set[str] = set()
+_written: dict[str, list[str]] = {}
+
 
 def session(cores: str = "8", app: str = "siltstone") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -25,19 +33,43 @@ def session(cores: str = "8", app: str = "siltstone") -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's executors, once, as Spark sends any Python file."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(_temporary()) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    # tasks import this package; where it is not installed there, from the same folder
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def _temporary() -> str:
+    folder = tempfile.mkdtemp(prefix="siltstone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can read: ``spark.checkpoint.dir`` where the cluster sets it,
-    else (tests, local runs) a fresh temporary folder kept for the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can read: ``spark.siltstone.shared.dir``, or ``spark.checkpoint.dir``.
+
+    Where neither is set, a local session gets a temporary folder for its lifetime; on a
+    cluster that is an error, since no folder of one machine is shared.
+    """
+    named = spark.conf.get(SHARED, None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir, or {SHARED} on the session, to a folder that all executors share")
+        named = f"file://{_temporary()}"
+        spark.conf.set(SHARED, named)
     return named.rstrip("/")
 
 
@@ -45,11 +77,23 @@ def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     """Write ``df`` once to the shared folder and go on from the files.
 
     Cuts the lineage like ``checkpoint()`` (a lost executor re-reads files), but keeps the
-    columnar form, so that later reads prune columns and the copy is compressed.
+    columnar form, so that later reads prune columns and the copy is compressed. ``release``
+    deletes what a session has written.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what ``settle`` has written for the session, once its results are used; how many folders."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)

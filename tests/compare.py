@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 
 import __spark_entry__ as entry
-from siltstone.runtime import session
+from siltstone.runtime import release, session
 
 
 def plain(value):
@@ -59,3 +59,4 @@ if __name__ == "__main__":
             print(name, *compare(spark, at, name), f"{time.time() - t:.1f}s", flush=True)
         except Exception as e:  # noqa: BLE001
             print(name, "FAILED", str(e)[:600], flush=True)
+        release(spark)
