@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from siltstone.runtime import settle
+
 DECIMALS = 12
 
 
@@ -46,23 +48,38 @@ def _closest(rows: np.ndarray, centres: np.ndarray, spherical: bool) -> np.ndarr
 
 
 class Codebook:
-    """Coarse centroids and residual sub-quantisers of one vector space, fitted on a sample of
-    distinct vectors. ``copies`` of each and ``total`` are numbers of rows that are filed."""
-
-    def __init__(self, sample: np.ndarray, copies: np.ndarray, total: int, lists: int, parts: int, shard_rows: int, seed: int, rounds: int = 8):
-        rng = np.random.default_rng(seed)
-        sample = _unit(sample.astype(np.float32)).astype(np.float32)
-        self.coarse = _kmeans(sample, min(lists, len(sample)), rounds, rng, True)
-        filed = np.concatenate([_closest(x, self.coarse, True) for x in np.array_split(sample, len(sample) // 4096 + 1)])
-        # the rows of the sample's vectors are known, the others are like its vectors
-        known = np.bincount(filed, copies, minlength=len(self.coarse))
-        expected = known + np.bincount(filed, minlength=len(self.coarse)) * (max(0, total - known.sum()) / len(sample))
-        self.shards = np.maximum(1, np.ceil(expected / shard_rows)).astype(np.int64)
-        width = sample.shape[1]
-        self.edges = np.linspace(0, width, min(parts, width) + 1).astype(int)
-        at = rng.choice(len(sample), min(len(sample), 16384), replace=False)
-        residual = sample[at] - self.coarse[filed[at]]
-        self.fine = [_kmeans(np.ascontiguousarray(residual[:, a:b]), min(256, len(at)), rounds, rng, False) for a, b in zip(self.edges, self.edges[1:])]
+    """A tree of two levels of coarse centroids (cells, and lists within each) of one vector
+    space, and its residual sub-quantisers."""
+
+    def __init__(self, cells: np.ndarray, lists: list[np.ndarray], fine: list[np.ndarray] | None = None):
+        self.cells, self.width = cells, cells.shape[1]
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in lists])])  # number of each cell's first list
+        self.lists, self.fine = np.concatenate(lists), fine
+
+    def nearest(self, rows: np.ndarray, most: int, probes: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, inner products) of the ``most`` nearest lists of each row, nearest first, among
+        those of the nearest ``probes`` cells; -inf where a row has fewer."""
+        probes = min(probes, len(self.cells))
+        sizes = np.diff(self.first)
+        near, value = [], []
+        for part in np.array_split(rows, len(rows) // 2048 + 1):
+            score = part @ self.cells.T
+            cells = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
+            met = np.full((len(part), probes, int(sizes.max())), -np.inf, np.float32)
+            for cell in np.unique(cells):
+                row, slot = np.nonzero(cells == cell)
+                met[row, slot, : sizes[cell]] = part[row] @ self.lists[self.first[cell] : self.first[cell + 1]].T
+            met = met.reshape(len(part), -1)
+            n = min(most, met.shape[1])
+            best = np.argpartition(-met, n - 1, axis=1)[:, :n] if n < met.shape[1] else np.tile(np.arange(n), (len(part), 1))
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(met, best, 1), axis=1, kind="stable"), 1)
+            value.append(np.take_along_axis(met, best, 1))
+            near.append(self.first[np.take_along_axis(cells, best // int(sizes.max()), 1)] + best % int(sizes.max()))
+        return np.concatenate(near), np.concatenate(value)
+
+    @property
+    def edges(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum([c.shape[1] for c in self.fine])])
 
     def codes(self, residual: np.ndarray) -> np.ndarray:
         return np.stack([_closest(residual[:, a:b], c, False) for a, b, c in zip(self.edges, self.edges[1:], self.fine)])
@@ -87,49 +104,33 @@ def latest_vectors(vectors: DataFrame) -> DataFrame:
     return last.where(usable(F.col("_m.vector"), F.col("_m.embedding_dimension"))).select(*keys, F.col("_m.vector").alias("vector"))
 
 
-def _file(books: dict, spread: int, slack: float):
-    """File each vector under its nearest lists: the first is its own, further ones only as far as ``slack`` allows.
-
-    Rows gain _list, _base, _query (shards) and _role: 1 is found there, 2 asks there. An own
-    row of a list with n shards is found in one base shard for every query shard, and asks one
-    query shard of every base shard.
-    """
+def _file(books, spread: int, slack: float):
+    """File each vector under its nearest lists: the first is its own, where it asks (_role 3),
+    in further ones, only as far as ``slack`` allows, it is found (_role 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            space = np.array([f"{m}\x1f{r}" for m, r in zip(batch.column("embedding_model").to_pylist(), batch.column("embedding_revision").to_pylist())], object)
-            sizes = _sizes(batch.column("vector"))
-            for name, width in {(n, int(w)) for n, w in zip(space, sizes)}:
-                book = books.value[name, width]
-                part = batch.take(pa.array(np.flatnonzero((space == name) & (sizes == width))))
+            for (name, width), part in _by_space(batch):
                 unit = _unit(_matrix(part.column("vector"), width).astype(np.float32))
-                score = unit @ book.coarse.T
-                n = min(spread, score.shape[1])
-                near = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                value = np.take_along_axis(score, near, 1)
-                order = np.argsort(-value, axis=1, kind="stable")
-                near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
+                near, value = books.value[name, width].nearest(unit, spread)
                 far = 2 - 2 * value  # squared distance of unit vectors
                 kept = far <= (1 + slack) ** 2 * far[:, :1] + 1e-6
                 kept[:, 0] = True
                 row, rank = np.nonzero(kept)
-                home, shards = near[row, rank], book.shards[near[row, rank]]
-                own = np.array([hash(x) for x in part.column("_salt").to_pylist()], np.int64)[row] % shards
-                times = np.where(rank == 0, 2 * shards - 1, shards)
-                at = np.repeat(np.arange(len(row)), times)
-                step = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                first = step < shards[at]  # as a member, once for every query shard
-                query = np.where(first, step, own[at])
-                # as a query, once for every other base shard
-                base = np.where(first, own[at], (own[at] + 1 + step - shards[at]) % shards[at])
-                role = np.where(first, np.where((rank[at] == 0) & (query == own[at]), 3, 1), 2)
-                taken = part.take(pa.array(row[at])).drop_columns(["_salt"])
-                extra = [pa.array(x.astype(np.int32)) for x in (home[at], base, query, role)]
-                yield pa.RecordBatch.from_arrays([*taken.columns, *extra], names=[*taken.schema.names, "_list", "_base", "_query", "_role"])
+                taken = part.take(pa.array(row))
+                role = np.where(rank == 0, 3, 1)
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(near[row, rank].astype(np.int32)), pa.array(role.astype(np.int32))], names=[*taken.schema.names, "_list", "_role"])
 
     return run
 
 
+def _by_space(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    space = np.array([f"{m}\x1f{r}" for m, r in zip(batch.column("embedding_model").to_pylist(), batch.column("embedding_revision").to_pylist())], object)
+    sizes = _sizes(batch.column("vector"))
+    for name, width in sorted({(n, int(w)) for n, w in zip(space, sizes)}):
+        yield (name, width), batch.take(pa.array(np.flatnonzero((space == name) & (sizes == width))))
+
+
 def _sizes(column: pa.Array) -> np.ndarray:
     return np.diff(column.offsets.to_numpy())
 
@@ -143,8 +144,8 @@ def _first_copies(rows: np.ndarray, most: int) -> np.ndarray:
     return np.flatnonzero(place < most)
 
 
-def _search(books: dict, k: int, depth: int, least: float):
-    """One inverted list (or a shard of it): score by distance tables, rerank the best exactly."""
+def _search(books, k: int, depth: int, least: float):
+    """One inverted list: score by distance tables, rerank the best exactly."""
 
     def run(group: pa.Table) -> pa.Table:
         width = len(group.column("vector")[0])
@@ -158,7 +159,7 @@ def _search(books: dict, k: int, depth: int, least: float):
         base, asks = np.flatnonzero(roles & 1), np.flatnonzero(roles & 2)
         if len(base):  # of a vector's copies only the k + 1 smallest ids can be among anyone's first k
             base = base[_first_copies(raw[base], k + 1)]
-        centre = book.coarse[first["_list"]]
+        centre = book.lists[first["_list"]]
         unit = _unit(raw.astype(np.float64))
         small = unit.astype(np.float32)
         code = book.codes(small[base] - centre)
@@ -206,38 +207,100 @@ def space_sizes(vectors: DataFrame) -> dict:
     return {(r["_space"], r["_width"]): (r["n"], max(1, r["d"])) for r in rows.collect()}
 
 
-def sample_vectors(vectors: DataFrame, sizes: dict, sample_rows: int, seed: int) -> tuple[DataFrame, dict]:
-    """(_space, _width, vector, n, _place) and how many of them a space gets: distinct vectors drawn by hash, with their numbers of rows.
+def sample_vectors(vectors: DataFrame, sizes: dict, wanted: dict, seed: int, most_copies: int, kept_copies: int) -> DataFrame:
+    """(_space, _width, vector, _place, _n): about ``wanted`` distinct vectors of each space, drawn
+    by hash, so that copies are in or out together and count once. ``_place`` is uniform from
+    0 to 1: those under x are a sample of the sample. ``_n`` is the number of rows to be filed."""
+    rate = F.coalesce(*[F.when((F.col("_space") == s) & (F.col("_width") == w), F.lit(min(1.0, n / sizes[s, w][1]))) for (s, w), n in wanted.items()])
+    draw = F.pmod(F.xxhash64(F.lit(seed), "vector"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = vectors.select(_space().alias("_space"), F.size("vector").alias("_width"), "vector").withColumn("_place", draw / rate).where(F.col("_place") < 1)
+    filed = F.when(F.count("*") > most_copies, kept_copies).otherwise(F.count("*"))
+    return settle(drawn.groupBy("_space", "_width", "vector", "_place").agg(filed.alias("_n")), "sample")
+
+
+def _fitted(rows: DataFrame, keys: list[str], fit) -> dict:
+    """{key: list of float32 matrices} of each group of the sample, fitted in a task of its own;
+    only the matrices reach the driver."""
+
+    def run(group: pa.Table) -> pa.Table:
+        first = {c: group.column(c)[0].as_py() for c in keys}
+        width = first["_width"]
+        unit = _unit(_matrix(group.column("vector"), width).astype(np.float32)).astype(np.float32)
+        order = np.lexsort(unit.T[::-1])  # the same fit whatever order the rows came in
+        made = fit(first, unit[order], group.column("_n").to_numpy()[order])
+        return pa.table(
+            {c: pa.array([first[c]] * len(made), pa.string() if c == "_space" else pa.int32()) for c in keys}
+            | {"_no": pa.array(np.arange(len(made), dtype=np.int32)), "_columns": pa.array([m.shape[1] for m in made], pa.int32()), "_data": pa.array([m.astype(np.float32).tobytes() for m in made], pa.binary())}
+        )
+
+    schema = ", ".join(f"{c} {'string' if c == '_space' else 'int'}" for c in keys) + ", _no int, _columns int, _data binary"
+    found: dict = {}
+    for r in sorted(rows.groupBy(*keys).applyInArrow(run, schema).collect(), key=lambda r: r["_no"]):
+        found.setdefault(tuple(r[c] for c in keys), []).append(np.frombuffer(r["_data"], np.float32).reshape(-1, r["_columns"]))
+    return found
+
+
+def fit_codebooks(vectors: DataFrame, sizes: dict, filed: dict, *, most_copies: int, kept_copies: int, list_rows: int, most_lists: int, sample_rows: int, parts: int, seed: int, rounds: int = 8) -> dict:
+    """A codebook for each (model, revision, dimension), fitted in tasks on samples of distinct vectors.
 
-    A space gets its share of ``sample_rows`` by distinct vectors, but at least 4,096 or, with
-    many spaces, an equal share (64 if that is less); so there are at most about
-    ``2 * sample_rows``, or 64 a space, whatever the number of rows and copies. A tenth more are drawn than a space gets, since the
-    numbers of distinct vectors are estimates; the smallest ``_place`` are to be taken.
+    A space has a list for each ``list_rows`` of its ``filed`` rows. Its cells, about the root
+    of that number, are fitted on at most about ``sample_rows`` vectors, and then the lists of
+    every cell on the sample's vectors in it (16 a list), as many as its share of the rows asks
+    for, so that dense regions have more. All books hold at most about ``most_lists`` centroids,
+    a list's size in bytes times that, which bounds the broadcast; beyond ``most_lists x
+    list_rows`` vectors lists grow instead.
     """
+    total = sum(filed.values())
+    lists = {key: max(1, min(n // list_rows, most_lists * n // total)) for key, n in filed.items()}
     every = sum(d for _, d in sizes.values())
     least = max(64, min(4096, sample_rows // len(sizes)))
-    wanted = {key: max(sample_rows * d // every, least) for key, (_, d) in sizes.items()}
-    rate = F.coalesce(*[F.when((F.col("_space") == s) & (F.col("_width") == w), F.lit(min(1.0, 1.1 * n / sizes[s, w][1]))) for (s, w), n in wanted.items()])
-    draw = F.pmod(F.xxhash64(F.lit(seed), "vector"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = vectors.select(_space().alias("_space"), F.size("vector").alias("_width"), "vector").withColumn("_place", draw / rate).where(F.col("_place") < 1)
-    one = drawn.groupBy("_space", "_width", "vector", "_place").agg(F.count("*").alias("n"))
-    return one.orderBy("_place").limit(sum(n + n // 8 + 64 for n in wanted.values())), wanted
+    first = {key: max(sample_rows * d // every, least) for key, (_, d) in sizes.items()}
+    wanted = {key: max(n, 16 * lists[key]) for key, n in first.items()}
+    sample = sample_vectors(vectors, sizes, wanted, seed, most_copies, kept_copies)
+    drawn = {(r["_space"], r["_width"]): r["n"] for r in sample.groupBy("_space", "_width").agg(F.sum("_n").alias("n")).collect()}
+
+    def part_of(rows: dict) -> Column:
+        return F.coalesce(*[F.when((F.col("_space") == s) & (F.col("_width") == w), F.col("_place") < n / wanted[s, w]) for (s, w), n in rows.items()])
+
+    def rng(key: dict) -> np.random.Generator:
+        return np.random.default_rng(seed)
 
+    def cells(key: dict, rows: np.ndarray, _) -> list[np.ndarray]:
+        return [_kmeans(rows, min(int(np.ceil(np.sqrt(lists[key["_space"], key["_width"]]))), len(rows)), rounds, rng(key), True)]
 
-def fit_codebooks(vectors: DataFrame, sizes: dict, filed: dict, *, most_copies: int, kept_copies: int, list_rows: int, most_lists: int, sample_rows: int, parts: int, shard_rows: int, seed: int) -> dict:
-    """A codebook for each (model, revision, dimension), fitted on ``sample_vectors``. A book is at
-    most ``most_lists`` centroids, so it may be broadcast. ``filed`` rows of each are to be filed:
-    of a vector with over ``most_copies`` rows only ``kept_copies``."""
-    drawn, wanted = sample_vectors(vectors, sizes, sample_rows, seed)
+    top = {key: found[0] for key, found in _fitted(sample.where(part_of(first)), ["_space", "_width"], cells).items()}
+    known = vectors.sparkSession.sparkContext.broadcast(top)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spaces, widths = np.array(batch.column("_space").to_pylist(), object), batch.column("_width").to_numpy()
+            for name, width in sorted(set(zip(spaces, widths.tolist()))):
+                some = batch.take(pa.array(np.flatnonzero((spaces == name) & (widths == width))))
+                cell = _closest(_unit(_matrix(some.column("vector"), width).astype(np.float32)), known.value[name, width], True)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cell.astype(np.int32))], names=[*some.schema.names, "_cell"])
+
+    def inside(key: dict, rows: np.ndarray, copies: np.ndarray) -> list[np.ndarray]:
+        space = key["_space"], key["_width"]
+        share = int(copies.sum()) / drawn[space]
+        return [_kmeans(rows, int(np.clip(round(share * lists[space]), 1, max(1, len(rows) // 4))), rounds, rng(key), True)]
+
+    in_cells = sample.mapInArrow(placed, "_space string, _width int, vector array<float>, _place double, _n long, _cell int")
+    leaves = _fitted(in_cells, ["_space", "_width", "_cell"], inside)
     books = {}
-    for (name, width), rows in drawn.toPandas().groupby(["_space", "_width"]):
-        rows = rows.sort_values("_place", kind="stable").head(wanted[name, width])
-        copies = rows["n"].where(rows["n"] <= most_copies, kept_copies).to_numpy()
-        rows = np.array(rows["vector"].tolist(), np.float32)
-        order = np.lexsort(rows.T[::-1])  # the same fit whatever order the rows came in
-        rows, copies = rows[order], copies[order]
-        lists = int(np.clip(filed[name, width] // list_rows, 1, min(most_lists, max(1, len(rows) // 16))))
-        books[name, int(width)] = Codebook(rows, copies, filed[name, width], lists, parts, shard_rows, seed)
+    for (name, width), centres in top.items():
+        own = [leaves.get((name, width, i), [centres[i : i + 1]])[0] for i in range(len(centres))]
+        books[name, width] = Codebook(centres, own)
+    coarse = vectors.sparkSession.sparkContext.broadcast(books)
+
+    def fine(key: dict, rows: np.ndarray, _) -> list[np.ndarray]:
+        book = coarse.value[key["_space"], key["_width"]]
+        residual = rows - book.lists[book.nearest(rows, 1)[0][:, 0]]
+        edges = np.linspace(0, key["_width"], min(parts, key["_width"]) + 1).astype(int)
+        return [_kmeans(np.ascontiguousarray(residual[:, a:b]), min(256, len(rows)), rounds, rng(key), False) for a, b in zip(edges, edges[1:])]
+
+    few = {key: min(n, 16384) for key, n in first.items()}
+    for key, made in _fitted(sample.where(part_of(few)), ["_space", "_width"], fine).items():
+        books[key].fine = made
     return books
 
 
@@ -247,13 +310,12 @@ def nearest_neighbours(
     k: int = 5,
     least: float = -1.0,
     list_rows: int = 256,
-    most_lists: int = 4096,
+    most_lists: int = 262144,
     sample_rows: int = 65536,
     spread: int = 4,
     slack: float = 0.3,
     depth: int = 96,
     parts: int = 32,
-    shard_rows: int = 8192,
     seed: int = 11,
 ) -> DataFrame:
     """For each chunk_id of each (model, revision): its ``k`` most similar others, by cosine.
@@ -267,16 +329,17 @@ def nearest_neighbours(
     and in up to ``spread - 1`` further lists that are nearly as close, where it is only found;
     so a query reads one list, and the lists overlap at their borders. A list is scored by
     distance tables over product-quantised residuals and the best ``depth`` are reranked
-    exactly. Lists expected to hold over ``shard_rows`` vectors are searched in shards by
-    separate tasks whose results are merged, so no task holds more than a shard of members
-    and one of queries. Of a vector's copies in a list only the ``k + 1`` smallest ids are
-    scored, so that copies cannot fill the ``depth`` candidates.
+    exactly. The number of lists grows with that of the vectors, so a list, which is one task's
+    group, stays at about ``list_rows`` of its own and as many as twice that of its neighbours'.
+    Vectors travel to their lists whole, since the exact rerank needs them there: a list's
+    members are few, while fetching ``depth`` candidates for each query would move many times
+    the table. Of a vector's copies in a list only the ``k + 1`` smallest ids are scored, so
+    that copies cannot fill the ``depth`` candidates.
 
     A vector with more copies than a thousandth of all rows is indexed by the ``k + 1``
     smallest ids of its copies, which are all that can be among anyone's first ``k``; the other
     copies take the answer of the last of those, which is theirs too. There are fewer than a
-    thousand such vectors, so their hashes may reach the driver; else only the bounded sample
-    does.
+    thousand such vectors, so their hashes may reach the driver; else only centroids do.
 
     A null model or revision counts as an empty name. An empty table gives no rows; repeated
     rows count once; columns other than the named ones are ignored.
@@ -300,7 +363,7 @@ def nearest_neighbours(
     for r in many:
         filing[r["_space"], r["_width"]] -= r["n"] - (k + 1)
     books = fit_codebooks(
-        fitted, sizes, filing, most_copies=most_copies, kept_copies=k + 1, list_rows=list_rows, most_lists=most_lists, sample_rows=sample_rows, parts=parts, shard_rows=shard_rows, seed=seed
+        fitted, sizes, filing, most_copies=most_copies, kept_copies=k + 1, list_rows=list_rows, most_lists=most_lists, sample_rows=sample_rows, parts=parts, seed=seed
     )
     shared = spark.sparkContext.broadcast(books)
     given, others = one, None
@@ -313,14 +376,8 @@ def nearest_neighbours(
         others = copies.join(few.select("_look", "chunk_id"), ["_look", "chunk_id"], "left_anti").select(*keys, "_look")
         last = few.groupBy("_look").agg(F.max("chunk_id").alias("_last"))
         given = one.withColumn("_look", look).where(~F.col("_look").isin(hot)).unionByName(copies.join(few.select("_look", "chunk_id"), ["_look", "chunk_id"], "left_semi")).drop("_look")
-    filed = given.withColumn("_salt", F.xxhash64("chunk_id")).mapInArrow(
-        _file(shared, spread, slack),
-        "embedding_model string, embedding_revision string, chunk_id string, vector array<float>, _list int, _base int, _query int, _role int",
-    )
-    found = filed.groupBy(*keys[:2], "_list", "_base", "_query", F.size("vector").alias("_width")).applyInArrow(_search(shared, k, depth, least), answer)
-    if any((b.shards > 1).any() for b in books.values()):
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("similarity"), "neighbour_id"))
-        found = found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+    filed = given.mapInArrow(_file(shared, spread, slack), "embedding_model string, embedding_revision string, chunk_id string, vector array<float>, _list int, _role int")
+    found = filed.groupBy(*keys[:2], "_list", F.size("vector").alias("_width")).applyInArrow(_search(shared, k, depth, least), answer)
     if others is not None:
         theirs = found.join(last, found["chunk_id"] == last["_last"]).select("_look", *keys[:2], "neighbour_id", "similarity")
         found = found.unionByName(others.join(theirs, ["_look", *keys[:2]]).select(*found.columns))
