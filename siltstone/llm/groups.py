@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from siltstone.runtime import settle
 
 
-def connected(links: DataFrame, a: str, b: str, *, most_rounds: int = 50) -> DataFrame:
+def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, group_id) of every node of the undirected ``links``; the group's id is its smallest node.
 
     Each round takes the smallest label among neighbours, then the label of that label, so
@@ -18,7 +18,7 @@ def connected(links: DataFrame, a: str, b: str, *, most_rounds: int = 50) -> Dat
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     edges = settle(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = settle(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:  # labels only get smaller, so it ends
         seen = edges.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("_near"))
         lower = labels.join(seen, "u").select("u", "label", F.least("label", "_near").alias("_low"))
         target = labels.select(F.col("u").alias("_low"), F.col("label").alias("_jump"))
@@ -27,4 +27,3 @@ def connected(links: DataFrame, a: str, b: str, *, most_rounds: int = 50) -> Dat
         labels = stepped.drop("_moved")
         if not moved:
             return labels.select(F.col("u").alias("node"), F.col("label").alias("group_id"))
-    raise RuntimeError(f"groups did not settle in {most_rounds} rounds")

@@ -1,12 +1,16 @@
 """Near-duplicate records with small edits, by anchor-point covering (problem 6).
 
-A record's fingerprint is a word of min-hash symbols over the integers modulo 2^32, cut
-into blocks of ``span`` symbols. The anchors of a block are the code words of the single
-parity-check code of that length: all words whose symbols add up to 0. Its covering radius
-is 1, since replacing any one symbol gives a code word, so each block lies within radius 1
-of exactly ``span`` anchors, and it is sent to all of them. Two blocks that differ in at
-most one symbol are within the covering radius of a common anchor and meet there; records
-that meet in any block are compared on a 64-bit sketch there, survivors on a wider one and then exactly.
+A record's fingerprint is a word of min-hash symbols over the integers modulo 2^32, cut into
+blocks of ``span`` symbols. The anchors of a block are the code words of the single
+parity-check code of that length: all words whose symbols add up to 0. It is a maximum
+distance separable code of covering radius 1, since replacing any one symbol gives a code
+word, and each word lies within the radius of exactly ``span`` anchors. A block is replicated
+to all of them. The threshold of a block is one symbol: of two blocks that differ in at most
+one, replacing that symbol gives a code word within the radius of both, so they meet. (With so
+many values a symbol, replicating within radius plus threshold would mean 2^32 anchors; that
+the radius is enough for a threshold as large as the radius is what the code is chosen for.)
+Records that meet in any block are compared on a 96-bit sketch there, survivors on a wider
+one and then exactly.
 """
 
 from __future__ import annotations
@@ -146,6 +150,30 @@ def enough(threshold: float, bits: int, span: int, deviations: float) -> int:
     return int(np.floor(span - 1 + free * p - deviations * np.sqrt(free * p * (1 - p))))
 
 
+def _meeting(rows: DataFrame, key: str, item: str, alike: Column, cell_rows: int, detect: int = 16, most_broadcast: int = 1_000_000) -> DataFrame:
+    """Pairs a, b of rows of different ``item`` with the same ``key`` for which ``alike`` holds, each once, in either order.
+
+    Keys with over ``cell_rows`` rows are found on the items of one in ``detect`` hashes (a key
+    just above may be missed, which costs time alone). Their rows are dealt to parts of about
+    that size, and each two parts, or a part with itself, meet in a cell: a task's share of a
+    hot key is ``cell_rows`` squared, however many rows it has, and a row is copied once a part.
+    """
+    some = rows.where(F.pmod(F.xxhash64(F.lit(detect), item), F.lit(detect)) == 0)
+    size = F.count("*") * detect
+    hot = settle(some.groupBy(key).agg(size.alias("_size")).where(F.col("_size") > cell_rows).select(key, F.ceil(F.col("_size") / cell_rows).cast("int").alias("_parts")), "hot")
+    many = hot.count()  # at most rows / cell_rows
+    if not many:
+        a, b = rows.alias("a"), rows.alias("b")
+        return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{item}") < F.col(f"b.{item}")) & alike)
+    parts = rows.join(F.broadcast(hot) if many <= most_broadcast else hot, key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = parts.withColumn("_part", F.pmod(F.xxhash64(item), F.col("_parts")).cast("int"))
+    a = dealt.withColumn("_i", F.col("_part")).withColumn("_j", F.explode(F.sequence("_part", F.col("_parts") - 1))).alias("a")
+    b = dealt.withColumn("_i", F.explode(F.sequence(F.lit(0), "_part"))).withColumn("_j", F.col("_part")).alias("b")
+    # within a part both orders meet, between two parts only one
+    once = (F.col(f"a.{item}") < F.col(f"b.{item}")) | ((F.col("a._i") < F.col("a._j")) & (F.col(f"a.{item}") != F.col(f"b.{item}")))
+    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j")) & once & alike)
+
+
 def near_duplicates(
     records: DataFrame,
     *,
@@ -156,6 +184,7 @@ def near_duplicates(
     threshold: float = 0.8,
     blocks: int = 7,
     span: int = 4,
+    cell_rows: int = 4096,
     seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of records whose sets of ``width`` words have a Jaccard similarity of ``threshold``.
@@ -168,7 +197,9 @@ def near_duplicates(
     A pair at the threshold of 0.6 meets at an anchor with probability 0.989 with 7 blocks of
     4 (0.65: 0.997; 0.7: over 0.999) and passes the sketches with 0.995 (0.999; 1); both grow
     with the similarity. ``blocks`` and ``span`` trade that against the replication,
-    blocks x span anchors a record. No bucket is capped and no partner is dropped.
+    blocks x span anchors a record. No bucket is capped and no partner is dropped: an anchor
+    with over ``cell_rows`` fingerprints, as that of a template with many variants, is split
+    into parts of that size, and every two parts are compared by a task of their own.
 
     Null texts and texts of fewer than ``width`` words have no fingerprint and take no part.
     Repeated rows give repeated members, ties do not arise, an empty table gives empty
@@ -186,21 +217,20 @@ def near_duplicates(
     signed = settle(narrow.mapInArrow(_signatures(width, SYMBOLS, seed), f"{kinds}, _sketch long, _more int, _symbols array<int>"), "fingerprints")
     members = signed.select(id_col, *keep, "class_id")
 
-    # fingerprints, not records, are replicated: equal ones merge where they meet
-    sent = signed.select("_sketch", "_more", F.explode(_anchors(F.col("_symbols"), blocks, span)).alias("_anchor")).repartition("_anchor").distinct()
-    a, b = sent.alias("a"), sent.alias("b")
+    # fingerprints, not records, are replicated: copies and texts with equal ones go once
+    prints = signed.groupBy("_sketch", "_more").agg(F.first("_symbols").alias("_symbols"))
+    sent = prints.select("_sketch", "_more", F.explode(_anchors(F.col("_symbols"), blocks, span)).alias("_anchor"))
     alike = agreement(F.col("a._sketch"), F.col("a._more"), F.col("b._sketch"), F.col("b._more")) >= coarse
-    met = a.join(b, (F.col("a._anchor") == F.col("b._anchor")) & (F.col("a._sketch") < F.col("b._sketch")) & alike)
-    met = met.select(F.col("a._sketch").alias("_sa"), F.col("b._sketch").alias("_sb")).repartition("_sa").distinct()
+    met = _meeting(sent, "_anchor", "_sketch", alike, cell_rows)
+    met = met.select(F.least("a._sketch", "b._sketch").alias("_sa"), F.greatest("a._sketch", "b._sketch").alias("_sb")).distinct()
+    one = F.min_by(F.struct("_sketch", "_row", wide_sketch(F.col("_symbols")).alias("_wide")), "_row")
+    classes = settle(signed.groupBy("class_id").agg(one.alias("_c")).select("class_id", "_c.*"), "classes")
     # classes behind the fingerprints; those with the same first planes meet without an anchor
-    one = F.min_by(F.struct("_sketch", "_row", "_symbols"), "_row")
-    classes = signed.groupBy("class_id").agg(one.alias("_c")).select("class_id", "_c._sketch", "_c._row", wide_sketch(F.col("_c._symbols")).alias("_wide"))
-    classes = settle(classes, "classes")
-    at_a = classes.select(F.col("_sketch").alias("_sa"), F.col("class_id").alias("_ca"), F.col("_wide").alias("_wa"))
-    at_b = classes.select(F.col("_sketch").alias("_sb"), F.col("class_id").alias("_cb"), F.col("_wide").alias("_wb"))
-    close = wide_agreement(F.col("_wa"), F.col("_wb")) >= fine
-    same = at_a.join(at_b, (F.col("_sa") == F.col("_sb")) & (F.col("_ca") < F.col("_cb")) & close).select("_ca", "_cb")
-    pairs = met.join(at_a, "_sa").join(at_b, "_sb").where(close).select("_ca", "_cb").unionByName(same)
+    behind = classes.select("_sketch", "class_id", "_wide")
+    close = wide_agreement(F.col("a._wide"), F.col("b._wide")) >= fine
+    same = _meeting(behind, "_sketch", "class_id", close, cell_rows).select(F.col("a.class_id").alias("_ca"), F.col("b.class_id").alias("_cb"))
+    across = met.join(behind.alias("a"), F.col("_sa") == F.col("a._sketch")).join(behind.alias("b"), F.col("_sb") == F.col("b._sketch")).where(close)
+    pairs = across.select(F.col("a.class_id").alias("_ca"), F.col("b.class_id").alias("_cb")).unionByName(same)
     pairs = settle(pairs.select(F.least("_ca", "_cb").alias("class_a"), F.greatest("_ca", "_cb").alias("class_b")), "met")
     involved = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
     chosen = classes.select("class_id", "_row").join(involved, "class_id", "left_semi")
@@ -211,7 +241,7 @@ def near_duplicates(
         .select("class_a", "class_b", _word_hashes(F.col("_text_a")).alias("_words_a"), _word_hashes(F.col("_text_b")).alias("_words_b"))
     )
     links = both.mapInArrow(_similarities(width), "class_a long, class_b long, similarity double").where(F.col("similarity") >= threshold)
-    return members, links
+    return members, settle(links, "links")
 
 
 def duplicate_pairs(members: DataFrame, links: DataFrame, *, id_col: str, apart: str) -> DataFrame:
