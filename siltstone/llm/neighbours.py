@@ -311,7 +311,7 @@ def nearest_neighbours(
     least: float = -1.0,
     list_rows: int = 256,
     most_lists: int = 262144,
-    sample_rows: int = 65536,
+    sample_rows: int = 16384,
     spread: int = 4,
     slack: float = 0.3,
     depth: int = 96,
