@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from siltstone.functions.text import strip
 from siltstone.runtime import settle
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Where the vocabulary file is, on every machine, unless the session's setting of this name tells otherwise.
+SETTING, VOCABULARY = "spark.siltstone.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-splitting pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -46,13 +47,14 @@ def source_name(source: Column) -> Column:
 def mix_rates(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     """How often each source of each mix is used: (mix_name, source, share, docs, tokens, max_repeats, budget, rate).
 
-    ``sizes`` has source, docs, tokens for all sources. A mix's budget is its budget_ratio of
+    ``sizes`` has source, docs, tokens for all sources. Repeated rows of ``targets`` count once;
+    the weights of different rows of a source are added up. A mix's budget is its budget_ratio of
     all tokens, and a source's share of it over the source's tokens is its rate, at most
     ``max_repeats``. What an exhausted source lacks is not given to others, which would put
     them above their targets; the mix is then smaller than its budget.
     """
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("_all"))
-    t = targets.where(F.col("mix_name").isNotNull() & F.col("source").isNotNull())
+    t = targets.where(F.col("mix_name").isNotNull() & F.col("source").isNotNull()).select("mix_name", "source", "target_weight", "max_repeats", "budget_ratio").distinct()
     t = t.groupBy("mix_name", source_name(F.col("source")).alias("source")).agg(
         F.sum(F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0))).alias("weight"),
         F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"),
@@ -68,8 +70,10 @@ def mix_rates(targets: DataFrame, sizes: DataFrame) -> DataFrame:
     return t.select("mix_name", "source", "share", "docs", "tokens", "max_repeats", "budget", "rate")
 
 
-def counted_documents(documents: DataFrame, *, vocabulary: str = VOCABULARY, pattern: str = PATTERN, name: str = "tokens") -> DataFrame:
-    """(doc_id, source, tokens) of every document, counted once and written down."""
+def counted_documents(documents: DataFrame, *, vocabulary: str | None = None, pattern: str = PATTERN, name: str = "tokens") -> DataFrame:
+    """(doc_id, source, tokens) of every document, counted once and written down. The vocabulary
+    is the given file, or the one that the session's ``spark.siltstone.vocabulary`` names."""
+    vocabulary = vocabulary or documents.sparkSession.conf.get(SETTING, VOCABULARY)
     rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), F.coalesce(token_count(F.col("text"), vocabulary, pattern), F.lit(0)).alias("tokens"))
     return settle(rows, name)
 

@@ -66,6 +66,13 @@ def p5_pieces(spark: SparkSession, at: str) -> DataFrame:
     return splitting.oversized_pieces(table(spark, at, "rag_chunks"), table(spark, at, "extracted_docs"))
 
 
+def p5_rebuilt(spark: SparkSession, at: str) -> DataFrame:
+    """Every oversized unit put together from its pieces, as a digest, and whether they keep the limits."""
+    units = splitting.rebuilt_units(p5_pieces(spark, at))
+    kept = (F.col("longest") <= splitting.LIMIT) & (F.col("most_overlap") <= splitting.OVERLAP) & (F.col("pieces") > 1)
+    return units.select("item_kind", "item_id", "item_no", "unit_no", F.md5(F.encode("text", "UTF-8")).alias("digest"), kept.alias("kept")).distinct()
+
+
 def _similar(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
     chunks, documents = _chunks(spark, at)
     members, links = near_duplicates.near_duplicates(chunks, id_col="chunk_id", text_col="chunk_text", keep=["doc_id", "document_version"], width=3, threshold=0.6)
@@ -120,7 +127,7 @@ def p9_found(spark: SparkSession, at: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean_chunks, p1_templates, p3_found, p3_main_bodies, p3_page_texts, p4_found, p4_neighbours, p5_found, p5_pieces,
+        p1_found, p1_clean_chunks, p1_templates, p3_found, p3_main_bodies, p3_page_texts, p4_found, p4_neighbours, p5_found, p5_pieces, p5_rebuilt,
         p6_found, p6_groups, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_levels,
     )
 }
@@ -143,14 +150,14 @@ _TEMPLATES = (
     + r""", tok AS (SELECT coalesce('=' || f.category, '') AS source, doc_id, chunk_id, line_no, string_split(form, ' ') AS t, len(string_split(form, ' ')) AS n, s.least
             FROM fit f JOIN (SELECT category, greatest(4, ceil(round(0.08 * all_docs, 6))) AS least FROM sizes) s ON f.category IS NOT DISTINCT FROM s.category),
 levels AS (SELECT source, n, list(k) AS kept FROM (
-             SELECT source, n, k FROM (SELECT source, n, least, doc_id, unnest(list_transform(range(1, least(n, 4) + 1), lambda i: i || ' ' || t[i])) AS k FROM tok)
-             GROUP BY source, n, k, least HAVING count(DISTINCT doc_id) >= least) GROUP BY ALL),
+             SELECT source, n, k FROM (SELECT source, n, least, unnest(list_transform(range(1, least(n, 4) + 1), lambda i: i || ' ' || t[i])) AS k FROM tok)
+             GROUP BY source, n, k, least HAVING count(*) >= least) GROUP BY ALL),
 pathed AS (SELECT *, list_filter(path, lambda x: x <> '<*>') AS named FROM (
              SELECT tok.*, list_transform(range(1, least(n, 4) + 1), lambda i: CASE WHEN list_contains(kept, i || ' ' || t[i]) THEN t[i] ELSE '<*>' END) AS path FROM tok JOIN levels USING (source, n))),
 inside AS (SELECT * FROM pathed WHERE 2 * len(named) >= len(path)),
 leaves AS (SELECT source, n, path, list(k) AS kept FROM (
-             SELECT source, n, path, k FROM (SELECT source, n, path, least, doc_id, unnest(list_transform(range(5, n + 1), lambda i: i || ' ' || t[i])) AS k FROM inside)
-             GROUP BY source, n, path, k, least HAVING count(DISTINCT doc_id) >= least) GROUP BY ALL),
+             SELECT source, n, path, k FROM (SELECT source, n, path, least, unnest(list_transform(range(5, n + 1), lambda i: i || ' ' || t[i])) AS k FROM inside)
+             GROUP BY source, n, path, k, least HAVING count(*) >= least) GROUP BY ALL),
 whole AS (SELECT i.*, path || list_transform(range(5, n + 1), lambda i: CASE WHEN list_contains(coalesce(kept, []), i || ' ' || t[i]) THEN t[i] ELSE '<*>' END) AS shape
           FROM inside i LEFT JOIN leaves USING (source, n, path)),
 shaped AS (SELECT DISTINCT source, doc_id, chunk_id, line_no, least, array_to_string(shape, ' ') AS template, len(list_filter(shape, lambda x: x = '<*>')) AS slots FROM whole
@@ -180,6 +187,13 @@ ORACLES: dict[str, str] = {
     WHERE (n.type IN ('paragraph', 'code') AND length(n.text) > 1600)
        OR (n.type = 'list' AND len(list_filter(n.items, lambda x: length(x) > 1600)) > 0)
        OR (n.type = 'table' AND length(array_to_string(list_transform(n.rows, lambda r: array_to_string(list_transform(r, lambda x: coalesce(x, '')), ' | ')), chr(10))) > 1600)""",
+    "p5_rebuilt": """
+    WITH n AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS item_no, n FROM (SELECT doc_id, unnest(range(1, len(nodes) + 1)) AS i, unnest(nodes) AS n FROM extracted_docs)),
+    u AS (SELECT 'chunk' AS item_kind, chunk_id AS item_id, CAST(0 AS INTEGER) AS item_no, CAST(0 AS INTEGER) AS unit_no, chunk_text AS t FROM rag_chunks
+          UNION ALL SELECT 'node', doc_id, item_no, 0, n.text FROM n WHERE n.type IN ('paragraph', 'code')
+          UNION ALL SELECT 'node', doc_id, item_no, CAST(k - 1 AS INTEGER), x FROM (SELECT doc_id, item_no, unnest(range(1, len(n.items) + 1)) AS k, unnest(n.items) AS x FROM n WHERE n.type = 'list')
+          UNION ALL SELECT 'node', doc_id, item_no, 0, array_to_string(list_transform(n.rows, lambda r: array_to_string(list_transform(r, lambda x: coalesce(x, '')), ' | ')), chr(10)) FROM n WHERE n.type = 'table')
+    SELECT DISTINCT item_kind, item_id, item_no, unit_no, md5(t) AS digest, TRUE AS kept FROM u WHERE length(t) > 1600""",
     "p7_leaks": rf"""
     WITH d AS (SELECT doc_id, {_WORDS.format("replace(replace(text, chr(8203), ''), chr(173), '')")} AS w FROM documents),
     e AS (SELECT item_id, {_WORDS.format("replace(replace(passage, chr(8203), ''), chr(173), '')")} AS w FROM eval_items),

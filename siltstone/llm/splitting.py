@@ -90,3 +90,13 @@ def oversized_pieces(chunks: DataFrame, extracted: DataFrame, *, limit: int = LI
     """
     units = oversized_units(chunks, extracted, limit).dropDuplicates(["item_kind", "item_id", "item_no", "unit_no", "heading_path", "text"])
     return units.select("item_kind", "item_id", "item_no", "unit_no", "heading_path", F.inline(split_pieces(F.col("text"), limit, overlap)))
+
+
+def rebuilt_units(pieces: DataFrame) -> DataFrame:
+    """(item_kind, item_id, item_no, unit_no, pieces, longest, most_overlap, text): the units put together again
+    from their pieces, each without what it repeats. A unit's pieces are no more than the unit."""
+    unit = ["item_kind", "item_id", "item_no", "unit_no"]
+    own = F.expr("substring(piece, overlap + 1)")
+    each = F.array_sort(F.collect_list(F.struct("start", own.alias("own"))))
+    sizes = [F.count("*").alias("pieces"), F.max(F.length("piece")).alias("longest"), F.max("overlap").alias("most_overlap")]
+    return pieces.groupBy(*unit, "heading_path").agg(*sizes, F.array_join(each["own"], "").alias("text")).drop("heading_path")
