@@ -37,15 +37,15 @@ def line_forms(text: Column) -> Column:
 
 
 def _shared_tokens(lines: DataFrame, place: list[str], tokens: Column, sizes: DataFrame) -> DataFrame:
-    """(place, _kept): for each position of ``tokens``, the tokens that enough documents of the source have there.
+    """(place, _kept): for each position of ``tokens``, the tokens that enough lines of the source have there.
 
-    Documents are counted once a token, with partial sums; tokens are compared by hash. All
-    lines of a place have the same number of tokens, so ``_kept`` has an entry a position.
+    Lines are counted by token with partial sums, tokens compared by hash; a line of a chunk
+    row that is given n times counts 1 / n each time. All lines of a place have the same number
+    of tokens, so ``_kept`` has an entry a position.
     """
     hashed = F.transform(tokens, lambda t, i: F.struct(i.alias("_i"), F.xxhash64(t).alias("_t")))
-    seen = lines.select(*place, "doc_id", F.inline(hashed)).distinct()
-    counts = seen.groupBy(*place, "_i", "_t").agg(F.count("*").alias("_docs")).join(sizes, "_source")
-    shared = counts.groupBy(*place, "_i").agg(F.collect_set(F.when(F.col("_docs") >= F.col("_least"), F.col("_t"))).alias("_ts"))
+    counts = lines.select(*place, "_part", F.inline(hashed)).groupBy(*place, "_i", "_t").agg(F.sum("_part").alias("_lines")).join(sizes, "_source")
+    shared = counts.groupBy(*place, "_i").agg(F.collect_set(F.when(F.round("_lines", 6) >= F.col("_least"), F.col("_t"))).alias("_ts"))
     return shared.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("_i", "_ts")))["_ts"].alias("_kept"))
 
 
@@ -71,49 +71,55 @@ def templates(
     depth: int = 4,
     least_constant: float = 0.5,
 ) -> DataFrame:
-    """(_id, doc_id, _source, line_no, template, slots): lines whose template covers many documents of their source.
+    """(_id, _doc, _source, line_no, template, slots): lines whose template covers many documents of their source.
 
     ``documents`` has doc_id, document_version and the source; chunks of other versions and
     unknown documents are not current and take no part, neither as lines nor as documents.
     Lines with fewer than three runs of letters take no part. A template covers enough
     documents with at least ``least_docs`` and ``least_share`` of the source's documents that
-    have current chunks (``enough_docs``, if given, are enough whatever the share). The same
-    number decides which tokens stay at each level of the tree, so a line that is repeated
-    word by word in so many documents keeps all its tokens: its template is the line itself,
-    with 0 ``slots``, and the documents it covers are exactly those that have the line. At
+    have current chunks (``enough_docs``, if given, are enough whatever the share). A token
+    stays in the tree if as many lines have it in its place, so a line that is repeated word
+    by word in enough documents keeps all its tokens: its template is the line itself, with 0
+    ``slots``, and the documents it covers are exactly those that have the line. At
     least ``least_constant`` of a template's tokens, in the path and as a whole, must be no
     slots, else unlike lines would share it.
 
     Each level prunes the next: of lines whose path is mostly slots no tokens are counted.
-    ``_source`` is "=" and the source, or empty for null, which is a source of its own.
+    ``_source`` is "=" and the source, or empty for null, which is a source of its own, and
+    ``_doc`` a hash of the document.
     """
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    keys = documents.select("doc_id", "document_version", source.alias("_source")).distinct()
-    current = chunks.select("doc_id", "document_version").distinct().join(keys, ["doc_id", "document_version"])
+    version = F.when(F.col("doc_id").isNotNull() & F.col("document_version").isNotNull(), F.xxhash64("doc_id", "document_version")).alias("_version")
+    # what lines are joined with is written down, so that its size is known when Spark chooses the join
+    keys = settle(documents.select(version, source.alias("_source")).where(F.col("_version").isNotNull()).distinct(), "keys")
+    current = chunks.select(version, "doc_id").distinct().join(keys, "_version")
     share = F.ceil(F.round(F.lit(least_share) * F.count_distinct("doc_id"), 6))
     least = F.greatest(F.lit(least_docs), share if enough_docs is None else F.least(share, F.lit(enough_docs)))
-    sizes = current.groupBy("_source").agg(least.alias("_least"))
+    sizes = settle(current.groupBy("_source").agg(least.alias("_least")), "sizes")
 
     each = F.transform(line_forms(F.col(text_col)), lambda form, i: F.struct(i.alias("line_no"), form.alias("form")))
     parsed = F.filter(each, lambda x: x["form"].rlike(_THREE_RUNS))
-    rows = chunks.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), "doc_id", "document_version", parsed.alias("_lines"))
-    lines = settle(rows.join(keys, ["doc_id", "document_version"]).select("_id", "doc_id", "_source", F.inline("_lines")), "lines")
+    row = F.xxhash64(F.col(id_col), "doc_id", "document_version", F.col(text_col)).alias("_row")
+    again = settle(chunks.select(row).groupBy("_row").agg(F.count("*").alias("_times")).where(F.col("_times") > 1), "again")
+    rows = chunks.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64("doc_id").alias("_doc"), version, row, parsed.alias("_lines"))
+    part = F.coalesce(1 / F.col("_times"), F.lit(1.0)).alias("_part")
+    lines = settle(rows.join(keys, "_version").join(again, "_row", "left").select("_id", "_doc", "_source", part, F.inline("_lines")), "lines")
 
     tokens = F.split("form", " ")
-    lines = lines.select("_id", "doc_id", "_source", "line_no", tokens.alias("_tokens")).withColumn("_n", F.size("_tokens"))
+    lines = lines.select("_id", "_doc", "_source", "_part", "line_no", tokens.alias("_tokens")).withColumn("_n", F.size("_tokens"))
     head, rest = F.slice("_tokens", 1, depth), F.slice("_tokens", depth + 1, F.greatest(F.col("_n") - depth, F.lit(0)))
-    levels = _shared_tokens(lines, ["_source", "_n"], head, sizes)
+    levels = settle(_shared_tokens(lines, ["_source", "_n"], head, sizes), "levels")
     # half of the first tokens are the least that a path must share
     pathed = lines.join(levels, ["_source", "_n"]).withColumn("_path", _with_slots(head)).drop("_kept")
     pathed = pathed.where(_constants(F.col("_path")) >= least_constant * F.size("_path")).withColumn("_leaf", F.xxhash64("_n", "_path"))
-    leaves = _shared_tokens(pathed.where(F.col("_n") > depth), ["_source", "_leaf"], rest, sizes)
-    whole = pathed.join(leaves, ["_source", "_leaf"], "left").select("_id", "doc_id", "_source", "line_no", "_n", F.concat("_path", _with_slots(rest)).alias("_template"))
+    leaves = settle(_shared_tokens(pathed.where(F.col("_n") > depth), ["_source", "_leaf"], rest, sizes), "leaves")
+    whole = pathed.join(leaves, ["_source", "_leaf"], "left").select("_id", "_doc", "_source", "line_no", "_n", F.concat("_path", _with_slots(rest)).alias("_template"))
     whole = whole.withColumn("slots", F.col("_n") - _constants(F.col("_template"))).where(F.col("_n") - F.col("slots") >= least_constant * F.col("_n"))
-    parsed_lines = settle(whole.select("_id", "doc_id", "_source", "line_no", F.array_join("_template", " ").alias("template"), "slots"), "templates")
+    parsed_lines = settle(whole.select("_id", "_doc", "_source", "line_no", F.array_join("_template", " ").alias("template"), "slots"), "templates")
 
     place = ["_source", "template", "slots"]
-    covered = parsed_lines.select(*place, "doc_id").distinct().groupBy(*place).agg(F.count("*").alias("_docs")).join(sizes, "_source").where(F.col("_docs") >= F.col("_least"))
-    return parsed_lines.join(covered, place, "left_semi")
+    covered = parsed_lines.select(*place, "_doc").distinct().groupBy(*place).agg(F.count("*").alias("_docs")).join(sizes, "_source").where(F.col("_docs") >= F.col("_least"))
+    return parsed_lines.join(settle(covered.select(*place), "covered"), place, "left_semi")
 
 
 def repeated_lines(chunks: DataFrame, documents: DataFrame, *, id_col: str = "chunk_id", wildcards: bool = True, **options) -> DataFrame:
@@ -160,7 +166,7 @@ def line_templates(chunks: DataFrame, documents: DataFrame, **options) -> DataFr
     ``lines`` counts chunk lines, repeated rows of a chunk once; ``docs`` the documents covered.
     """
     found = templates(chunks, documents, **options).distinct()
-    one = found.groupBy("_source", "template", "slots", "doc_id").agg(F.count("*").alias("_lines"))
+    one = found.groupBy("_source", "template", "slots", "_doc").agg(F.count("*").alias("_lines"))
     shown = one.groupBy("_source", "template", "slots").agg(F.sum("_lines").alias("lines"), F.count("*").alias("docs"))
     source = F.when(F.col("_source") != "", F.substring("_source", 2, 1 << 30)).alias("source")
     return shown.select(source, "template", "slots", "lines", "docs")
