@@ -233,7 +233,7 @@ def near_duplicates(
     pairs = across.select(F.col("a.class_id").alias("_ca"), F.col("b.class_id").alias("_cb")).unionByName(same)
     pairs = settle(pairs.select(F.least("_ca", "_cb").alias("class_a"), F.greatest("_ca", "_cb").alias("class_b")), "met")
     involved = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
-    chosen = classes.select("class_id", "_row").join(involved, "class_id", "left_semi")
+    chosen = settle(classes.select("class_id", "_row").join(involved, "class_id", "left_semi"), "chosen")  # two longs a class, so that texts may stay where they are
     texts = chosen.join(base.select("_row", "_text"), "_row").select("class_id", "_text").dropDuplicates(["class_id"])
     both = (
         pairs.join(texts.select(F.col("class_id").alias("class_a"), F.col("_text").alias("_text_a")), "class_a")
