@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Fixed value: a bracket of labels.
@@ -31,17 +28,19 @@ def grounding(answer: Column, best_score: Column, results: Column, threshold: fl
 
 def renumbered(answer: Column, results: Column) -> Column:
     """The answer with its valid labels numbered without gaps, in the results' order; unknown ones stay."""
+    cited = cited_labels(answer)
+    known = F.transform(F.sequence(F.lit(1), F.greatest(results, F.lit(1))), lambda i: F.concat(F.lit("S"), i.cast("string")))
+    kept = F.when(results > 0, F.array_intersect(known, cited)).otherwise(F.array().cast("array<string>"))
 
-    @F.pandas_udf("string")
-    def rewrite(texts: pd.Series, counts: pd.Series) -> pd.Series:
-        def one(text, count):
-            if text is None:
-                return None
-            used = {x for m in re.finditer(CITATION, text) for x in re.findall(r"S\d+", m[1])}
-            kept = [f"S{i}" for i in range(1, int(count) + 1) if f"S{i}" in used]
-            new = {old: f"S{i}" for i, old in enumerate(kept, 1)}
-            return re.sub(CITATION, lambda m: "[" + ", ".join(new.get(x, x) for x in re.findall(r"S\d+", m[1])) + "]", text)
+    def new(label: Column, used: Column) -> Column:
+        at = F.array_position(used, label)
+        return F.when(at > 0, F.concat(F.lit("S"), at.cast("string"))).otherwise(label)
 
-        return pd.Series([one(t, c) for t, c in zip(texts, counts)], dtype="object")
+    def piece(text: Column, used: Column) -> Column:
+        labels = F.regexp_extract_all(text, F.lit(r"S\d+"), F.lit(0))
+        return F.when(text.rlike(f"^{CITATION}$"), F.concat(F.lit("["), F.array_join(F.transform(labels, lambda x: new(x, used)), ", "), F.lit("]"))).otherwise(text)
 
-    return rewrite(answer, results)
+    # brackets of labels, and everything between them
+    pieces = F.regexp_extract_all(answer, F.lit(rf"(?s){CITATION}|[^\[]+|\["), F.lit(0))
+    bound = F.transform(F.array(kept), lambda used: F.array_join(F.transform(pieces, lambda t: piece(t, used)), ""))
+    return F.get(bound, F.lit(0))

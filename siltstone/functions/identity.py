@@ -21,6 +21,17 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, _URL, 3)
 
 
+def url_host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, _URL, 2))
+
+
+def path_category(url: Column, rules: list[tuple[str, str, str]], otherwise: str | Column) -> Column:
+    """The category of a page by its path: the first of ``rules`` (``under`` or ``at``, path,
+    category) that fits, where ``under`` is a prefix and ``at`` the whole path."""
+    path, other = url_path(canonical_url(url)), otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
+    return F.coalesce(*[F.when(path.startswith(p) if kind == "under" else path == p, F.lit(category)) for kind, p, category in rules], other)
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, no slashes at the path's end, no tracking parameters, the
     others sorted by name and value, no fragment. Parameters keep the encoding they came in."""

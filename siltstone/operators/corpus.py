@@ -14,6 +14,15 @@ def current_chunks(chunks: DataFrame, documents: DataFrame, statuses: tuple[str,
     return chunks.join(keys, VERSION, "left_semi").distinct()
 
 
+def ordered_chunks(chunks: DataFrame, documents: DataFrame, statuses: tuple[str, ...] = CURRENT) -> DataFrame:
+    """Current chunks in the order of document, version and position, as an index is built from
+    them; that there are none is an error."""
+    found = current_chunks(chunks, documents, statuses)
+    if not found.limit(1).count():
+        raise ValueError("no chunk is current")
+    return found.orderBy(*VERSION, "position", "chunk_id")
+
+
 def missing_embeddings(chunks: DataFrame, vectors: DataFrame, model: str, revision: str) -> DataFrame:
     """Chunks without a cached vector of this model and revision."""
     cached = vectors.where((F.col("embedding_model") == model) & (F.col("embedding_revision") == revision)).select("chunk_id")
@@ -90,6 +99,40 @@ def delete_where_in(target: DataFrame, gone: DataFrame, keys: list[str]) -> Data
     return target.join(gone.select(*keys), keys, "left_anti")
 
 
+def latest_rows(rows: DataFrame, keys: list[str], at: str, columns: list[str]) -> DataFrame:
+    """``keys`` and ``columns`` of the last row of each key by ``at``; a null ``at`` is oldest, ties go to the larger values."""
+    return rows.groupBy(*keys).agg(F.max(F.struct(at, *columns)).alias("_m")).select(*keys, f"_m.{at}", *[f"_m.{c}" for c in columns])
+
+
+def save_vectors(cache: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The cache after vectors were saved: those of the same chunk, model and revision make way
+    for the incoming ones, of which the latest counts. Saving the same rows again changes nothing."""
+    keys = ["chunk_id", "embedding_model", "embedding_revision"]
+    return upsert(cache, latest_rows(incoming, keys, "created_at", ["embedding_dimension", "vector"]), keys)
+
+
+def materialised(documents: DataFrame) -> DataFrame:
+    """All rows; those whose snapshot was pending have what is indexed set to what is stored,
+    and are ok and published. Doing it again changes nothing."""
+    pending = F.coalesce(F.col("status") == "pending_snapshot", F.lit(False))
+    new = {
+        "indexed_content_hash": F.col("source_content_hash"), "indexed_source_last_updated": F.col("source_last_updated"),
+        "status": F.lit("ok"), "last_run_action": F.lit("published"),
+    }
+    return documents.withColumns({c: F.when(pending, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
+def without_removed(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks but for those of documents that were removed."""
+    return delete_where_in(chunks, documents.where(F.col("status") == "removed"), ["doc_id"])
+
+
+def delete_documents(gone: DataFrame, documents: DataFrame, chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks, vectors) that are left without the documents of ``gone`` (doc_id), their chunks and those chunks' vectors."""
+    pieces = chunks.join(gone.select("doc_id"), "doc_id", "left_semi")
+    return delete_where_in(documents, gone, ["doc_id"]), delete_where_in(chunks, gone, ["doc_id"]), delete_where_in(vectors, pieces, ["chunk_id"])
+
+
 def superseded(chunks: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, pruned): chunks of other versions than the document's present one are pruned; chunks of unknown documents stay."""
     known = documents.select("doc_id", F.col("document_version").alias("_v")).distinct()
@@ -109,19 +152,20 @@ def delete_category(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.select("category", "documents", "chunks", (F.col("_d") - F.col("documents")).alias("documents_left"), (F.col("_c") - F.col("chunks")).alias("chunks_left"))
 
 
-def in_path_family(pages: DataFrame, roots: DataFrame, path: Column) -> DataFrame:
-    """Pages under the path prefixes of roots (root_id, prefix), one row a page and root.
+def in_path_family(pages: DataFrame, roots: DataFrame, path: Column, host: Column) -> DataFrame:
+    """Pages of the host and under the path prefixes of roots (root_id, host, prefix), one row a page and root.
 
-    A page is in if its path is the prefix without a slash at its end, or begins with the
-    prefix. Pages are joined by equality on their leading characters, cut at the lengths
-    that prefixes have, so no nested loop over roots is needed.
+    A page is in if its host is the root's and its path is the prefix without a slash at its
+    end, or begins with the prefix. Pages are joined by equality on their host and leading
+    characters, cut at the lengths that prefixes have, so no nested loop over roots is needed.
     """
     lengths = sorted({r["n"] for r in roots.select(F.length("prefix").alias("n")).distinct().collect()})  # few: a length each
     if not lengths:
-        return pages.join(roots, F.lit(False)).select(*pages.columns, *[c for c in roots.columns if c not in pages.columns])
+        return pages.join(roots.drop("host", "prefix"), F.lit(False))
     heads = F.array_distinct(F.concat(F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n)), F.array(F.concat(path, F.lit("/")))))
-    exploded = pages.withColumn("prefix", F.explode(heads))
-    return exploded.join(roots, "prefix").drop("prefix").distinct()
+    exploded = pages.withColumns({"_host": host, "_prefix": F.explode(heads)})
+    named = roots.withColumnsRenamed({"host": "_host", "prefix": "_prefix"})
+    return exploded.join(named, ["_host", "_prefix"]).drop("_host", "_prefix").distinct()
 
 
 def first_seen(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -133,7 +177,8 @@ def first_seen(rows: DataFrame, key: list[str], order: list[Column]) -> DataFram
 def merge_sources(discovered: DataFrame, curated: DataFrame) -> DataFrame:
     """(doc_id, url, category, scope): of several roots the last (by ``root_order``) wins; a curated row
     replaces it, with the scopes of both, sorted and joined by ``|``."""
-    latest = discovered.groupBy("doc_id").agg(F.max_by(F.struct("url", "category", "scope"), "root_order").alias("_d")).select("doc_id", "_d")
+    last = F.max(F.struct("root_order", "url", "category", "scope"))  # ties go to the larger values
+    latest = discovered.groupBy("doc_id").agg(last.alias("_m")).select("doc_id", F.struct("_m.url", "_m.category", "_m.scope").alias("_d"))
     both = latest.join(curated.select("doc_id", F.struct("url", "category", "scope").alias("_c")), "doc_id", "full_outer")
     scopes = F.array_sort(F.array_union(F.coalesce(F.split("_d.scope", r"\|"), F.array()), F.coalesce(F.split("_c.scope", r"\|"), F.array())))
     chosen = F.coalesce("_c", "_d")

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siltstone.operators.corpus import missing_embeddings
+from siltstone.runtime import settle
 
 Provider = Callable[[list[str]], "list[list[float]] | np.ndarray"]
 COLUMNS = "chunk_id string, embedding_model string, embedding_revision string, embedding_dimension int, vector array<float>"
@@ -64,17 +65,18 @@ def embedded(chunks: DataFrame, provider: Provider, *, model: str, revision: str
 
 
 def embed_missing(cache, chunks: DataFrame, provider: Provider, *, model: str, revision: str, slices: int = 16, **options) -> int:
-    """Embed the chunks that a ``VersionedTable`` of vectors lacks; returns how many there were.
+    """Embed the chunks that a ``Buckets`` table of vectors lacks; returns how many there were.
 
-    Done in ``slices`` of the ids' hashes, each appended when it is finished, so that a run
-    that was stopped goes on from the last slice.
+    What is lacking is found once and written down in ``slices`` of the ids' hashes; each is
+    appended when it is finished, so that a run that was stopped goes on where it was.
     """
-    spark, done = chunks.sparkSession, 0
-    for i in range(slices):
-        have = cache.read() if cache.manifest() else spark.createDataFrame([], COLUMNS)
-        lacking = missing_embeddings(chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(slices)) == i), have, model, revision).select("chunk_id", "chunk_text")
-        n = lacking.where(F.col("chunk_id").isNotNull()).select("chunk_id").distinct().count()
-        if n:
-            cache.append(embedded(lacking, provider, model=model, revision=revision, **options).withColumn("created_at", F.current_timestamp()))
+    spark = chunks.sparkSession
+    have = cache.read(spark) if cache.exists(spark) else spark.createDataFrame([], COLUMNS)
+    rows = chunks.where(F.col("chunk_id").isNotNull()).select("chunk_id", "chunk_text").dropDuplicates(["chunk_id"])
+    lacking = missing_embeddings(rows, have, model, revision).withColumn("_slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int"))
+    lacking, done = settle(lacking, "lacking", ["_slice"]), 0
+    for i, n in sorted((r["_slice"], r["count"]) for r in lacking.groupBy("_slice").count().collect()):
+        some = lacking.where(F.col("_slice") == i).drop("_slice")
+        cache.append(embedded(some, provider, model=model, revision=revision, **options).withColumn("created_at", F.current_timestamp()))
         done += n
     return done

@@ -20,6 +20,34 @@ def evidence_cards(results: DataFrame, chunks: DataFrame, *, most: int = 520) ->
     return results.select("query_id", label, "rank", "chunk_id", F.round("score", 4).alias("score")).join(shown, "chunk_id")
 
 
+def opened_cards(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, label, chunk_id, title, url, heading, text): the results opened, with their whole text."""
+    shown = chunks.select(
+        "chunk_id", F.col("source_title").alias("title"), F.col("source_url").alias("url"), F.concat_ws(" > ", "heading_path").alias("heading"), F.col("chunk_text").alias("text")
+    ).distinct()
+    found = results.select("query_id", F.concat(F.lit("S"), F.col("rank").cast("string")).alias("label"), "chunk_id")
+    return shown.join(found, "chunk_id").select("query_id", "label", "chunk_id", "title", "url", "heading", "text")
+
+
+def prompts(questions: DataFrame, results: DataFrame, chunks: DataFrame, supports: DataFrame, *, instructions: str) -> DataFrame:
+    """(query_id, prompt): the instructions, what each source may be used for, the question, and the excerpts by rank.
+
+    ``questions``: query_id, question; ``supports``: query_id, chunk_id, supports (array of
+    points), for some of the results. A question without results has no excerpts.
+    """
+    cards = opened_cards(results, chunks).join(results.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"]).join(supports, ["query_id", "chunk_id"], "left")
+    source = F.concat(F.lit("["), F.col("label"), F.lit("] "))
+    excerpt = F.concat(source, F.coalesce("title", F.lit("")), F.lit("\nURL: "), F.coalesce("url", F.lit("")), F.lit("\nExcerpt: "), F.coalesce("text", F.lit("")))
+    scope = F.when(F.size("supports") >= 0, F.concat(source, F.lit("may be used only for: "), F.array_join("supports", "; ")))
+    each = F.array_sort(F.collect_list(F.struct("rank", scope.alias("scope"), excerpt.alias("excerpt"))))  # the few results of a question
+    shown = cards.groupBy("query_id").agg(each.alias("_e"))
+    scopes = F.filter(F.col("_e.scope"), lambda x: x.isNotNull())
+    rules = F.when(F.size(scopes) > 0, F.concat(F.lit("\n\nScope of the sources:\n"), F.array_join(scopes, "\n"))).otherwise("")
+    excerpts = F.coalesce(F.array_join(F.col("_e.excerpt"), "\n\n"), F.lit(""))
+    joined = questions.select("query_id", "question").join(shown, "query_id", "left")
+    return joined.select("query_id", F.concat(F.lit(instructions), rules, F.lit("\n\nQuestion: "), F.coalesce("question", F.lit("")), F.lit("\n\nExcerpts:\n"), excerpts).alias("prompt"))
+
+
 def first_found(results: DataFrame) -> DataFrame:
     """(session_id, chunk_id, search_no, rank): where a session's searches first brought up each chunk."""
     first = F.min(F.struct("search_no", "rank")).alias("_f")

@@ -40,3 +40,19 @@ def last_turns(turns: DataFrame, *, key: str, order: list[str], text: str, limit
 def owned(rows: DataFrame, owner: str, *, owner_col: str = "owner_user_id") -> DataFrame:
     """Only the owner's active rows; every read of the history goes through it."""
     return rows.where((F.col(owner_col) == owner) & (F.col("status") == "active"))
+
+
+def owned_turns(requests: DataFrame, turns: DataFrame, conversations: DataFrame) -> DataFrame:
+    """(owner_user_id, the columns of ``turns``): for each request (owner_user_id, conversation_id),
+    the turns of the conversation if it is active and the owner's own; else nothing."""
+    own = conversations.where(F.col("status") == "active").select("owner_user_id", "conversation_id").distinct()
+    granted = requests.select("owner_user_id", "conversation_id").distinct().join(own, ["owner_user_id", "conversation_id"], "left_semi")
+    return granted.join(turns, "conversation_id")
+
+
+def newest_conversations(conversations: DataFrame) -> DataFrame:
+    """(owner_user_id, place, conversation_id, updated_at): each owner's active conversations,
+    the last updated first; ties go to the smaller id."""
+    w = W.partitionBy("owner_user_id").orderBy(F.desc("updated_at"), "conversation_id")
+    active = conversations.where(F.col("status") == "active")
+    return active.select("owner_user_id", F.row_number().over(w).alias("place"), "conversation_id", "updated_at")

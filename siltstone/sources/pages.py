@@ -86,3 +86,50 @@ def checked_roots(selected: DataFrame, roots: DataFrame) -> DataFrame:
     if wrong:
         raise ValueError("roots out of bounds: " + ", ".join(f"{r['root_id']} has {r['pages']} pages" for r in wrong))
     return counts.drop("_most")
+
+
+def linked_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, url): the pages that the anchors of pages (doc_id, url, html) lead to, each once, in canonical form.
+
+    Addresses are resolved against the page's own; fragments, mail addresses, scripts and the
+    like lead nowhere. ``corpus.in_path_family`` keeps those that belong to a root.
+    """
+    anchors = F.regexp_extract_all("html", F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"'<>]*)["']"""), F.lit(1))
+    each = pages.select("doc_id", F.col("url").alias("_base"), F.explode(anchors).alias("_href")).withColumn("_href", F.trim(F.regexp_replace("_href", "&amp;", "&")))
+    scheme, origin = F.regexp_extract("_base", "^([^:/?#]+:)", 1), F.regexp_extract("_base", "^([^:/?#]+://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.regexp_replace("_base", "[?#].*$", ""), "(?<![:/])/[^/]*$", "/")
+    href = F.col("_href")
+    url = (
+        F.when(href.rlike("(?i)^https?://"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(origin, href))
+        .when(~href.rlike("^(?:#|$|[A-Za-z][A-Za-z0-9+.-]*:)"), F.concat(folder, F.regexp_replace(href, r"^(?:\./)+", "")))
+    )
+    return each.select("doc_id", canonical_url(url).alias("url")).where(F.col("url").isNotNull()).distinct()
+
+
+def checked_list(entries: DataFrame, categories: set[str]) -> DataFrame:
+    """(doc_id, slug, url, canonical_url, category, reason, problem) of a curated list (url, category, reason).
+
+    ``problem`` is the first of: url (not http or https), category (unknown), reason (none),
+    duplicate (another entry has the same canonical page); null for a good entry.
+    """
+    from pyspark.sql import Window as W
+
+    canonical = canonical_url(F.col("url"))
+    named = entries.select("url", canonical.alias("canonical_url"), "category", "reason").withColumn("doc_id", doc_id(F.col("canonical_url")))
+    fits = F.lower(F.regexp_extract("url", "^([^:/?#]+):", 1)).isin("http", "https")
+    problem = (
+        F.when(~F.coalesce(fits, F.lit(False)), "url")
+        .when(~F.coalesce(F.col("category").isin(*sorted(categories)), F.lit(False)), "category")
+        .when(F.coalesce(F.length("reason"), F.lit(0)) == 0, "reason")
+        .when(F.count("*").over(W.partitionBy("doc_id")) > 1, "duplicate")
+    )
+    return named.select("doc_id", slug(F.col("canonical_url")).alias("slug"), "url", "canonical_url", "category", "reason", problem.alias("problem"))
+
+
+def curated_list(entries: DataFrame, categories: set[str]) -> DataFrame:
+    """The pages of a curated list without ``problem``; a list with one is an error that names a few."""
+    checked = checked_list(entries, categories)
+    wrong = checked.where(F.col("problem").isNotNull()).select("url", "problem").orderBy("url").limit(5).collect()
+    if wrong:
+        raise ValueError("the list is not valid: " + ", ".join(f"{r['url']!r}: {r['problem']}" for r in wrong))
+    return checked.drop("problem")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siltstone.plans.tables import VersionedTable
+from siltstone.plans.tables import Buckets
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:
@@ -14,14 +14,20 @@ def latest_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.max(F.struct("fetched_at", *[c for c in columns if c != "fetched_at"])).alias("_m")).select("doc_id", *[F.col(f"_m.{c}").alias(c) for c in columns])
 
 
-def keep_current(spark: SparkSession, source: str, schema, table: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Stream Parquet drops of fetched pages into a table of the latest page of each document.
+def keep_current(spark: SparkSession, source: str, schema, table: Buckets, checkpoint: str) -> StreamingQuery:
+    """Stream Parquet drops of fetched pages into a table bucketed by doc_id, from which ``current_pages`` reads.
 
-    A batch is merged by key and fetch time, so a batch that is run again after a failure gives
-    the same table, and a page that arrives late never replaces a newer one.
+    A batch only appends the latest page of each of its documents, so its cost is that of its
+    own rows. A batch that is run again appends the same rows again, which changes nothing for
+    readers; ``table.compact(spark, ["fetched_at"])`` drops what is superseded, when it suits.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        table.publish(latest_pages(table.read().unionByName(batch) if table.manifest() else batch))
+        table.append(latest_pages(batch))
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_pages(spark: SparkSession, table: Buckets) -> DataFrame:
+    """The latest page of each document; late and repeated ones never replace a newer one."""
+    return latest_pages(table.read(spark))

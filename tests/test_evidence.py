@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.identity import hash_embedding
 from siltstone.operators import corpus, embedding, evidence
-from siltstone.plans.tables import VersionedTable
+from siltstone.plans.tables import Buckets
 
 FOUND = "session_id string, search_no int, rank int, chunk_id string"
 
@@ -52,14 +52,25 @@ def test_provider_answers():
 
 
 def test_embedding_goes_on_where_it_stopped(spark, tmp_path):
-    cache = VersionedTable(spark, str(tmp_path / "v"))
+    cache = Buckets(str(tmp_path / "v"), ("chunk_id",), 4)
     chunks = spark.createDataFrame([(f"c{i}", f"text {i}") for i in range(12)], "chunk_id string, chunk_text string")
     run = lambda rows, **more: embedding.embed_missing(cache, rows, embedding.digest_vectors, **({"model": "m", "revision": "r", "slices": 2} | more))
     assert run(chunks.where("chunk_id < 'c5'")) == 7
-    first = cache.manifest()["parts"]
+    first = {str(f) for f in (tmp_path / "v").rglob("*.parquet")}
     assert run(chunks) == 5 and run(chunks) == 0 and run(chunks.limit(1), revision="s") == 1
-    assert cache.manifest()["parts"][: len(first)] == first  # appends rewrite nothing
-    assert cache.read().groupBy("embedding_revision").count().orderBy("embedding_revision").collect() == [("r", 12), ("s", 1)]
+    assert first < {str(f) for f in (tmp_path / "v").rglob("*.parquet")}  # appends rewrite nothing
+    assert cache.read(spark).groupBy("embedding_revision").count().orderBy("embedding_revision").collect() == [("r", 12), ("s", 1)]
+
+
+def test_opened_cards_and_prompts(spark):
+    found = spark.createDataFrame([(1, 2, "a", 0.5), (1, 1, "b", 0.6)], "query_id int, rank int, chunk_id string, score double")
+    chunks = spark.createDataFrame([("a", "T", "u", ["H"], "x" * 900), ("b", None, "v", None, "y"), ("b", None, "v", None, "y")], "chunk_id string, source_title string, source_url string, heading_path array<string>, chunk_text string")
+    assert {(r.label, r.chunk_id, r.heading, len(r.text)) for r in evidence.opened_cards(found, chunks).collect()} == {("S2", "a", "H", 900), ("S1", "b", "", 1)}
+    asked = spark.createDataFrame([(1, "why?"), (2, "how?")], "query_id int, question string")
+    supports = spark.createDataFrame([(1, "a", ["p", "q"])], "query_id int, chunk_id string, supports array<string>")
+    got = {r.query_id: r.prompt for r in evidence.prompts(asked, found, chunks, supports, instructions="Cite.").collect()}
+    assert got[1] == "Cite.\n\nScope of the sources:\n[S2] may be used only for: p; q\n\nQuestion: why?\n\nExcerpts:\n[S1] \nURL: v\nExcerpt: y\n\n[S2] T\nURL: u\nExcerpt: " + "x" * 900
+    assert got[2] == "Cite.\n\nQuestion: how?\n\nExcerpts:\n"
 
 
 def test_scan_and_checkpoints(spark):

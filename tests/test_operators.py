@@ -8,9 +8,9 @@ from siltstone.functions import identity as ids
 from siltstone.functions.citations import cited_labels, grounding, renumbered
 from siltstone.operators import chunking, corpus, extract, history, search
 from siltstone.plans.refresh import change_counts, plan_refresh
-from siltstone.plans.tables import VersionedTable, publish_snapshot
+from siltstone.plans.tables import Buckets, active_snapshot, publish_snapshot
 from siltstone.sources import pages as sources
-from siltstone.streaming.pages import keep_current
+from siltstone.streaming.pages import current_pages, keep_current
 
 PAGE = """<html><head><title>x</title><script>var a='<p>no</p>'</script></head><body><nav><a href=/>Home</a></nav><article><div class="theme-doc-markdown">
 <h1>The​ title</h1><p>One <b>two</b> , three.<p>Next&nbsp;one<p></p>loose<img src=x>
@@ -90,22 +90,83 @@ def test_neighbours_and_reading_order(spark):
     assert [r.chunk_id for r in corpus.read_in_order(asked, c).orderBy("ord").collect()] == ["c2", "c0", "c2"]
 
 
+def test_chunks_in_order(spark):
+    chunks = spark.createDataFrame([("b", "d", "v", 1), ("a", "d", "v", 0), ("a", "d", "v", 0), ("x", "d", "old", 0), ("c", "a", "v", 5)], "chunk_id string, doc_id string, document_version string, position int")
+    documents = spark.createDataFrame([("d", "v", "ok"), ("a", "v", "pending_snapshot"), ("e", "v", "removed")], "doc_id string, document_version string, status string")
+    assert [r.chunk_id for r in corpus.ordered_chunks(chunks, documents).collect()] == ["c", "a", "b"]
+    with pytest.raises(ValueError):
+        corpus.ordered_chunks(chunks, documents.where("status = 'removed'"))
+
+
 def test_sources_merge_and_path_families(spark):
     found = spark.createDataFrame([("1", "u1", "a", "r1", 0), ("1", "u1", "b", "r2", 1), ("2", "u2", "a", "r1", 0)], "doc_id string, url string, category string, scope string, root_order int")
     curated = spark.createDataFrame([("1", "u1c", "c", "supplemental"), ("3", "u3", "c", "supplemental")], "doc_id string, url string, category string, scope string")
     got = {r.doc_id: tuple(r)[1:] for r in corpus.merge_sources(found, curated).collect()}
     assert got == {"1": ("u1c", "c", "r2|supplemental"), "2": ("u2", "a", "r1"), "3": ("u3", "c", "supplemental")}
-    pages = spark.createDataFrame([("/a/x",), ("/a",), ("/ab",), ("/b-more/x",), ("/c",)], "path string")
-    roots = spark.createDataFrame([("/a/", "r"), ("/b", "s")], "prefix string, root_id string")
-    assert {(r.path, r.root_id) for r in corpus.in_path_family(pages, roots, F.col("path")).collect()} == {("/a/x", "r"), ("/a", "r"), ("/b-more/x", "s")}
+    pages = spark.createDataFrame([("h", p) for p in ("/a/x", "/a", "/ab", "/b-more/x", "/c")] + [("other", "/a/x")], "host string, path string")
+    roots = spark.createDataFrame([("h", "/a/", "r"), ("h", "/b", "s")], "host string, prefix string, root_id string")
+    assert {(r.host, r.path, r.root_id) for r in corpus.in_path_family(pages, roots, F.col("path"), F.col("host")).collect()} == {("h", "/a/x", "r"), ("h", "/a", "r"), ("h", "/b-more/x", "s")}
+    assert corpus.in_path_family(pages, roots.limit(0), F.col("path"), F.col("host")).count() == 0
 
 
 def test_refresh_plan(spark):
-    old = spark.createDataFrame([("same", "h:v1", "h", "d"), ("hash", "h:v1", "h", "d"), ("cut", "h:v0", "h", "d"), ("date", "h:v1", "h", "d"), ("gone", "h:v1", "h", None), ("bad", "h:v1", "h", None)], "doc_id string, document_version string, indexed_content_hash string, indexed_source_last_updated string")
-    new = spark.createDataFrame([("same", "h", "d"), ("hash", "h2", "d"), ("cut", "h", None), ("date", "h", "d2"), ("bad", None, None), ("new", "n", None)], "doc_id string, source_content_hash string, source_last_updated string")
-    got = {r.doc_id: r.change for r in plan_refresh(old, new, "v1").collect()}
-    assert got == {"same": "unchanged", "hash": "changed", "cut": "changed", "date": "dated", "gone": "missing", "bad": "failed", "new": "added"}
-    assert change_counts(plan_refresh(old, new, "v1")).first().asDict() == {"added": 1, "changed": 2, "dated": 1, "unchanged": 1, "failed": 1, "missing": 1}
+    kinds = "doc_id string, document_version string, indexed_content_hash string, indexed_source_last_updated string, chunked_content_hash string, chunked_source_last_updated string, chunked_document_version string"
+    no = (None, None, None)
+    rows = [("same", "h:v1", "h", "d", *no), ("hash", "h:v1", "h", "d", *no), ("cut", "h:v0", "h", "d", *no), ("date", "h:v1", "h", "d", *no), ("gone", "h:v1", "h", None, *no), ("bad", "h:v1", "h", None, *no), ("done", "h:v1", "h", "d", "h2", "d", "h2:v1")]
+    old = spark.createDataFrame(rows, kinds)
+    new = spark.createDataFrame([("same", "h", "d"), ("hash", "h2", "d"), ("cut", "h", None), ("date", "h", "d2"), ("bad", None, None), ("new", "n", None), ("done", "h2", "d")], "doc_id string, source_content_hash string, source_last_updated string")
+    got = {r.doc_id: r for r in plan_refresh(old, new, "v1").collect()}
+    assert {k: r.change for k, r in got.items()} == {"same": "unchanged", "hash": "changed", "cut": "changed", "date": "dated", "gone": "missing", "bad": "failed", "new": "added", "done": "changed"}
+    assert {k for k, r in got.items() if r.needs_chunks} == {"hash", "cut", "new"} and {k for k, r in got.items() if r.needs_snapshot} == {"hash", "cut", "new", "date", "done"}
+    assert change_counts(plan_refresh(old, new, "v1")).first().asDict() == {"added": 1, "changed": 3, "dated": 1, "unchanged": 1, "failed": 1, "missing": 1, "pending": 5, "to_chunk": 3}
+
+
+def test_marking_and_deleting(spark):
+    documents = spark.createDataFrame([("a", "pending_snapshot", "h", "t", None, None, "new"), ("b", "removed", "h", "t", "g", None, "x"), ("c", None, "h", "t", None, None, None)], "doc_id string, status string, source_content_hash string, source_last_updated string, indexed_content_hash string, indexed_source_last_updated string, last_run_action string")
+    got = {r.doc_id: tuple(r)[1:] for r in corpus.materialised(documents).collect()}
+    assert got == {"a": ("ok", "h", "t", "h", "t", "published"), "b": ("removed", "h", "t", "g", None, "x"), "c": (None, "h", "t", None, None, None)}
+    chunks = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "gone"), ("4", None)], "chunk_id string, doc_id string")
+    assert {r.chunk_id for r in corpus.without_removed(chunks, documents).collect()} == {"1", "3", "4"}
+    vectors = spark.createDataFrame([("1", "m", "r", None, 1, [1.0]), ("2", "m", "r", None, 1, [2.0])], "chunk_id string, embedding_model string, embedding_revision string, created_at timestamp, embedding_dimension int, vector array<float>")
+    left = corpus.delete_documents(documents.where("doc_id = 'b'"), documents, chunks, vectors)
+    assert [d.count() for d in left] == [2, 3, 1]
+    day = [datetime(2025, 1, d) for d in (1, 2)]
+    more = spark.createDataFrame([("2", "m", "r", day[0], 1, [7.0]), ("2", "m", "r", day[1], 1, [8.0]), ("5", "m", "r", None, 1, [9.0])], vectors.schema)
+    saved = corpus.save_vectors(vectors, more)
+    assert {r.chunk_id: r.vector for r in saved.collect()} == {"1": [1.0], "2": [8.0], "5": [9.0]} and {tuple(r) for r in corpus.save_vectors(saved, more).select("chunk_id", "created_at").collect()} == {tuple(r) for r in saved.select("chunk_id", "created_at").collect()}
+
+
+def test_owners_and_lists(spark):
+    conversations = spark.createDataFrame([("o", "c1", "active", 1), ("o", "c2", "active", 2), ("o", "c3", "closed", 3), ("p", "c4", "active", 1)], "owner_user_id string, conversation_id string, status string, updated_at int")
+    turns = spark.createDataFrame([(c, i) for c in ("c1", "c3", "c4") for i in (1, 2)], "conversation_id string, turn_number int")
+    asked = spark.createDataFrame([("o", "c1"), ("o", "c1"), ("o", "c3"), ("o", "c4"), ("p", "c4")], "owner_user_id string, conversation_id string")
+    assert {(r.owner_user_id, r.conversation_id, r.turn_number) for r in history.owned_turns(asked, turns, conversations).collect()} == {("o", "c1", 1), ("o", "c1", 2), ("p", "c4", 1), ("p", "c4", 2)}
+    assert [(r.owner_user_id, r.place, r.conversation_id) for r in history.newest_conversations(conversations).orderBy("owner_user_id", "place").collect()] == [("o", 1, "c2"), ("o", 2, "c1"), ("p", 1, "c4")]
+    entries = spark.createDataFrame([("https://h/a", "c", "r"), ("https://h/a/?ref=x", "c", "r"), ("ftp://h/b", "c", "r"), (None, "c", "r"), ("https://h/c", "z", "r"), ("https://h/d", "c", ""), ("https://h/e", "c", "r")], "url string, category string, reason string")
+    assert {r.url: r.problem for r in sources.checked_list(entries, {"c"}).collect()} == {"https://h/a": "duplicate", "https://h/a/?ref=x": "duplicate", "ftp://h/b": "url", None: "url", "https://h/c": "category", "https://h/d": "reason", "https://h/e": None}
+    with pytest.raises(ValueError, match="duplicate|url"):
+        sources.curated_list(entries, {"c"})
+    assert sources.curated_list(entries.where("url = 'https://h/e'"), {"c"}).count() == 1
+    rules = [("at", "/x/y", "one"), ("under", "/x", "family")]
+    assert column(spark, lambda v: ids.path_category(v, rules, "rest"), "https://h/x/y", "https://h/x/y/z", "https://h/q", None) == ["one", "family", "rest", "rest"]
+
+
+def test_deep_and_broken_pages(spark):
+    deep = "<article><h1>T</h1>" + "<div>" * 5000 + "<p>in it</p>" + "</div>" * 5000 + "</article>"
+    wide = "<article><h1>T</h1>" + "<p>one" * 20000 + "</article>"
+    pages = [("deep", deep), ("wide", wide), ("cut", "<article><h1>T</h1><ul><li>a<li>b <b>c</ul>x<table><tr><td>1<table><tr><td>2</table></table>"), ("odd", "<article><h1>T</h1></p></ul><![x[<p &#xFFFFFFFF; <" + "<b" * 1000)]
+    got = {r.doc_id: r for r in extract.extract_pages(spark.createDataFrame(pages, "doc_id string, html string")).collect()}
+    assert set(got) == {"deep", "wide", "cut", "odd"} and [n.text for n in got["deep"].nodes] == ["T", "in it"] and len(got["wide"].nodes) == 20001
+    assert got["cut"].nodes[1]["items"] == ["a", "b c"] and got["cut"].nodes[2].rows == [["1 2", "2"], ["2"]]
+    fetched = spark.createDataFrame([("a", "https://h/a/", "https://h/a", 200, "<p>", None, "ok"), ("b", "https://h/b/", None, 404, None, None, "not_found"), ("c", "https://h/c", "https://h/c", 200, "", None, "ok"), ("d", None, None, None, None, "down", None)], "doc_id string, requested_url string, resolved_url string, http_status int, html string, error_message string, outcome string")
+    assert {r.doc_id: (r.canonical_url, r.status) for r in extract.document_shells(fetched).collect()} == {"b": ("https://h/b", "removed"), "c": ("https://h/c", "fetch_failed"), "d": (None, "fetch_failed")}
+
+
+def test_search_within_pages(spark):
+    corpus_rows = spark.createDataFrame([("a", "u", "t", "apple pie", [1.0, 0.0]), ("b", "u", "t", "pie of apple", [0.0, 1.0]), ("c", "w", "t", "apple pie", [5.0, 5.0]), ("d", None, "t", "apple", [1.0, 1.0])], "chunk_id string, source_url string, source_title string, chunk_text string, vector array<double>")
+    asked = spark.createDataFrame([(1, "apple pie", [1.0, 0.5], "u"), (2, "of the", [0.0, 1.0], "w"), (3, "x", [1.0, 1.0], "nowhere")], "query_id int, question string, vector array<double>, source_url string")
+    got = [(r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in search.search_within(corpus_rows, asked).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, "a", 1.0), (1, 2, "b", round(0.65 * 0.5 + 0.35 * 0.75, 9)), (2, 1, "c", 3.25)]
 
 
 def test_fingerprint_follows_content_not_order(spark):
@@ -116,32 +177,40 @@ def test_fingerprint_follows_content_not_order(spark):
     assert make([("x", "v", None, "removed")]).documents == 0
 
 
-def test_versioned_table(spark, tmp_path):
-    t = VersionedTable(spark, str(tmp_path / "t"))
-    with pytest.raises(LookupError):
-        t.read()
-    t.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), ["k"])
-    t.upsert(spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string"), ["k"])
-    assert sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "B"), (3, "c")]
+def test_bucketed_table(spark, tmp_path):
+    t = Buckets(str(tmp_path / "t"), ("k",), 3)
+    assert not t.exists(spark)
+    t.upsert(spark.createDataFrame([(i, "a") for i in range(20)], "k int, v string"))
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    t.upsert(spark.createDataFrame([(2, "B"), (30, "c")], "k int, v string"))
+    kept = [f for f in files if f.exists()]
+    assert {(r.k, r.v) for r in t.read(spark).collect()} == {(i, "a") for i in range(20) if i != 2} | {(2, "B"), (30, "c")}
+    assert 0 < len(kept) < len(files)  # a bucket that is not touched keeps its file
     with pytest.raises(ValueError):
-        t.upsert(spark.createDataFrame([(2, "x"), (2, "y")], "k int, v string"), ["k"])
-    t.delete_where_in(spark.createDataFrame([(1,)], "k int"), ["k"])
-    assert t.evolve({"V": "string", "n": "long"}) == ["n"] and t.evolve({"n": "long"}) == []
-    t.append(spark.createDataFrame([(9, "z")], "k int, v string"))
-    assert sorted((r.k, r.n) for r in t.read().collect()) == [(2, None), (3, None), (9, None)]
+        t.upsert(spark.createDataFrame([(2, "x"), (2, "y")], "k int, v string"))
+    t.delete_where_in(spark.createDataFrame([(i, 0) for i in range(25)], "k int, other int"))
+    assert [(r.k, r.v) for r in t.read(spark).collect()] == [(30, "c")]
+    t.append(spark.createDataFrame([(9, "z", 5)], "k int, v string, n long"))
+    t.append(spark.createDataFrame([(9, "z", 6)], "k int, v string, n long"))
+    assert sorted((r.k, r.n) for r in t.read(spark).collect()) == [(9, 5), (9, 6), (30, None)]
+    t.compact(spark, ["n"])
+    assert sorted((r.k, r.v, r.n) for r in t.read(spark).collect()) == [(9, "z", 6), (30, "c", None)]
 
 
 def test_snapshot_publication(spark, tmp_path):
-    t = VersionedTable(spark, str(tmp_path / "s"))
+    root = str(tmp_path / "s")
     chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, chunk_text string")
     at = datetime(2025, 1, 1)
     vectors = spark.createDataFrame([("a", "m", "r", [3.0, 4.0], at), ("b", "m", "r", [0.0, 0.0], at)], "chunk_id string, embedding_model string, embedding_revision string, vector array<float>, created_at timestamp")
-    first = publish_snapshot(t, chunks, vectors, model="m", revision="r", dimension=2)
-    assert publish_snapshot(t, chunks, vectors, model="m", revision="r", dimension=2) == first
-    assert {r.chunk_id: r.vector for r in t.read().collect()} == {"a": [0.6, 0.8], "b": [0.0, 0.0]}
+    assert active_snapshot(spark, root) is None
+    first = publish_snapshot(root, chunks, vectors, model="m", revision="r", dimension=2)
+    assert publish_snapshot(root, chunks, vectors, model="m", revision="r", dimension=2) == first
+    assert {r.chunk_id: r.vector for r in spark.read.parquet(first.snapshot).collect()} == {"a": [0.6, 0.8], "b": [0.0, 0.0]}
     with pytest.raises(ValueError):
-        publish_snapshot(t, chunks.union(spark.createDataFrame([("c", "z")], chunks.schema)), vectors, model="m", revision="r", dimension=2)
-    assert t.manifest() == first
+        publish_snapshot(root, chunks.union(spark.createDataFrame([("c", "z")], chunks.schema)), vectors, model="m", revision="r", dimension=2)
+    assert active_snapshot(spark, root) == first
+    second = publish_snapshot(root, chunks.where("chunk_id = 'a'"), vectors, model="m", revision="r", dimension=2)
+    assert second.snapshot != first.snapshot and active_snapshot(spark, root) == second and spark.read.parquet(first.snapshot).count() == 2
 
 
 def test_turns(spark):
@@ -243,14 +312,25 @@ def test_sitemap_and_roots(spark, tmp_path):
             sources.checked_roots(wrong, roots)
 
 
+def test_linked_pages(spark):
+    html = """<a href="/aws/en/x/?utm_source=n">x</a><A class=k HREF='https://Other.example/y#part'>y</a><a href="z.html">z</a><a href="#top">t</a><a href="mailto:a@b">m</a><a href="//h.example/w"></a><a href="/aws/en/x">again</a><a name=q>"""
+    pages = spark.createDataFrame([("p", "https://h.example/aws/en/index?q=1", html), ("n", "https://h.example/", None)], "doc_id string, url string, html string")
+    assert {r.url for r in sources.linked_pages(pages).collect()} == {"https://h.example/aws/en/x", "https://other.example/y", "https://h.example/aws/en/z.html", "https://h.example/w"}
+
+
 def test_streamed_pages_keep_the_latest(spark, tmp_path):
     schema = "doc_id string, fetched_at timestamp, html string"
     day = [datetime(2025, 1, d) for d in (1, 2, 3)]
-    t = VersionedTable(spark, str(tmp_path / "pages"))
+    t = Buckets(str(tmp_path / "pages"), ("doc_id",), 2)
     drop = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     run = lambda: keep_current(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, t, str(tmp_path / "cp")).awaitTermination()
     drop([("a", day[1], "new"), ("b", day[0], "b")])
     run()
+    files = set((tmp_path / "pages").rglob("*.parquet"))
     drop([("a", day[0], "late"), ("b", day[2], "newer"), ("b", day[2], "newer")])
     run()
-    assert {r.doc_id: r.html for r in t.read().collect()} == {"a": "new", "b": "newer"}
+    assert files < set((tmp_path / "pages").rglob("*.parquet"))  # a batch rewrites nothing
+    want = {"a": "new", "b": "newer"}
+    assert {r.doc_id: r.html for r in current_pages(spark, t).collect()} == want and t.read(spark).count() == 4
+    t.compact(spark, ["fetched_at"])
+    assert {r.doc_id: r.html for r in t.read(spark).collect()} == want and t.read(spark).count() == 2

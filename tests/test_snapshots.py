@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators.snapshots import snapshot_changes
@@ -7,6 +8,14 @@ from siltstone.operators.snapshots import snapshot_changes
 SCHEMA = "snapshot_no int, doc_id string, status string, source_content_hash string, source_last_updated string, retrieved_at timestamp, _key string, change string"
 
 
+@pytest.fixture(autouse=True)
+def compiled(spark):
+    """As in production, the code of whole stages is generated."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
 
