@@ -55,12 +55,15 @@ def first_found(results: DataFrame) -> DataFrame:
 
 
 def source_labels(results: DataFrame) -> DataFrame:
-    """(session_id, chunk_id, label): chunks numbered S1, S2 and so on in the order a session first found them.
+    """(session_id, chunk_id, label, score): chunks numbered S1, S2 and so on in the order a session first found them.
 
-    ``results``: session_id, search_no, rank, chunk_id. A chunk found again keeps its label.
+    ``results``: session_id, search_no, rank, chunk_id, score. A chunk found again keeps its
+    label and takes the score of the last search that found it.
     """
-    w = W.partitionBy("session_id").orderBy("search_no", "rank", "chunk_id")
-    return first_found(results).select("session_id", "chunk_id", F.concat(F.lit("S"), F.row_number().over(w).cast("string")).alias("label"))
+    first, last = F.min(F.struct("search_no", "rank")).alias("_f"), F.max(F.struct("search_no", "score")).alias("_l")
+    w = W.partitionBy("session_id").orderBy("_f.search_no", "_f.rank", "chunk_id")
+    found = results.groupBy("session_id", "chunk_id").agg(first, last)
+    return found.select("session_id", "chunk_id", F.concat(F.lit("S"), F.row_number().over(w).cast("string")).alias("label"), F.col("_l.score").alias("score"))
 
 
 def novelty(results: DataFrame, *, least: int = 2) -> DataFrame:

@@ -29,11 +29,12 @@ def numbered_turns(new: DataFrame, existing: DataFrame, *, key: str, order: list
     return numbered(new, key=key, order=order).join(last, key, "left").withColumn("turn_number", (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("int")).drop("_last", "_n")
 
 
-def last_turns(turns: DataFrame, *, key: str, order: list[str], text: str, limit: int = 3, most: int = 900) -> DataFrame:
-    """(key, turns): the last ``limit`` turns of each key, oldest first, texts cut at ``most`` characters."""
+def last_turns(turns: DataFrame, *, key: str, order: list[str], texts: dict[str, int], limit: int = 3) -> DataFrame:
+    """(key, turns): the last ``limit`` turns of each key, oldest first, as structs of the columns
+    of ``texts``, each cut at its number of characters (900 of a question, 1,200 of an answer, say)."""
     w = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     kept = turns.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
-    each = F.struct((-F.col("_r")).alias("_o"), F.substring(text, 1, most).alias("_t"))
+    each = F.struct((-F.col("_r")).alias("_o"), F.struct(*[F.substring(c, 1, n).alias(c) for c, n in texts.items()]).alias("_t"))
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["_t"]).alias("turns"))
 
 

@@ -104,7 +104,8 @@ def hybrid_search(corpus: DataFrame, questions: DataFrame, *, k: int = 10, most_
     best ``max(6 k, 60)`` by it, plus 0.35 times the lexical score; chunks outside that pool
     are candidates if their lexical score is not 0. The lexical score is three quarters the
     share of the question's terms and one quarter the share of its adjacent word pairs that
-    occur in title and text; 0 without terms. Ties go to the smaller chunk_id.
+    occur in title and text; 0 without terms. Ties go to the smaller chunk_id. Chunks without id
+    or vector take no part.
 
     The corpus streams past the questions in blocks of about ``most_questions``, by a hash of
     their id. All words of a block are found in one pass over a text. Each partition keeps its
@@ -117,7 +118,7 @@ def hybrid_search(corpus: DataFrame, questions: DataFrame, *, k: int = 10, most_
     blocks = 1 if len(first) <= most_questions else -(-asked.count() // most_questions)
     pool, most = pool_size(k), pool_size(k) + k
     text = F.lower(F.concat_ws(" ", F.coalesce("source_title", F.lit("")), F.coalesce("chunk_text", F.lit(""))))
-    texts = corpus.select("chunk_id", text.alias("_text"), "vector")
+    texts = corpus.where(F.col("chunk_id").isNotNull() & F.col("vector").isNotNull()).select("chunk_id", text.alias("_text"), "vector")
     best = None
     for b in range(blocks):
         rows = first if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()

@@ -248,8 +248,15 @@ def dml_turn_numbers(spark: SparkSession, at: str) -> DataFrame:
 
 
 def win_last_turns(spark: SparkSession, at: str) -> DataFrame:
-    turns = history.last_turns(table(spark, at, "events"), key="user_id", order=["ts", "event_id"], text="props")
-    return turns.select("user_id", F.array_join("turns", "\n").alias("turns"))
+    turns = history.last_turns(table(spark, at, "events"), key="user_id", order=["ts", "event_id"], texts={"event_type": 900, "props": 1200})
+    return turns.select("user_id", F.array_join(F.transform("turns", lambda x: F.concat_ws(": ", x["event_type"], x["props"])), "\n").alias("turns"))
+
+
+def agg_run(spark: SparkSession, at: str) -> DataFrame:
+    """The fetches of all pages as one run: how many, how many failed, and over how many seconds."""
+    rows = table(spark, at, "fetch_results").select("doc_id", "outcome", "fetched_at").distinct()
+    span = F.max(F.unix_micros("fetched_at")) - F.min(F.unix_micros("fetched_at"))
+    return rows.agg(F.count("*").alias("pages"), F.count_if(F.coalesce(F.col("outcome") != "ok", F.lit(True))).alias("failed"), F.round(span / 1e6, 3).alias("seconds"))
 
 
 def agg_fingerprint(spark: SparkSession, at: str) -> DataFrame:
@@ -367,11 +374,11 @@ def _sessions(spark: SparkSession, at: str) -> DataFrame:
     """The questions about one page as the searches of one session."""
     found, items, _ = _searched(spark, at)
     asked = items.select("query_id", F.col("expected_source_url").alias("session_id"))
-    return found.join(asked, "query_id").select("session_id", F.col("query_id").alias("search_no"), "rank", "chunk_id")
+    return found.join(asked, "query_id").select("session_id", F.col("query_id").alias("search_no"), "rank", "chunk_id", "score")
 
 
 def win_labels(spark: SparkSession, at: str) -> DataFrame:
-    return evidence.source_labels(_sessions(spark, at))
+    return evidence.source_labels(_sessions(spark, at)).withColumn("score", F.round("score", 6))
 
 
 def set_novelty(spark: SparkSession, at: str) -> DataFrame:
@@ -430,7 +437,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         p2_found, p2_changes, fn_urls, fn_chunk_ids, fn_titles, fn_query_keys, fn_terms, fn_clean_text, fn_hash_embedding, join_current_chunks, join_embedding_gaps,
         join_chunk_vectors, join_neighbours, join_path_families, set_first_seen, set_origins, dml_upsert, dml_prune_versions, dml_save_embeddings, dml_delete_category,
-        dml_latest_pages, dml_turn_numbers, win_last_turns, agg_fingerprint, agg_categories, agg_errors, agg_vector_spaces, snp_normalise, ret_semantic, ret_hybrid,
+        dml_latest_pages, dml_turn_numbers, win_last_turns, agg_fingerprint, agg_categories, agg_errors, agg_run, agg_vector_spaces, snp_normalise, ret_semantic, ret_hybrid,
         evl_metrics, prj_cards, win_labels, set_novelty, emb_missing, src_documents, dml_clear_checkpoints, ext_pages, chk_split, chk_documents, ref_plan, ref_counts,
         dml_materialise, dml_drop_removed, dml_replace_chunks, dml_delete_documents, dml_clear_rows, fn_categories, set_merged, src_curated, ext_shells, join_owned_turns,
         top_conversations, ret_read, ret_within, prj_opened, grd_prompts, grd_checks, snp_rows, snp_facts,
@@ -640,11 +647,13 @@ ORACLES: dict[str, str] = {
     l AS (SELECT user_id, max(n) AS last FROM o GROUP BY ALL)
     SELECT event_id, user_id, CAST(n AS INTEGER) AS turn_number FROM o UNION ALL
     SELECT event_id, m.user_id, CAST(n + coalesce(last, 0) AS INTEGER) FROM m LEFT JOIN l ON m.user_id = l.user_id""",
-    "win_last_turns": """SELECT user_id, string_agg(substr(props, 1, 900), chr(10) ORDER BY r DESC) AS turns FROM (
+    "win_last_turns": """SELECT user_id, string_agg(substr(event_type, 1, 900) || ': ' || substr(props, 1, 1200), chr(10) ORDER BY r DESC) AS turns FROM (
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 3 GROUP BY user_id""",
     "agg_categories": """SELECT category, count(*) AS documents, count(indexed_content_hash) AS indexed, count(*) FILTER (last_run_action = 'changed') AS changed,
       count(*) FILTER (http_status <> 200) AS not_ok, max(consecutive_404_count) AS most_404 FROM (SELECT DISTINCT * FROM rag_documents) GROUP BY category""",
     "agg_errors": "SELECT outcome, error_message, count(*) AS pages FROM (SELECT DISTINCT doc_id, outcome, error_message FROM fetch_results) GROUP BY ALL",
+    "agg_run": """SELECT count(*) AS pages, count(*) FILTER (coalesce(outcome <> 'ok', TRUE)) AS failed, round((max(epoch_us(fetched_at)) - min(epoch_us(fetched_at))) / 1e6, 3) AS seconds
+      FROM (SELECT DISTINCT doc_id, outcome, fetched_at FROM fetch_results)""",
     "agg_vector_spaces": """SELECT embedding_model, embedding_revision, count(*) AS rows, count(DISTINCT chunk_id) AS chunks, count(*) FILTER (len(vector) <> embedding_dimension) AS wrong_dimension,
       count(*) = count(DISTINCT chunk_id) AND count(*) FILTER (len(vector) <> embedding_dimension) = 0 AS valid FROM rag_chunk_embeddings GROUP BY ALL""",
     "snp_normalise": """
@@ -664,8 +673,8 @@ ORACLES: dict[str, str] = {
     + """, shown AS (SELECT DISTINCT chunk_id, source_title AS title, source_url AS url, coalesce(array_to_string(heading_path, ' > '), '') AS heading, substr(chunk_text, 1, 520) AS text FROM rag_chunks)
     SELECT query_id, 'S' || rank AS label, rank, chunk_id, round(score, 4) AS score, title, url, heading, text FROM best JOIN shown USING (chunk_id)""",
     "win_labels": _SEARCH
-    + """, f AS (SELECT expected_source_url AS session_id, chunk_id, min(query_id * 100 + rank) AS place FROM best JOIN q USING (query_id) GROUP BY ALL)
-    SELECT session_id, chunk_id, 'S' || row_number() OVER (PARTITION BY session_id ORDER BY place) AS label FROM f""",
+    + """, f AS (SELECT expected_source_url AS session_id, chunk_id, min(query_id * 100 + rank) AS place, round(arg_max(score, query_id), 6) AS score FROM best JOIN q USING (query_id) GROUP BY ALL)
+    SELECT session_id, chunk_id, 'S' || row_number() OVER (PARTITION BY session_id ORDER BY place) AS label, score FROM f""",
     "set_novelty": _SEARCH
     + """, s AS (SELECT expected_source_url AS session_id, query_id AS search_no, chunk_id FROM best JOIN q USING (query_id)),
     n AS (SELECT *, search_no = min(search_no) OVER (PARTITION BY session_id, chunk_id) AS fresh, min(search_no) OVER (PARTITION BY session_id) AS begun FROM s),

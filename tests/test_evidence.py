@@ -13,10 +13,12 @@ FOUND = "session_id string, search_no int, rank int, chunk_id string"
 def test_labels_and_novelty(spark):
     rows = [("s", 1, 1, "b"), ("s", 1, 2, "a"), ("s", 2, 1, "a"), ("s", 2, 2, "c"), ("s", 3, 1, "b"), ("s", 4, 1, "d"), ("s", 4, 2, "e"), ("t", 9, 1, "a")]
     df = spark.createDataFrame(rows + rows[:2], FOUND)
-    assert {tuple(r) for r in evidence.source_labels(df).collect()} == {("s", "b", "S1"), ("s", "a", "S2"), ("s", "c", "S3"), ("s", "d", "S4"), ("s", "e", "S5"), ("t", "a", "S1")}
+    scored = df.withColumn("score", F.col("search_no") / 10.0)  # found again, a chunk keeps its label and takes the new score
+    want = {("s", "b", "S1", 0.3), ("s", "a", "S2", 0.2), ("s", "c", "S3", 0.2), ("s", "d", "S4", 0.4), ("s", "e", "S5", 0.4), ("t", "a", "S1", 0.9)}
+    assert {tuple(r) for r in evidence.source_labels(scored).collect()} == want
     got = {(r.session_id, r.search_no): (r.found, r.new, r.novelty) for r in evidence.novelty(df).collect()}
     assert got == {("s", 1): (2, 2, "ok"), ("s", 2): (2, 1, "low"), ("s", 3): (1, 0, "none"), ("s", 4): (2, 2, "ok"), ("t", 9): (1, 1, "ok")}
-    assert evidence.novelty(df.limit(0)).count() == evidence.source_labels(df.limit(0)).count() == 0
+    assert evidence.novelty(df.limit(0)).count() == evidence.source_labels(scored.limit(0)).count() == 0
 
 
 def test_cards(spark):

@@ -218,8 +218,8 @@ def test_turns(spark):
     new = spark.createDataFrame([("u", 2, "b"), ("u", 1, "a"), ("w", 1, "c" * 2000)], "key string, at int, text string")
     numbered = history.numbered_turns(new, old, key="key", order=["at"])
     assert {(r.key, r.at): r.turn_number for r in numbered.collect()} == {("u", 1): 5, ("u", 2): 6, ("w", 1): 1}
-    last = {r.key: r.turns for r in history.last_turns(new, key="key", order=["at"], text="text", limit=1).collect()}
-    assert last["u"] == ["b"] and len(last["w"][0]) == 900
+    last = {r.key: r.turns for r in history.last_turns(new, key="key", order=["at"], texts={"key": 9, "text": 900}, limit=1).collect()}
+    assert [(x.key, x.text) for x in last["u"]] == [("u", "b")] and len(last["w"][0].text) == 900
 
 
 def test_numbering_of_a_hot_key(spark):
