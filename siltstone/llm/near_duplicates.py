@@ -190,8 +190,8 @@ def near_duplicates(
     """(members, links) of records whose sets of ``width`` words have a Jaccard similarity of ``threshold``.
 
     ``members``: id, the ``keep`` columns and ``class_id``; records with the same words in the
-    same order form one class, so that a text repeated in a third of all rows is compared
-    once. ``links``: class_a < class_b with their exact ``similarity``; no pair within a class
+    same order form one class (by a 64-bit hash of them, which unequal texts share by chance
+    only among billions), so that a text repeated in a third of all rows is compared once. ``links``: class_a < class_b with their exact ``similarity``; no pair within a class
     is put out (it is 1). Copies are never expanded into pairs here.
 
     A pair at the threshold of 0.6 meets at an anchor with probability 0.989 with 7 blocks of
