@@ -80,7 +80,8 @@ def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     columnar form, so that later reads prune columns and the copy is compressed. The shuffle
     files of what was written are no longer needed; Spark deletes them when the driver has
     collected their plan, which is asked for here, since a driver with little to do would keep
-    them to the job's end. ``release`` deletes what a session has written.
+    them to the job's end (not of a local session, whose heap holds its tasks' data too).
+    ``release`` deletes what a session has written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -89,7 +90,8 @@ def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    spark._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local"):
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
