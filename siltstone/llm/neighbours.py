@@ -47,6 +47,16 @@ def _closest(rows: np.ndarray, centres: np.ndarray, spherical: bool) -> np.ndarr
     return score.argmax(1)
 
 
+def _best(score: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the ``n`` largest values of each row, largest first, ties to the first column."""
+    n, width = min(n, score.shape[1]), score.shape[1]
+    least = np.partition(score, width - n, axis=1)[:, width - n]
+    at = np.flatnonzero(score >= least[:, None])
+    row, col = np.divmod(at, width)
+    order = np.lexsort((-score.ravel()[at], row))
+    return col[order][np.searchsorted(row, np.arange(len(score)))[:, None] + np.arange(n)]
+
+
 class Codebook:
     """A tree of two levels of coarse centroids (cells, and lists within each) of one vector
     space, and its residual sub-quantisers."""
@@ -56,25 +66,25 @@ class Codebook:
         self.first = np.concatenate([[0], np.cumsum([len(x) for x in lists])])  # number of each cell's first list
         self.lists, self.fine = np.concatenate(lists), fine
 
-    def nearest(self, rows: np.ndarray, most: int, probes: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, rows: np.ndarray, most: int, probes: int = 32) -> tuple[np.ndarray, np.ndarray]:
         """(lists, inner products) of the ``most`` nearest lists of each row, nearest first, among
         those of the nearest ``probes`` cells; -inf where a row has fewer."""
         probes = min(probes, len(self.cells))
         sizes = np.diff(self.first)
+        widest = int(sizes.max())
         near, value = [], []
-        for part in np.array_split(rows, len(rows) // 2048 + 1):
-            score = part @ self.cells.T
-            cells = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
-            met = np.full((len(part), probes, int(sizes.max())), -np.inf, np.float32)
-            for cell in np.unique(cells):
-                row, slot = np.nonzero(cells == cell)
+        for part in np.array_split(rows, len(rows) // max(1, min(2048, (1 << 24) // (probes * widest))) + 1):
+            cells = _best(part @ self.cells.T, probes)
+            met = np.full((len(part), probes, widest), -np.inf, np.float32)
+            order = np.argsort(cells, axis=None, kind="stable")
+            ends = np.searchsorted(cells.ravel()[order], np.arange(len(self.cells) + 1))
+            for cell in np.flatnonzero(np.diff(ends)):
+                row, slot = np.divmod(order[ends[cell] : ends[cell + 1]], probes)
                 met[row, slot, : sizes[cell]] = part[row] @ self.lists[self.first[cell] : self.first[cell + 1]].T
             met = met.reshape(len(part), -1)
-            n = min(most, met.shape[1])
-            best = np.argpartition(-met, n - 1, axis=1)[:, :n] if n < met.shape[1] else np.tile(np.arange(n), (len(part), 1))
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(met, best, 1), axis=1, kind="stable"), 1)
+            best = _best(met, most)
             value.append(np.take_along_axis(met, best, 1))
-            near.append(self.first[np.take_along_axis(cells, best // int(sizes.max()), 1)] + best % int(sizes.max()))
+            near.append(self.first[np.take_along_axis(cells, best // widest, 1)] + best % widest)
         return np.concatenate(near), np.concatenate(value)
 
     @property
@@ -105,8 +115,8 @@ def latest_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def _file(books, spread: int, slack: float):
-    """File each vector under its nearest lists: the first is its own, where it asks (_role 3),
-    in further ones, only as far as ``slack`` allows, it is found (_role 1)."""
+    """File each vector under its nearest lists, further ones only as far as ``slack`` allows.
+    It asks and is found in all of them (_role 3, or 7 where there are several)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,8 +127,9 @@ def _file(books, spread: int, slack: float):
                 kept = far <= (1 + slack) ** 2 * far[:, :1] + 1e-6
                 kept[:, 0] = True
                 row, rank = np.nonzero(kept)
+                several = kept.sum(1)[row] > 1
                 taken = part.take(pa.array(row))
-                role = np.where(rank == 0, 3, 1)
+                role = np.where(several, 7, 3)
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(near[row, rank].astype(np.int32)), pa.array(role.astype(np.int32))], names=[*taken.schema.names, "_list", "_role"])
 
     return run
@@ -145,7 +156,8 @@ def _first_copies(rows: np.ndarray, most: int) -> np.ndarray:
 
 
 def _search(books, k: int, depth: int, least: float):
-    """One inverted list: score by distance tables, rerank the best exactly."""
+    """One inverted list: score by distance tables, rerank the best exactly. ``_role`` of an
+    answer is that of the asking row."""
 
     def run(group: pa.Table) -> pa.Table:
         width = len(group.column("vector")[0])
@@ -162,26 +174,27 @@ def _search(books, k: int, depth: int, least: float):
         centre = book.lists[first["_list"]]
         unit = _unit(raw.astype(np.float64))
         small = unit.astype(np.float32)
-        code = book.codes(small[base] - centre)
+        code = book.codes(small[base] - centre) if len(base) > depth else None
         found = []
         for part in np.array_split(asks, max(1, len(asks) // 256 + 1)):
             if not len(part) or not len(base):
                 continue
-            score = np.repeat((small[part] @ centre)[:, None], len(base), 1)
-            for table, row in zip(book.tables(small[part]), code):
-                score += table[:, row]
-            score[base[None, :] == part[:, None]] = -np.inf
-            n = min(depth, len(base))
-            near = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < len(base) else np.tile(np.arange(n), (len(part), 1))
-            near = np.sort(base[near], axis=1)
+            if code is None:  # all are reranked
+                near = np.tile(base, (len(part), 1))
+            else:
+                score = np.repeat((small[part] @ centre)[:, None], len(base), 1)
+                for table, row in zip(book.tables(small[part]), code):
+                    score += table[:, row]
+                score[base[None, :] == part[:, None]] = -np.inf
+                near = np.sort(base[np.argpartition(-score, depth - 1, axis=1)[:, :depth]], axis=1)
             exact = np.round(np.einsum("qd,qnd->qn", unit[part], unit[near]), DECIMALS)
             exact[near == part[:, None]] = -np.inf
             best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
             exact = np.take_along_axis(exact, best, 1)
             near = np.take_along_axis(near, best, 1)
             row, col = np.nonzero(exact >= least)
-            found.append((ids[part[row]], ids[near[row, col]], exact[row, col]))
-        a, b, s = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [])
+            found.append((ids[part[row]], ids[near[row, col]], exact[row, col], roles[part[row]]))
+        a, b, s, r = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [], [])
         n = len(a)
         return pa.table(
             {
@@ -190,12 +203,24 @@ def _search(books, k: int, depth: int, least: float):
                 "chunk_id": pa.array(a, pa.string()),
                 "neighbour_id": pa.array(b, pa.string()),
                 "similarity": pa.array(s, pa.float64()),
+                "_role": pa.array(r, pa.int32()),
             }
         )
 
     return run
 
 
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """Each chunk_id's first ``k`` answers out of those of the lists it has asked."""
+    keys = ["embedding_model", "embedding_revision", "chunk_id"]
+    best = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "neighbour_id")))
+    met = found.where("_role = 7").groupBy(*keys).agg(best.alias("_best"))
+    ids = F.col("_best.neighbour_id")
+    once = F.filter("_best", lambda x, i: F.array_position(ids, x["neighbour_id"]) == i + 1)
+    several = met.select(*keys, F.explode(F.slice(once, 1, k)).alias("_x")).select(*keys, "_x.neighbour_id", (-F.col("_x.far")).alias("similarity"))
+    return found.where("_role = 3").drop("_role").unionByName(several)
+
+
 def _space() -> Column:
     return F.concat_ws("\x1f", F.coalesce("embedding_model", F.lit("")), F.coalesce("embedding_revision", F.lit("")))
 
@@ -309,11 +334,11 @@ def nearest_neighbours(
     *,
     k: int = 5,
     least: float = -1.0,
-    list_rows: int = 256,
+    list_rows: int = 64,
     most_lists: int = 262144,
     sample_rows: int = 16384,
-    spread: int = 4,
-    slack: float = 0.3,
+    spread: int = 6,
+    slack: float = 0.15,
     depth: int = 96,
     parts: int = 32,
     seed: int = 11,
@@ -325,12 +350,15 @@ def nearest_neighbours(
     embedding_revision, chunk_id, neighbour_id, similarity (cosine in double precision rounded
     to 12 decimals), only of at least ``least``; ties go to the smaller neighbour_id.
 
-    Every vector is filed in the inverted list of its nearest coarse centroid, where it asks,
-    and in up to ``spread - 1`` further lists that are nearly as close, where it is only found;
-    so a query reads one list, and the lists overlap at their borders. A list is scored by
-    distance tables over product-quantised residuals and the best ``depth`` are reranked
-    exactly. The number of lists grows with that of the vectors, so a list, which is one task's
-    group, stays at about ``list_rows`` of its own and as many as twice that of its neighbours'.
+    Every vector is filed in the inverted list of its nearest coarse centroid and in up to
+    ``spread - 1`` further lists that are nearly as close, and asks in all of them: two
+    neighbours meet if they share any list, not only if one is in the other's first. That
+    matters the more, the more lists there are, since a vector that is near no centroid has
+    many equally far from it. Lists are small, so that small groups get centroids of their own.
+    A list is scored by distance tables over product-quantised residuals and the best ``depth``
+    are reranked exactly (all where there are no more); of the answers of several lists the
+    best ``k`` count. The number of lists grows with that of the vectors, so a list, which is
+    one task's group, stays at about ``list_rows`` of its own and twice that of its neighbours'.
     Vectors travel to their lists whole, since the exact rerank needs them there: a list's
     members are few, while fetching ``depth`` candidates for each query would move many times
     the table. Of a vector's copies in a list only the ``k + 1`` smallest ids are scored, so
@@ -377,7 +405,8 @@ def nearest_neighbours(
         last = few.groupBy("_look").agg(F.max("chunk_id").alias("_last"))
         given = one.withColumn("_look", look).where(~F.col("_look").isin(hot)).unionByName(copies.join(few.select("_look", "chunk_id"), ["_look", "chunk_id"], "left_semi")).drop("_look")
     filed = given.mapInArrow(_file(shared, spread, slack), "embedding_model string, embedding_revision string, chunk_id string, vector array<float>, _list int, _role int")
-    found = filed.groupBy(*keys[:2], "_list", F.size("vector").alias("_width")).applyInArrow(_search(shared, k, depth, least), answer)
+    found = filed.groupBy(*keys[:2], "_list", F.size("vector").alias("_width")).applyInArrow(_search(shared, k, depth, least), f"{answer}, _role int")
+    found = _merged(settle(found, "answers"), k)  # frees the filed vectors before answers are shuffled
     if others is not None:
         theirs = found.join(last, found["chunk_id"] == last["_last"]).select("_look", *keys[:2], "neighbour_id", "similarity")
         found = found.unionByName(others.join(theirs, ["_look", *keys[:2]]).select(*found.columns))

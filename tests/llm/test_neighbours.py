@@ -55,6 +55,20 @@ def test_lists_as_on_tables_of_another_size(spark, more):
     assert sum(r["count"] for r in counts) <= 4 * 9000 and max(r["count"] for r in counts) < 20 * np.median([r["count"] for r in counts])
 
 
+def test_small_groups_among_many_lists(spark):
+    """As on large tables: many small groups far from each other, most of them without a centroid of their own."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(1500, 64))
+    x = np.repeat(centres, 12, axis=0) + 0.35 * rng.normal(size=(18000, 64))
+    ids = [f"v{i:05}" for i in range(18000)]
+    df = frame(spark, [("m", "r", i, 64, v.tolist(), T1) for i, v in zip(ids, x)])
+    got = [(r.chunk_id, r.neighbour_id) for r in nearest_neighbours(df, k=5, least=0.8).collect()]
+    inside = np.array([exact(ids[i : i + 12], x[i : i + 12], 5) for i in range(0, 18000, 12)], object)  # groups do not mix at this distance
+    want = set().union(*inside)
+    assert len(got) == len(set(got)) and max(np.unique([a for a, _ in got], return_counts=True)[1]) <= 5
+    assert len(set(got) & want) >= 0.98 * len(want)
+
+
 def test_nearest_lists_against_all():
     ids, x = vectors(500)
     unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
